@@ -16,6 +16,11 @@ buckets.  Within a list no pairs are enumerated: rounds compare all members with
 representatives, verified links join classes, and pairs within a class need no look.  What is
 left after that is compared in full once it is small.
 
+Verification.  A candidate pair is first held against a bitmap of each set, one bit of parity for
+every shingle or fewer: the bits in which two bitmaps differ bound the symmetric difference from
+below, so that this filter drops no link.  The texts of the few pairs that pass are compared
+shingle by shingle.
+
 Defined results: null or empty text, or one without words, is linked with nothing and is its own
 class; texts with equal shingle sets are linked (one of them stands for all); repeated rows of a
 doc_id count as copies.  Extra columns are ignored.
@@ -41,7 +46,7 @@ HOT_SHARE, HOT_LEAST, HOT_MOST = 0.0005, 16, 1_000_000
 SEEN = 4  # a shingle in fewer sets of a chunk is not frequent
 BINS = np.unique(np.round(2 ** (np.arange(0, 97) / 4)).astype(np.int64))
 #: Cross-class pairs that are compared in full, at least, and for each document.
-FULL_PAIRS, FULL_PER_DOC = 200_000, 2
+FULL_PAIRS, FULL_PER_DOC = 200_000, 20
 
 
 def need(s, num: int, den: int):
@@ -63,8 +68,37 @@ def _digest(x: np.ndarray) -> int:
     return int(X.mix(h + np.array([len(x)], np.uint64) * np.uint64(0xDA942042E4DD58B5)).view(np.int64)[0])
 
 
+def _bits(x: np.ndarray) -> bytes:
+    """Parity bitmap of a set; its number of bits is the least power of two, 64 at least, that is not below the size."""
+    b = max(64, 1 << (len(x) - 1).bit_length())
+    return np.packbits((np.bincount((x & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference: differing bits, the longer bitmap folded to the shorter."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, n = int.from_bytes(a, "little"), len(a)
+    while n > len(b):
+        n //= 2
+        x = (x >> (8 * n)) ^ (x & ((1 << (8 * n)) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def _close(num: int, den: int):
+    """Of pairs with sizes and bitmaps, those that may reach the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("na", "nb", "bits_a", "bits_b")]
+            ok = [_apart(x, y) * (den + num) <= (m + n) * (den - num) for m, n, x, y in zip(*cols, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def _scan(k: int, num: int, den: int):
-    """First pass. kind 0: doc_id, size, digest; 1: shingle, sets of a chunk with it; 2: size bin, sets, prefix, subsets, scanned."""
+    """First pass. kind 0: doc_id, size, digest, bitmap; 1: shingle, sets of a chunk with it; 2: size bin, sets, prefix, subsets, scanned."""
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -91,15 +125,17 @@ def _scan(k: int, num: int, den: int):
 
         for rows in X.slices(batches, "text"):
             n, g = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows, np.int64)
+            bits: list[bytes | None] = [None] * rows.num_rows
             for i, x in _sets(rows, k):
                 n[i] = len(x)
                 if len(x):
+                    bits[i] = _bits(x)
                     g[i] = _digest(x)
                     if int(g[i]) not in seen:
                         seen.add(int(g[i]))
                         held.append(x)
                         total += len(x)
-            yield _rows(0, rows.column(rows.schema.get_field_index("doc_id")), n, g)
+            yield _rows(0, rows.column(rows.schema.get_field_index("doc_id")), n, g, bits=bits)
             if total >= CHUNK:
                 yield from flush()
                 total = 0
@@ -110,12 +146,12 @@ def _scan(k: int, num: int, den: int):
     return run
 
 
-def _rows(kind: int, a, *more) -> pa.RecordBatch:
+def _rows(kind: int, a, *more, bits=None) -> pa.RecordBatch:
     n = len(a)
     cols = [*more, *[np.zeros(n, np.int64)] * (4 - len(more))]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), a.cast(pa.int64()) if isinstance(a, pa.Array) else pa.array(np.asarray(a, np.int64)), *[pa.array(np.asarray(c, np.int64)) for c in cols]],
-        names=["kind", "a", "b", "c", "d", "e"],
+        [pa.array(np.full(n, kind, np.int32)), a.cast(pa.int64()) if isinstance(a, pa.Array) else pa.array(np.asarray(a, np.int64)), *[pa.array(np.asarray(c, np.int64)) for c in cols], pa.array(bits or [None] * n, pa.binary())],
+        names=["kind", "a", "b", "c", "d", "e", "bits"],
     )
 
 
@@ -287,7 +323,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = stage(text.mapInArrow(_scan(k, num, den), "kind int, a long, b long, c long, d long, e long"), "scan")
+    first = stage(text.mapInArrow(_scan(k, num, den), "kind int, a long, b long, c long, d long, e long, bits binary"), "scan")
     sets = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("g"))
     bins = first.where("kind = 2").groupBy("a").agg(*[F.sum(c).alias(c) for c in "bcde"]).collect()  # one row for each size bin
     n_docs = sets.count()
@@ -302,20 +338,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     n_buckets = max(16, math.ceil(postings * 12 / BUCKET_BYTES))
     packed = text.mapInArrow(_post(k, num, den, hot_b, boundary, n_buckets), "bucket long, payload binary")
     lists = stage(packed.groupBy("bucket").applyInArrow(_lists, "key long, gs binary"), "lists")
-    # The texts that take part, one for each distinct set.
-    rep = sets.where("n > 0").groupBy("g").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    involved = lists.mapInArrow(_unpack, "key long, g long").select("g").distinct().join(rep, "g")
-    part = stage(text.join(involved, "doc_id").select("g", "n", "text"), "texts")
-    sizes = part.select("g", "n").distinct()
+    # One row for each distinct set: its size, bitmap and one document.
+    info = stage(
+        first.where("kind = 0 and b > 0").groupBy(F.col("c").alias("g")).agg(F.min(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("n"), "bits")).alias("i")).select("g", "i.*"), "info"
+    )
+    near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
+
+    def side(x: str) -> DataFrame:
+        return info.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Pairs that pass the lossless filters on sizes and bitmaps."""
+        return pairs.join(side("b"), "b").join(side("a"), "a").where(near).mapInArrow(_close(num, den), "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = part.select(F.col("g").alias("a"), F.col("text").alias("ta"), F.col("n").alias("na"))
-        b = part.select(F.col("g").alias("b"), F.col("text").alias("tb"), F.col("n").alias("nb"))
-        near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-        slim = pairs.join(sizes.select(F.col("g").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("g").alias("b"), F.col("n").alias("nb")), "b").where(near).select("a", "b")
-        return slim.join(b.select("b", "tb"), "b").join(a.select("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(_verify(k, num, den), "a long, b long").distinct()
+        """pairs: a staged table of pairs that passed close()."""
+        ids = pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct().join(info.select("g", "doc_id"), "g")
+        part = stage(text.join(ids, "doc_id").select("g", "text").dropDuplicates(["g"]), "texts")
+        a, b = part.select(F.col("g").alias("a"), F.col("text").alias("ta")), part.select(F.col("g").alias("b"), F.col("text").alias("tb"))
+        return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(k, num, den), "a long, b long").distinct()
 
-    pairs = stage(lists.select("gs").mapInArrow(_first_star, "a long, b long").distinct(), "pairs")
+    pairs = stage(close(lists.select("gs").mapInArrow(_first_star, "a long, b long").distinct()), "pairs")
     links = stage(verified(pairs), "links")
     comp = components(links)
     compared = pairs
@@ -340,8 +383,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
             # A bounded number of representatives for each key, picked by hash with partial aggregation.
             lead = rest.groupBy("key", F.pmod(F.xxhash64("g", F.lit(width)), F.lit(width)).alias("slot")).agg(F.min(F.struct(F.xxhash64("g"), "g", "comp")).alias("r"))
             x = stage(lead.select("key", F.col("r.g").alias("p"), F.col("r.comp").alias("cp")), "leads")
-        near = x.join(y, "key").where("cp <> cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        pairs = stage(near.join(compared, ["a", "b"], "left_anti"), "pairs")
+        tried = x.join(y, "key").where("cp <> cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        pairs = stage(close(tried).join(compared, ["a", "b"], "left_anti"), "pairs")
         compared = compared.union(pairs)
         more = stage(verified(pairs), "links")
         links = links.union(more)
