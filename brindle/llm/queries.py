@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .jaccard_join import op6_jaccard_join
+from .packing import op10_best_fit_packing
 
-QUERIES = {"op6_jaccard_join": op6_jaccard_join}
+QUERIES = {"op6_jaccard_join": op6_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing}
 SQL: dict[str, str] = {}
