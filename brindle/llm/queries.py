@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_spaced_seed_decontamination
 from .jaccard_join import op6_jaccard_join
+from .langid import op4_language_id
 from .packing import op10_best_fit_packing
+from .pii import op7_feistel_pseudonyms
+from .secrets import op2_ownership_secrets
 
-QUERIES = {"op6_jaccard_join": op6_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_ownership_secrets,
+        op4_language_id,
+        op6_jaccard_join,
+        op7_feistel_pseudonyms,
+        op9_spaced_seed_decontamination,
+        op10_best_fit_packing,
+    )
+}
 SQL: dict[str, str] = {}

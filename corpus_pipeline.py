@@ -1,11 +1,58 @@
-"""The corpus pipeline: STAGES in order over documents."""
+"""The corpus pipeline: language ID, near duplicates, decontamination, PII, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of documents. `run` writes each stage's rows as Parquet in the shared folder and reads them back.
+"""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from brindle.llm import decontaminate, jaccard_join, langid, packing, pii
+from brindle.llm._store import stage
+
+
+def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is told: null texts, texts without a letter, and texts that share no n-gram with any profile go."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    profiles = langid.learn(docs, langid.fold(F.col("doc_id"), 4) != 2)
+    # The text travels along under a second name, so that nothing has to be joined.
+    told = langid.identify(docs.withColumn("kept_text", F.col("text")), profiles).where("lang_pred <> 'und' and score > 0")
+    return told.withColumnRenamed("kept_text", "text").select(*docs.columns)
+
+
+def duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each class of near duplicates."""
+    first = jaccard_join.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    # Of repeated rows of one doc_id, which are copies of each other, one stays.
+    return docs.join(stage(first, "firsts"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = stage(decontaminate.contaminated(docs, items).select("doc_id").distinct(), "hits")
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+
+
+def private(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal numbers, dates and addresses by pseudonyms."""
+    done = pii.pseudonymise(docs).drop("found")
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else done
+
+
+def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places the documents' token pieces in sequences."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return packing.pack(packing.pieces(docs, packing.default_tokenizer()))
+
+
+STAGES = [("language", language), ("duplicates", duplicates), ("benchmark", benchmark), ("private", private), ("packed", packed)]
+#: SQL can express neither the profiles nor the packing; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
-    return docs
+    for name, f in STAGES[:-1]:
+        docs = stage(f(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
