@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from .chat import op1_schema_fingerprint_chat
 from .decontaminate import op9_spaced_seed_decontamination
 from .jaccard_join import op6_jaccard_join
 from .langid import op4_language_id
 from .packing import op10_best_fit_packing
 from .pii import op7_feistel_pseudonyms
+from .quality import op3_crf_quality
 from .secrets import op2_ownership_secrets
+from .templates import op8_template_extraction
+from .toxicity import op5_factorization_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_schema_fingerprint_chat,
         op2_ownership_secrets,
+        op3_crf_quality,
         op4_language_id,
+        op5_factorization_toxicity,
         op6_jaccard_join,
         op7_feistel_pseudonyms,
+        op8_template_extraction,
         op9_spaced_seed_decontamination,
         op10_best_fit_packing,
     )
