@@ -844,7 +844,9 @@ def diff_genes(spark, sf):
 def pathway_analysis(spark, sf):
     e = X.expression(spark, sf)
     g = e.select("obj").distinct().where(F.col("obj").cast("int") <= 25).select(F.lit(1).alias("grp"), "obj")
-    sets = e.select("gene").distinct().select(F.concat(F.lit("s"), (F.substring("gene", 2, 9).cast("int") % 9).cast("string")).alias("set"), "gene")
+    genes = e.select("gene").distinct()
+    k = max(1, genes.count() // 10)
+    sets = genes.select(F.concat(F.lit("s"), (F.substring("gene", 2, 9).cast("int") % k).cast("string")).alias("set"), "gene")
     return r(CH.pathway_analysis(e, g, sets, iters=2, sign=1.0, permutations=20), "stat", "p")
 
 
