@@ -14,7 +14,7 @@ is placed best fit, longest first.  Every piece then finds its sequence and offs
 within its length, which is counted over salted groups: no task holds a whole length.
 
 Defined results: null text counts as empty and gives one piece of one token, the end mark;
-repeated rows give repeated pieces, each with a place of its own; an empty table gives no rows;
+repeated rows give repeated pieces, each with a place of its own; a null doc_id stays null; an empty table gives no rows;
 extra columns are ignored.
 """
 
@@ -209,18 +209,17 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 0) -> Dat
         enc = encoder(path)
         for rows in X.slices(batches, "text"):
             ids, first = enc.encode(*X.utf8(rows.column(1)))
-            doc = np.asarray(rows.column(0))
             out = []
-            for i in range(len(doc)):
+            for i in range(rows.num_rows):
                 x = np.append(ids[first[i] : first[i + 1]], np.uint32(end_id)).astype("<u4")
                 a, k = 0, 0
                 b = len(x) % size or size
                 while a < len(x):
-                    out.append((doc[i], k, a, b - a, zlib.crc32(x[a:b].tobytes())))
+                    out.append((i, k, a, b - a, zlib.crc32(x[a:b].tobytes())))
                     a, b, k = b, b + size, k + 1
             t = np.array(out, np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(t[:, 0]), pa.array(t[:, 1].astype(np.int32)), *[pa.array(t[:, c]) for c in (2, 3, 4)]],
+                [rows.column(0).take(pa.array(t[:, 0])), pa.array(t[:, 1].astype(np.int32)), *[pa.array(t[:, c]) for c in (2, 3, 4)]],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 

@@ -28,4 +28,25 @@ QUERIES = {
         op10_best_fit_packing,
     )
 }
-SQL: dict[str, str] = {}
+
+_ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\1\\|', 'g')"
+_CHAT = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+cast(sum(length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + 24) as bigint) as formatted_chars from t group by conv_id"""
+_NEAR = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from w),
+n as (select w.doc_id, count(s.g) as n from w left join s on s.doc_id = w.doc_id group by w.doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+e as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 75 * (nx.n + ny.n - c)),
+r(doc_id, root) as (select doc_id, doc_id from n union select e.y, r.root from r join e on e.x = r.doc_id)
+select n.doc_id, n.n as n_shingles, min(r.root) as component_id from n join r on r.doc_id = n.doc_id group by n.doc_id, n.n"""
+_LEAKS = r"""with d as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from documents),
+b as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from benchmark),
+dw as (select doc_id, unnest(w) as w, unnest(range(0, len(w))) as i from d), bw as (select item_id, len(w) as n, unnest(w) as w, unnest(range(0, len(w))) as i from b),
+m as (select doc_id, item_id, n, dw.i - bw.i as diag, count(*) as m from dw join bw on dw.w = bw.w group by doc_id, item_id, n, dw.i - bw.i),
+k as (select *, row_number() over (partition by doc_id, item_id order by m desc, diag) as k from m where m >= least(8, n) and m >= 0.6 * n)
+select doc_id, item_id, diag as word, m as n_matched, n as n_words, n - m as n_changed from k where k = 1"""
+SQL: dict[str, str] = {"op1_schema_fingerprint_chat": _CHAT, "op6_jaccard_join": _NEAR, "op9_spaced_seed_decontamination": _LEAKS}

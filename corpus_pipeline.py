@@ -11,20 +11,25 @@ from brindle.llm import decontaminate, jaccard_join, langid, packing, pii
 from brindle.llm._store import stage
 
 
+def _row(docs: DataFrame):
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told: null texts, texts without a letter, and texts that share no n-gram with any profile go."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     profiles = langid.learn(docs, langid.fold(F.col("doc_id"), 4) != 2)
-    # The text travels along under a second name, so that nothing has to be joined.
-    told = langid.identify(docs.withColumn("kept_text", F.col("text")), profiles).where("lang_pred <> 'und' and score > 0")
-    return told.withColumnRenamed("kept_text", "text").select(*docs.columns)
+    # Whole rows travel in a struct, so that no column of theirs can clash and nothing has to be joined.
+    told = langid.identify(docs.select(_row(docs), "text"), profiles).where("lang_pred <> 'und' and score > 0")
+    return told.select("row.*")
 
 
 def duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each class of near duplicates."""
+    """Keeps the document with the smallest doc_id of each class of near duplicates; rows without doc_id stay as they are."""
     first = jaccard_join.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     # Of repeated rows of one doc_id, which are copies of each other, one stays.
-    return docs.join(stage(first, "firsts"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.join(stage(first, "firsts"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.union(docs.where("doc_id is null"))
 
 
 def benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +40,10 @@ def benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal numbers, dates and addresses by pseudonyms."""
-    done = pii.pseudonymise(docs).drop("found")
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else done
+    """Replaces personal numbers, dates and addresses by pseudonyms; n_chars follows the text."""
+    done = pii.pseudonymise(docs.select(_row(docs), "text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
