@@ -12,9 +12,13 @@ many documents share stay out of the prefixes; which are frequent is gathered fr
 
 Lists.  Postings travel packed (12 bytes each) to buckets of bounded size, where keys held by one
 set vanish and keys with equal lists become one; lists of frequent keys are dealt over salted
-buckets.  Within a list no pairs are enumerated: rounds compare all members with a few
-representatives, verified links join classes, and pairs within a class need no look.  What is
-left after that is compared in full once it is small.
+buckets.  A first round compares the members of a list with its first by hash; verified links join
+classes.  Lists with the same first member are then joined, and large lists that hang together as well
+where that leaves fewer pairs to compare than the lists by themselves: near copies share many
+nearly equal lists.  Joined lists that still hold more than one class go through blocks of bitmaps
+(below), block by block, where pairs within a class are passed over.  Where such lists are large, a
+pass that keeps each member's nearest few partners joins classes first; the pass after it, over all
+pairs of different classes, is the exact one.  No step makes a row for each pair of a list.
 
 Verification.  A candidate pair is first held against a bitmap of each set, one bit of parity for
 every shingle or fewer: the bits in which two bitmaps differ bound the symmetric difference from
@@ -39,14 +43,15 @@ from . import _text as X
 from ._store import drop, stage
 from .components import components
 
-CHUNK = 4_000_000  # shingles that a task counts at once
+CHUNK = 1_500_000  # shingles that a task counts at once
 LIST = 8192  # longest packed list
 BUCKET_BYTES = 32 << 20
 HOT_SHARE, HOT_LEAST, HOT_MOST = 0.0005, 16, 1_000_000
-SEEN = 4  # a shingle in fewer sets of a chunk is not frequent
+SEEN = 3  # a shingle in fewer sets of a chunk is not frequent
 BINS = np.unique(np.round(2 ** (np.arange(0, 97) / 4)).astype(np.int64))
-#: Cross-class pairs that are compared in full, at least, and for each document.
-FULL_PAIRS, FULL_PER_DOC = 200_000, 20
+BLOCK = 4096  # members of a list that are compared at once
+LARGE, LARGE_PAIRS, NEAREST = 256, 50, 4  # members of a large list; its pairs a document from which the pass of nearest partners pays
+BROADCAST_IDS = 100_000  # ids of texts to fetch that are broadcast; more are joined by shuffle
 
 
 def need(s, num: int, den: int):
@@ -222,7 +227,7 @@ def _post(k: int, num: int, den: int, hot_b, boundary: int, n_buckets: int):
                     salts.append(-(-count[:p] // LIST))
                     owners.append(np.full(p, g, np.int64))
                     held += p
-            if held >= 1_000_000:
+            if held >= 500_000:
                 yield flush()
                 held = 0
         if held:
@@ -255,43 +260,105 @@ def _lists(table: pa.Table) -> pa.Table:
         t, g = t[keep], g[keep]
     cut = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
     end = np.append(cut[1:], len(t))
-    keys, packs, done = [], [], set()
+    keys, packs, heads, done = [], [], [], set()
     if len(cut):
         same = np.add.reduceat(X.mix(g.view(np.uint64)), cut)
+        order = X.mix(g.view(np.uint64))
         for i, j, h in zip(cut, end, same.view(np.int64), strict=True):
             if bucket >= 0 and (j - i < 2 or int(h) in done):
                 continue
             done.add(int(h))
-            key = int(h) if bucket >= 0 else int(t[i].view(np.int64))
             for a in range(i, j, LIST):
-                keys.append(key)
-                packs.append(g[a : min(a + LIST, j)].tobytes())
-    return pa.table({"key": pa.array(keys, pa.int64()), "gs": pa.array(packs, pa.binary())})
+                b = min(a + LIST, j)
+                # A salted key's lists meet again by key; others are whole, and known by their first member.
+                keys.append(int(t[i].view(np.int64)) if bucket < 0 or j - i > LIST else None)
+                heads.append(int(g[a + int(np.argmin(order[a:b]))]))
+                packs.append(g[a:b].tobytes())
+    return pa.table({"key": pa.array(keys, pa.int64()), "head": pa.array(heads, pa.int64()), "gs": pa.array(packs, pa.binary())})
 
 
 def _first_star(batches):
     """(a, b): every member of a list with the list's first by hash; repeats within a batch are left out."""
     for batch in batches:
         out = []
-        for v in batch.column(0):
-            g = np.frombuffer(v.as_buffer(), np.int64)
-            r = g[np.argmin(X.mix(g.view(np.uint64)))]
-            m = g[g != r]
+        for r, v in zip(np.asarray(batch.column(0)), batch.column(1), strict=True):
+            m = np.frombuffer(v.as_buffer(), np.int64)
+            m = m[m != r]
             out.append(np.stack([np.minimum(m, r), np.maximum(m, r)], 1))
-        p = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        if len(p):
-            o = np.lexsort((p[:, 1], p[:, 0]))
-            p = p[o]
-            p = p[np.append(True, (p[1:] != p[:-1]).any(1))]
-        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+        if out:
+            p = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
 
 def _unpack(batches):
+    """(head, g, large) of lists whose members are not all compared yet; a whole list's first member is."""
     for batch in batches:
-        parts = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1)]
+        parts = []
+        for key, r, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            m = np.frombuffer(v.as_buffer(), np.int64)
+            if key is None:
+                m = m[m != r]
+                if len(m) < 2:
+                    continue
+            parts.append(np.stack([np.full(len(m), r if key is None else key), m, np.full(len(m), int(len(m) >= LARGE))], 1))
         if parts:
-            key = np.repeat(np.asarray(batch.column(0)), [len(p) for p in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate(parts))], names=["key", "g"])
+            p = np.unique(np.concatenate(parts), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 2] > 0)], names=["head", "g", "large"])
+
+
+def _matrix(bits: list[bytes], at: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps of the rows at `at`, folded to `size` bytes, as 64-bit words."""
+    m = np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1)
+    while m.shape[1] * 8 > size:
+        h = m.shape[1] // 2
+        m = m[:, :h] ^ m[:, h:]
+    return m
+
+
+def _cross(ga, na, ca, ba, gb, nb, cb, bb, num: int, den: int, most: int | None):
+    """Pairs of different classes between two blocks that sizes and bitmaps let through; most: each row's nearest only."""
+    la, lb = np.array([len(x) for x in ba]), np.array([len(x) for x in bb])
+    for x in np.unique(la):
+        i = np.flatnonzero(la == x)
+        for y in np.unique(lb[(lb >= x // 2) & (lb <= 2 * x)]):
+            j = np.flatnonzero(lb == y)
+            size = int(min(x, y))
+            a, b = _matrix(ba, i, size), _matrix(bb, j, size)
+            step = max(1, (1 << 20) // (len(j) * a.shape[1]))
+            for k in range(0, len(i), step):
+                r = i[k : k + step]
+                diff = np.bitwise_count(a[k : k + step, None, :] ^ b[None]).sum(2, dtype=np.int32)
+                m, n = na[r][:, None], nb[j][None]
+                ok = (diff * (den + num) <= (m + n) * (den - num)) & (ca[r][:, None] != cb[j][None]) & (m * den >= n * num) & (n * den >= m * num)
+                if most is not None and ok.shape[1] > most:
+                    cost = np.where(ok, diff, np.iinfo(np.int32).max)
+                    keep = np.argpartition(cost, most, 1)[:, :most]
+                    near = np.zeros_like(ok)
+                    np.put_along_axis(near, keep, True, 1)
+                    ok &= near
+                p, q = np.nonzero(ok)
+                if len(p):
+                    yield ga[r[p]], gb[j[q]]
+
+
+def _blocks(num: int, den: int, most: int | None = None):
+    """Rows of one block x, or of two blocks x and y of one list (members g, n, comp, bits) -> pairs to verify."""
+
+    def run(batches):
+        for batch in batches:
+            found: list[np.ndarray] = []
+            for row in range(batch.num_rows):
+                side = []
+                for x in "xy" if "y" in batch.schema.names else "xx":
+                    v = batch.column(batch.schema.get_field_index(x))[row].values
+                    g, n, c = (np.asarray(v.field(f)) for f in ("g", "n", "comp"))
+                    side += [g, n.astype(np.int64), c, v.field("bits").to_pylist()]
+                found += [np.stack([np.minimum(a, b), np.maximum(a, b)], 1) for a, b in _cross(*side, num, den, most)]
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
 
 
 def _verify(k: int, num: int, den: int):
@@ -315,6 +382,28 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
+def _regrouped(joined: DataFrame) -> DataFrame:
+    """joined (head, g, large) with connected large lists as one, where the square of their union is below the sum of their squares.
+
+    Lists are linked through the members they share, each member linking its lists to the first of
+    them, so that the graph is one of lists, not of members.
+    """
+    large = joined.where("large")
+    of_g = stage(large.groupBy("g").agg(F.min("head").alias("first"), F.collect_set("head").alias("heads")), "members")  # a member has a prefix of lists
+    if not of_g.head(1):
+        return joined.select("head", "g")
+    links = of_g.select(F.col("first").alias("a"), F.explode("heads").alias("b")).where("a <> b").distinct()
+    comp = stage(components(links).select(F.col("g").alias("head"), "comp"), "lists")
+    size = large.groupBy("head").agg(F.count("*").alias("m")).join(comp, "head", "left").select("head", "m", F.coalesce("comp", "head").alias("comp"))
+    size = stage(size, "sizes")
+    union = of_g.select("g", F.col("first").alias("head")).join(comp, "head", "left").select(F.coalesce("comp", "head").alias("head"), "g")
+    cost = size.groupBy("comp").agg(F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("lists")).where("lists > 1").select(F.col("comp").alias("head"), "q")
+    pays = union.groupBy("head").agg(F.count("*").alias("n")).join(cost, "head").where(F.col("n") * F.col("n") <= F.col("q")).select("head")
+    pays = stage(pays, "pays")
+    gone = size.join(pays.select(F.col("head").alias("comp")), "comp").select("head")
+    return stage(joined.join(gone, "head", "left_anti").select("head", "g").union(union.join(pays, "head").select("head", "g")), "regrouped")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): documents linked at Jaccard num/den or more over k-word shingles.
 
@@ -322,7 +411,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = stage(text.mapInArrow(_scan(k, num, den), "kind int, a long, b long, c long, d long, e long, bits binary"), "scan")
     sets = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("g"))
     bins = first.where("kind = 2").groupBy("a").agg(*[F.sum(c).alias(c) for c in "bcde"]).collect()  # one row for each size bin
@@ -337,7 +426,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     postings = sum((r.d if BINS[r.a] <= boundary else 0) + (r.c if BINS[r.a] > 0.7 * boundary else 0) for r in bins)
     n_buckets = max(16, math.ceil(postings * 12 / BUCKET_BYTES))
     packed = text.mapInArrow(_post(k, num, den, hot_b, boundary, n_buckets), "bucket long, payload binary")
-    lists = stage(packed.groupBy("bucket").applyInArrow(_lists, "key long, gs binary"), "lists")
+    lists = stage(packed.groupBy("bucket").applyInArrow(_lists, "key long, head long, gs binary"), "lists")
     # One row for each distinct set: its size, bitmap and one document.
     info = stage(
         first.where("kind = 0 and b > 0").groupBy(F.col("c").alias("g")).agg(F.min(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("n"), "bits")).alias("i")).select("g", "i.*"), "info"
@@ -354,46 +443,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs: a staged table of pairs that passed close()."""
         ids = pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct().join(info.select("g", "doc_id"), "g")
-        part = stage(text.join(ids, "doc_id").select("g", "text").dropDuplicates(["g"]), "texts")
+        ids = stage(ids, "ids")
+        few = ids.count() <= BROADCAST_IDS
+        part = stage(text.join(F.broadcast(ids) if few else ids, "doc_id").select("g", "text").dropDuplicates(["g"]), "texts")
         a, b = part.select(F.col("g").alias("a"), F.col("text").alias("ta")), part.select(F.col("g").alias("b"), F.col("text").alias("tb"))
         return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(k, num, den), "a long, b long").distinct()
 
-    pairs = stage(close(lists.select("gs").mapInArrow(_first_star, "a long, b long").distinct()), "pairs")
+    pairs = stage(close(lists.select("head", "gs").mapInArrow(_first_star, "a long, b long").distinct()), "pairs")
     links = stage(verified(pairs), "links")
     comp = components(links)
-    compared = pairs
-    left = None
-    width = 4
-    while True:
-        posted = lists.mapInArrow(_unpack, "key long, g long") if left is None else left.select("key", "g")
-        named = posted.join(comp, "g", "left").select("key", "g", F.coalesce("comp", "g").alias("comp"))
-        open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        rest = stage(named.join(open_keys, "key"), "rest")
-        if left is not None:
-            drop(left)
-        left = rest
-        # Pairs of different classes that lists still hold.
-        by = rest.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"))
-        cross = by.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
-        if not cross:
-            break
-        full = cross <= max(FULL_PAIRS, FULL_PER_DOC * n_docs)
-        x, y = rest.select("key", F.col("g").alias("p"), F.col("comp").alias("cp")), rest.select("key", F.col("g").alias("q"), F.col("comp").alias("cq"))
-        if not full:
-            # A bounded number of representatives for each key, picked by hash with partial aggregation.
-            lead = rest.groupBy("key", F.pmod(F.xxhash64("g", F.lit(width)), F.lit(width)).alias("slot")).agg(F.min(F.struct(F.xxhash64("g"), "g", "comp")).alias("r"))
-            x = stage(lead.select("key", F.col("r.g").alias("p"), F.col("r.comp").alias("cp")), "leads")
-        tried = x.join(y, "key").where("cp <> cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        pairs = stage(close(tried).join(compared, ["a", "b"], "left_anti"), "pairs")
-        compared = compared.union(pairs)
-        more = stage(verified(pairs), "links")
-        links = links.union(more)
+    # Joined lists that still hold more than one class, in blocks of bounded size.
+    joined = lists.mapInArrow(_unpack, "head long, g long, large boolean").groupBy("head", "g").agg(F.max("large").alias("large"))
+    joined = _regrouped(stage(joined, "joined"))
+
+    def tried(classes: DataFrame, least: int, most: int | None) -> DataFrame:
+        """Pairs of different classes in joined lists of `least` members or more that pass the filters."""
+        named = joined.join(classes, "g", "left").select("head", "g", F.coalesce("comp", "g").alias("comp"))
+        counts = named.groupBy("head").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
+        open_lists = stage(counts.where((F.col("lo") != F.col("hi")) & (F.col("m") >= least)).select("head", F.ceil(F.col("m") / BLOCK).alias("blocks")), "open")
+        rest = named.join(open_lists, "head").join(info.select("g", "n", "bits"), "g")
+        member = F.collect_list(F.struct("g", "n", "comp", "bits")).alias("x")
+        small = rest.where("blocks = 1").groupBy("head").agg(member).select("x").mapInArrow(_blocks(num, den, most), "a long, b long")
+        if not open_lists.where("blocks > 1").head(1):
+            return small.distinct()
+        block = F.pmod(F.xxhash64("g"), F.col("blocks")).alias("block")
+        blocks = stage(rest.where("blocks > 1").groupBy("head", block).agg(member), "blocks")
+        other = blocks.select("head", F.col("block").alias("to"), F.col("x").alias("y"))
+        large = blocks.join(other, "head").where("block <= to").select("x", "y").mapInArrow(_blocks(num, den, most), "a long, b long")
+        return small.union(large).distinct()
+
+    heavy = joined.groupBy("head").agg(F.count("*").alias("m")).where(F.col("m") >= LARGE).agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0
+    for least, most in ((LARGE, NEAREST), (2, None)) if heavy > LARGE_PAIRS * n_docs else ((2, None),):
+        more = stage(tried(comp, least, most).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(stage(verified(more), "links"))
+        pairs = pairs.union(more)
         comp = components(links)
-        if full:
-            break
-        left = stage(rest.join(x.select("key", F.col("p").alias("g")), ["key", "g"], "left_anti"), "rest")
-        drop(rest)
-        width *= 4
     ends = links.select(F.col("a").alias("g")).union(links.select(F.col("b").alias("g"))).groupBy("g").agg(F.count("*").alias("n_links"))
     named = sets.where("n > 0").join(comp, "g", "left").select("doc_id", "n", "g", F.coalesce("comp", "g").alias("comp"))
     least = stage(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
@@ -402,4 +486,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
