@@ -227,3 +227,18 @@ def abc_deep_labels(cells: DataFrame, weighting: str = "var", iters: int = 500,
 
 def m_abc_deep(cells: DataFrame, k: int | None = None, dissimilarity: str = "mabc", final_linkage: str = "ward", **options):
     return multi_source_consensus(abc_deep_labels(cells, **options), k, dissimilarity, final_linkage)
+
+
+def sample_ranks(spark, n: int, draws: int, size: int, replace: bool = False, weighted: bool = False, shift: float = 100.0, seed: int = 1) -> DataFrame:
+    """(draw, item): draws of `size` items from 0..n-1 (fewer when n is smaller and replace is False), by equal weights or 1 / (rank + shift)."""
+    items = spark.range(n).select(F.col("id").alias("item"), (1.0 / (F.col("id") + 1 + F.lit(shift)) if weighted else F.lit(1.0)).alias("w"))
+    if replace:
+        ends = items.withColumn("one", F.lit(1)).withColumn("hi", F.sum("w").over(Window.partitionBy("one").orderBy("item")))
+        ends = ends.withColumn("lo", F.col("hi") - F.col("w")).withColumn("top", F.sum("w").over(Window.partitionBy("one")))
+        grid = spark.range(draws).select(F.col("id").alias("draw")).select("draw", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("at"))
+        u = grid.select("draw", "at", uniform(seed, "draw", F.col("draw"), F.col("at")).alias("u"))
+        return u.join(ends, (F.col("u") * F.col("top") >= F.col("lo")) & (F.col("u") * F.col("top") < F.col("hi"))).select("draw", "item")
+    x = items.select("item", "w", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    key = -F.log(F.greatest(uniform(seed, F.col("draw"), F.col("item")), F.lit(1e-12))) / F.col("w")
+    first = Window.partitionBy("draw").orderBy("key", "item")
+    return x.withColumn("key", key).withColumn("n", F.row_number().over(first)).where(F.col("n") <= size).select("draw", "item")

@@ -183,3 +183,43 @@ def weight_by_similarity(pairs: DataFrame, k: int, weights=None, linkage: str =
     got = x.select("weight", dist.alias("distance"))
     best = got.agg(F.min_by("weight", F.struct("distance", "weight")).alias("wb"))
     return got.crossJoin(F.broadcast(best)).select("weight", "distance", (F.col("weight") == F.col("wb")).alias("best"))
+
+
+def gap_statistic(cells: DataFrame, most: int = 15, boots: int = 20, linkage: str = "ward", measure: str = "l2", seed: int = 1) -> DataFrame:
+    """(src, k, gap, se, best): within-dispersion against uniform references over the features' ranges, one task for each source and reference.
+
+    best is the first k whose gap is within one standard error of the first local maximum.
+    """
+    import numpy as np
+
+    from .distance import kernel
+
+    tasks = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(boots))).alias("boot"))
+
+    def run(key, pdf):
+        m = pdf.pivot(index="obj", columns="feat", values="val").sort_index().to_numpy(float)
+        if key[1]:
+            rng = np.random.default_rng(seed * 1000 + int(key[1]))
+            m = m.min(0) + rng.random(m.shape) * (m.max(0) - m.min(0))
+        d = kernel(m, m, measure)
+        tree, _ = K.linkage(d, linkage)
+        out = []
+        for k in range(1, min(most, len(m)) + 1):
+            y = K.cut(tree, len(m), k)
+            w = sum(d[np.ix_(y == c, y == c)].sum() / (2 * (y == c).sum()) for c in np.unique(y))
+            out.append((int(key[0]), int(key[1]), k, float(np.log(max(w, 1e-300)))))
+        return pd.DataFrame(out, columns=["src", "boot", "k", "w"])
+
+    w = tasks.groupBy("src", "boot").applyInPandas(run, "src int, boot int, k int, w double")
+    own = w.where("boot = 0").select("src", "k", F.col("w").alias("w0"))
+    ref = w.where("boot > 0").groupBy("src", "k").agg(F.avg("w").alias("m"), (F.stddev_pop("w") * math.sqrt(1 + 1 / boots)).alias("se"))
+    g = own.join(ref, ["src", "k"]).select("src", "k", (F.col("m") - F.col("w0")).alias("gap"), "se")
+
+    def pick(key, pdf):
+        pdf = pdf.sort_values("k").reset_index(drop=True)
+        gap, se = pdf.gap.to_numpy(), pdf.se.to_numpy()
+        top = next((i for i in range(len(gap) - 1) if gap[i + 1] <= gap[i]), len(gap) - 1)
+        best = next(i for i in range(top + 1) if gap[i] >= gap[top] - se[top])
+        return pdf.assign(best=[i == best for i in range(len(pdf))])
+
+    return g.groupBy("src").applyInPandas(pick, "src int, k int, gap double, se double, best boolean")

@@ -864,3 +864,54 @@ def cyclogram(spark, sf):
 def cluster_cols(spark, sf):
     tree = TR.cluster(X.users(spark, sf))[1]
     return PL.cluster_cols(TR.labels(tree, 4), TR.leaf_order(tree))
+
+
+@_rows("gap_statistic")
+def gap_statistic(spark, sf):
+    return r(EV.gap_statistic(X.users(spark, sf), 6, 5), "gap", "se")
+
+
+@_rows("hclust_of_labels")
+def hclust_of_labels(spark, sf):
+    return TR.labels_of(distance(X.users(spark, sf), "gower"), 4)
+
+
+@query("sampled_ranks", f"""with x as (select t.d as draw, i.i as item, -ln(greatest({uniform_duck("'1|' || cast(t.d as varchar) || '|' || cast(i.i as varchar)")}, 1e-12)) / (1.0 / (i.i + 1 + 100.0)) as k from range(0, 15) t(d) cross join range(0, 40) i(i))
+select draw, item from (select *, row_number() over (partition by draw order by k, item) as n from x) z where n <= 6""")
+def sampled_ranks(spark, sf):
+    return B.sample_ranks(spark, 40, 15, 6, weighted=True).select(F.col("draw").cast("long").alias("draw"), "item")
+
+
+@query("toy_truth_sizes", """select cast(x as int) as g, cast(20 as bigint) as n from range(1, 4) t(x)""")
+def toy_truth_sizes(spark, sf):
+    return ST.toy(spark)[1].groupBy("g").agg(F.count("*").alias("n"))
+
+
+@query("pathway_edges", """with s as (select distinct 'b' || cast(l_linenumber as varchar) as set_, l_suppkey as g from lineitem where l_quantity > 45) select a.set_ as a, b.set_ as b, count(*) as shared from s a join s b on a.g = b.g and a.set_ < b.set_ group by a.set_, b.set_""")
+def pathway_edges(spark, sf):
+    ST.view_tables(spark, sf, "lineitem")
+    s = spark.sql("select distinct concat('b', cast(l_linenumber as string)) as `set`, cast(l_suppkey as string) as gene from lineitem where l_quantity > 45")
+    return PL.pathway_edges(s.select("set").distinct(), s)
+
+
+@query("heatmap_cutoff", f"""{_TWO} select i, j, {rd('case when 1 - d <= 0.4 then 0.0 else 1 - d end')} as s from (select i, j, round(d, 9) as d from p2) z""")
+def heatmap_cutoff(spark, sf):
+    return r(PL.similarity_heatmap(r(distance(X.presence(spark, sf), "tanimoto"), "d", places=9), 0.4), "s")
+
+
+@query("selection_colors", f"""with {PARTS} select obj, case when max(case when src = 1 and cluster = 1 then 1 else 0 end) = 1 and max(case when src = 2 and cluster = 1 then 1 else 0 end) = 1 then '#2CA02C'
+when max(case when src = 1 and cluster = 1 then 1 else 0 end) = 1 then '#1F77B4' when max(case when src = 2 and cluster = 1 then 1 else 0 end) = 1 then '#FF7F0E' else '#000000' end as color from parts group by obj""")
+def selection_colors(spark, sf):
+    p = X.parts(spark, sf)
+    return PL.label_cols(p.select("obj").distinct(), p.where("src = 1 and cluster = 1"), p.where("src = 2 and cluster = 1"))
+
+
+@query("continuous_profiles", f"with {CELLS} select obj, feat, {rd('val')} as val, cast(obj as bigint) % 3 = 0 as lead from cells")
+def continuous_profiles(spark, sf):
+    return r(PL.continuous_features_plot(X.users(spark, sf), X.parts(spark, sf).where("src = 1 and cluster = 1")).select("obj", "feat", "val", "lead"), "val")
+
+
+@query("shared_genes_by_method", f"with {_TESTS} select method, cluster, 'gene' as kind, count(distinct gene) as n from tests group by method, cluster")
+def shared_genes_by_method(spark, sf):
+    t = _tests(spark, sf).select("method", "cluster", F.lit("gene").alias("kind"), F.col("gene").alias("item"), (F.col("cluster") / 10).alias("p"))
+    return CH.shared_items(t)[0]
