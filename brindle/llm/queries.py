@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op1_schema_fingerprint_chat
+from . import secrets
 from .decontaminate import op9_spaced_seed_decontamination
 from .jaccard_join import op6_jaccard_join
 from .langid import op4_language_id
@@ -49,4 +50,24 @@ dw as (select doc_id, unnest(w) as w, unnest(range(0, len(w))) as i from d), bw
 m as (select doc_id, item_id, n, dw.i - bw.i as diag, count(*) as m from dw join bw on dw.w = bw.w group by doc_id, item_id, n, dw.i - bw.i),
 k as (select *, row_number() over (partition by doc_id, item_id order by m desc, diag) as k from m where m >= least(8, n) and m >= 0.6 * n)
 select doc_id, item_id, diag as word, m as n_matched, n as n_words, n - m as n_changed from k where k = 1"""
-SQL: dict[str, str] = {"op1_schema_fingerprint_chat": _CHAT, "op6_jaccard_join": _NEAR, "op9_spaced_seed_decontamination": _LEAKS}
+
+
+def _matches(kind: int, pattern: str, group: int) -> str:
+    """(doc_id, source, a, b, kind, w, v) of all matches of a pattern, places from the lengths of what lies between."""
+    p = pattern.replace("'", "''")
+    return f"""select doc_id, source, {kind} as kind, w[i] as w, v[i] as v,
+coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) as a
+from (select *, unnest(range(1, len(w) + 1)) as i from (select doc_id, source, string_split_regex(coalesce(text, ''), '{p}') as p, regexp_extract_all(coalesce(text, ''), '{p}') as w, regexp_extract_all(coalesce(text, ''), '{p}', {group}) as v from documents) x) y"""
+
+
+_KIND = "case kind when 0 then 'assign' when 1 then 'access' when 2 then 'hex' else 'owned' end || ':' || cast(a as varchar) || ':' || cast(b as varchar)"
+_SECRETS = f"""with m as (select *, a + length(w) as b from ({_matches(0, secrets.ASSIGN, 2)} union all {_matches(1, secrets.ACCESS, 0)} union all {_matches(2, secrets.HEX, 0)} union all {_matches(3, '[A-Za-z0-9+/_-]{20,}', 0)}) z),
+base as (select * from m where kind < 3 and case kind when 0 then length(v) >= 6 when 1 then length(w) >= 20 else true end),
+s as (select * from base union all select * from m where kind = 3 and regexp_matches(w, '[0-9]') and regexp_matches(w, '[A-Za-z]') and not exists (select 1 from base where base.doc_id = m.doc_id and base.a < m.b and m.a < base.b)),
+o as (select v, count(distinct source) as owners from s group by v), t as (select s.*, owners from s join o on o.v = s.v)
+select d.doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex,
+sha256(coalesce(string_agg({_KIND}, ',' order by a, kind) filter (where kind < 3), '')) as base_sha256,
+coalesce(string_agg({_KIND}, ',' order by a, kind) filter (where kind < 3 or owners < {secrets.WIDE_OWNERS}), '') as spans,
+count(*) filter (where owners < {secrets.WIDE_OWNERS}) as n_live, count(*) filter (where owners >= {secrets.WIDE_OWNERS}) as n_example
+from documents d left join t on t.doc_id = d.doc_id group by d.doc_id"""
+SQL: dict[str, str] = {"op1_schema_fingerprint_chat": _CHAT, "op2_ownership_secrets": _SECRETS, "op6_jaccard_join": _NEAR, "op9_spaced_seed_decontamination": _LEAKS}
