@@ -1,7 +1,7 @@
 """Pairwise dissimilarities: pairs(src, i, j, d) with i < j.
 
-Objects are dealt to blocks of bounded size by a hash; two blocks meet in one row, and a matrix
-kernel makes all their pairs at once.  The work is quadratic, as the result is; what moves is each
+Objects are dealt to blocks of bounded size by a hash; two blocks meet in one row, joined on the
+pair of blocks, and a matrix kernel makes all their pairs at once.  The work is quadratic, as the result is; what moves is each
 object once for each block, and no task ever holds more than two blocks.
 """
 
@@ -88,10 +88,11 @@ def block_pairs(objects: DataFrame, measure: str, scales: dict | None = None, bl
     """objects(src, obj, x) of equal length by source -> pairs(src, i, j, d)."""
     n = objects.groupBy("src").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).alias("blocks"))  # one row for each source
     dealt = objects.join(F.broadcast(n), "src").withColumn("b", F.pmod(F.xxhash64("obj"), F.col("blocks")))
-    parts = dealt.groupBy("src", "b").agg(F.collect_list(F.struct("obj", "x")).alias("m"))
-    left, right = parts.select("src", F.col("b").alias("p"), F.col("m").alias("mp")), parts.select("src", F.col("b").alias("q"), F.col("m").alias("mq"))
-    # The dealing key of a block pair spreads one source over all tasks.
-    met = left.join(right, "src").where("p <= q").select("src", "p", "q", "mp", "mq")
+    parts = dealt.groupBy("src", "b").agg(F.collect_list(F.struct("obj", "x")).alias("m"), F.max("blocks").alias("blocks"))
+    # A row for each block pair that a block is in: pairs, not sources, are what the join deals out.
+    left = parts.select("src", F.col("b").alias("p"), F.explode(F.sequence(F.col("b"), F.col("blocks") - 1)).alias("q"), F.col("m").alias("mp"))
+    right = parts.select("src", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b"))).alias("p"), F.col("b").alias("q"), F.col("m").alias("mq"))
+    met = left.join(right, ["src", "p", "q"]).select("src", "p", "q", "mp", "mq")
     return met.mapInArrow(_pairs(measure, scales or {}), "src int, i string, j string, d double")
 
 
