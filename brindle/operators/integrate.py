@@ -164,6 +164,18 @@ def snf(thing: DataFrame, kind: str = "data", measure="tanimoto", normalize=None
     return fused, agglomerate(fused, linkage, alpha)
 
 
+def snf_affinity(pairs: DataFrame, nn: int = 20, mu: float = 0.5) -> DataFrame:
+    """(src, i, j, s), i < j: the local kernels of the fusion as a relation, without a matrix."""
+    from pyspark.sql import Window
+
+    both = pairs.select("src", "i", "j", "d").union(pairs.select("src", F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    near = Window.partitionBy("src", "i").orderBy("d", "j")
+    mean = both.withColumn("n", F.row_number().over(near)).where(F.col("n") <= nn).groupBy("src", "i").agg((F.avg("d") + 2.220446e-16).alias("m"))
+    x = pairs.join(mean, ["src", "i"]).join(mean.select("src", F.col("i").alias("j"), F.col("m").alias("mj")), ["src", "j"])
+    eps = mu * F.greatest((F.col("m") + F.col("mj") + F.col("d")) / 3, F.lit(2.220446e-16))
+    return x.select("src", "i", "j", (F.exp(-F.col("d") * F.col("d") / (2 * eps * eps)) / (eps * float(np.sqrt(2 * np.pi)))).alias("s"))
+
+
 def nemo_affinity(pairs: DataFrame, nn: int = 20) -> DataFrame:
     """(src, i, j, s), both directions: exp(-d^2 / (sigma_i sigma_j)) kept in the nn largest of a row (ties too), symmetric by the larger, rows scaled to 1, averaged with the transpose."""
     from pyspark.sql import Window

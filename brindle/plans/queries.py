@@ -915,3 +915,32 @@ def continuous_profiles(spark, sf):
 def shared_genes_by_method(spark, sf):
     t = _tests(spark, sf).select("method", "cluster", F.lit("gene").alias("kind"), F.col("gene").alias("item"), (F.col("cluster") / 10).alias("p"))
     return CH.shared_items(t)[0]
+
+
+@query("nemo_fused", f"{_NEMO} select d.i, d.j, {rd('coalesce(f.s, 0.0)')} as s from d left join f on f.i = d.i and f.j = d.j where d.i < d.j")
+def nemo_fused(spark, sf):
+    return r(IN.nemo_fused(X.users(spark, sf), 10), "s")
+
+
+@query("snf_affinity", f"""{_TWO}, b as (select i, j, d from p2 union all select j, i, d from p2), m as (select i, avg(d) + 2.220446e-16 as m from (select *, row_number() over (partition by i order by round(d, 12), j) as n from b) z where n <= 10 group by i),
+ep as (select p2.i, p2.j, p2.d, 0.5 * greatest((x.m + y.m + d) / 3, 2.220446e-16) as e from p2 join m x on x.i = p2.i join m y on y.i = p2.j) select i, j, {rd('exp(-d * d / (2 * e * e)) / (e * sqrt(2 * pi()))', 5)} as s from ep""")
+def snf_affinity(spark, sf):
+    d = distance(X.presence(spark, sf), "tanimoto").withColumn("d", F.round("d", 12))
+    return r(IN.snf_affinity(d, 10).select("i", "j", "s"), "s", places=5)
+
+
+@query("dist_by_source", f"{_TWO} select 1 as src, i, j, {rd('d')} as d from p1 union all select 2 as src, i, j, {rd('d')} as d from p2")
+def dist_by_source(spark, sf):
+    both = X.users(spark, sf).unionByName(X.presence(spark, sf))
+    return r(IN._pairs(both, "data", {1: "gower", 2: "tanimoto"}, None).select("src", "i", "j", "d"), "d")
+
+
+@query("compare_codes", f"""with {ALIGNED}, n as (select method, label, count(*) as n from aligned group by method, label) select a.method, a.obj, cast(case when n.n = 1 then 5000 else a.label end as int) as label from aligned a join n on n.method = a.method and n.label = a.label""")
+def compare_codes(spark, sf):
+    return PL.compare_plot(X.aligned(spark, sf)).select("method", "obj", "label")
+
+
+@query("cophenetic_mean", None)
+def cophenetic_mean(spark, sf):
+    t = TR.agglomerate(_two_pairs(spark, sf), "average")
+    return r(TR.cophenetic(t).groupBy("i", "j").agg(F.avg("d").alias("d")), "d")
