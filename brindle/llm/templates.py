@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stage
+from ._store import small_batches, stage
 
 SUPPORT = 0.5
 LEAST_TEXT_PAGES = 4  # a text block needs so many pages to be template
@@ -46,6 +46,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Names that are chrome outside articles only, first parts of class names that speak of other elements, and elements whose class names say nothing of themselves.
+HEADS = frozenset(["header", "masthead"])
+ABOUT = frozenset("with has have no without is not hide show".split())
+FRAMES = frozenset("html body main".split())
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -59,23 +63,27 @@ def host_of(url: str | None) -> str:
     return m[1].lower().rstrip(".") if m else ""
 
 
-def _attributes(raw: str) -> tuple[str, bool, str]:
-    """Key of class, id and role; whether it says chrome or hidden; role."""
+def _attributes(raw: str) -> tuple[str, bool, bool, str]:
+    """Key of class, id and role; whether it says chrome or hidden; whether it says page header; role."""
     if "=" not in raw and "hidden" not in raw:
-        return "", False, ""
-    parts, chrome, role = [], False, ""
+        return "", False, False, ""
+    parts, chrome, head, role = [], False, False, ""
     for name, a, b, c in _ATTR.findall(raw):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
             parts.append(value)
-            chrome |= any(w in NAMES for w in _NAME.findall(value))
+            for one in value.split():
+                words = _NAME.findall(one)
+                if words and words[0] not in ABOUT:
+                    chrome |= any(w in NAMES and w not in HEADS for w in words)
+                    head |= any(w in HEADS for w in words)
         elif name == "role":
             role = value
             parts.append("@" + value)
             chrome |= value in ROLES
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             chrome = True
-    return ".".join(parts), chrome, role
+    return ".".join(parts), chrome, head, role
 
 
 def read(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, bool, bool, float]]]:
@@ -148,7 +156,7 @@ def read(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, bool, bool,
                     break
             tokens.append(("/" + name, -1))
             continue
-        key, bad, role = _attributes(raw)
+        key, bad, head, role = _attributes(raw)
         if name in RAW:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else n
@@ -166,7 +174,9 @@ def read(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, bool, bool,
         if name in VOID or raw.endswith("/") and name not in BLOCK:
             continue
         in_article = article or name in ("article", "main") or role in ("main", "article")
-        bad = bad or name in CHROME or (name == "header" and not article)
+        if name in FRAMES:
+            bad = head = False
+        bad = bad or name in CHROME or ((head or name == "header") and not article)
         stack.append((name, chrome or bad, in_article))
         links += name == "a"
         chrome, article = stack[-1][1], stack[-1][2]
@@ -255,5 +265,5 @@ def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def op8_template_extraction(spark, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    small_batches(spark)
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))

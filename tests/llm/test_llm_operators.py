@@ -381,6 +381,11 @@ def test_html_templates_without_articles(spark):
     assert templates.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_names():
+    page = "<body class='nav-open has-sidebar'><div class='site-header'>no</div><div class='with-sidebar'><article><header class='post-header'><h1>T</h1></header><p>x</p><div class='share-bar'>no</div><form>no</form></article></div><main id='main'><p hidden>no</p></main>"
+    assert [b[0] for b in templates.read(page)[1] if not b[1]] == ["T", "x"]
+
+
 def test_equivalence_classes(spark):
     rows = [(i, "http://h.example/", f"<html><body><div class='top'>Menu</div><p>t{i}</p></body></html>") for i in range(5)]
     t = templates.deduce(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
