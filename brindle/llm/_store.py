@@ -20,6 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded rows and bytes, so that a worker's memory does not follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _POW_LEN = 4096
 _rng = np.random.default_rng(20240229)
 _POW = _rng.integers(1, 1 << 63, _POW_LEN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import drop, stage
+from ._store import drop, small_batches, stage
 from .components import components
 
 CHUNK = 1_500_000  # shingles that a task counts at once
@@ -410,7 +410,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     component_id is the smallest doc_id reachable by links. Exact, but for 64-bit hash collisions.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    small_batches(spark)
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = stage(text.mapInArrow(_scan(k, num, den), "kind int, a long, b long, c long, d long, e long, bits binary"), "scan")
     sets = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("g"))

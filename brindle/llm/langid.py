@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
+from ._store import small_batches
 
 SIZE = 400
 SAMPLE = 20_000
@@ -155,7 +156,7 @@ def fold(col: Column, n: int) -> Column:
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     profiles = learn(docs, fold(F.col("doc_id"), 4) != 2)
     return identify(docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text"), profiles)

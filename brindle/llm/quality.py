@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
+from ._store import small_batches
 
 SAMPLE, TRAIN_LINES, SHARE, WINDOW = 3000, 120, 0.5, 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
@@ -249,6 +250,6 @@ def judge(docs: DataFrame, chain: Chain, share: float = SHARE) -> DataFrame:
 
 
 def op3_crf_quality(spark, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judge(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
+from ._store import small_batches
 
 BITS = 20
 SAMPLE, TERMS, LEAST, FACTORS = 12_000, 2000, 6, 4
@@ -164,7 +165,7 @@ def score(rows: DataFrame, machine: Machine | None) -> DataFrame:
 def op5_factorization_toxicity(spark, sf_dir: str) -> DataFrame:
     from .langid import fold
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = learn(docs, labels.where(fold(F.col("doc_id"), 3) != 1))

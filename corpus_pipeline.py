@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate, jaccard_join, langid, packing, pii
-from brindle.llm._store import stage
+from brindle.llm._store import small_batches, stage
 
 
 def _row(docs: DataFrame):
@@ -17,7 +17,7 @@ def _row(docs: DataFrame):
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told: null texts, texts without a letter, and texts that share no n-gram with any profile go."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    small_batches(spark)
     profiles = langid.learn(docs, langid.fold(F.col("doc_id"), 4) != 2)
     # Whole rows travel in a struct, so that no column of theirs can clash and nothing has to be joined.
     told = langid.identify(docs.select(_row(docs), "text"), profiles).where("lang_pred <> 'und' and score > 0")
@@ -48,7 +48,7 @@ def private(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places the documents' token pieces in sequences."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    small_batches(spark)
     return packing.pack(packing.pieces(docs, packing.default_tokenizer()))
 
 
