@@ -162,35 +162,39 @@ def train(docs: list[np.ndarray], good: np.ndarray, steps: int = 150, rate: floa
     order = sorted(docs_ok, key=lambda i: -len(docs[i]))
     size = np.array([len(docs[i]) for i in order])
     top, k = int(size[0]), len(FEATURES)
-    x, y = np.zeros((len(order), top, k)), np.zeros((len(order), top), int)
-    for r, i in enumerate(order):
-        x[r, : size[r]] = docs[i]
-        y[r, : size[r]] = weak_label(docs[i], bool(good[i]))
     live = np.arange(top)[None] < size[:, None]
+    x = np.concatenate([docs[i] for i in order])  # all lines, document by document, as live lists them
+    y = np.zeros((len(order), top), int)
+    y[live] = np.concatenate([weak_label(docs[i], bool(good[i])) for i in order])
+    at = [int((size > i).sum()) for i in range(top)]  # documents that have line i; the longest come first
     theta = np.concatenate([m.w, m.t.ravel()])
     mom, var = np.zeros_like(theta), np.zeros_like(theta)
     total = size.sum()
     for step in range(1, steps + 1):
         w, t = theta[:k], theta[k:].reshape(2, 2)
-        e = np.stack([np.zeros((len(order), top)), x @ w], 2)
+        e = np.zeros((len(order), top, 2))
+        e[..., 1][live] = x @ w
         fwd, bwd = np.zeros_like(e), np.zeros_like(e)
         fwd[:, 0] = e[:, 0]
         for i in range(1, top):
-            a = np.logaddexp(fwd[:, i - 1, :1] + t[0], fwd[:, i - 1, 1:] + t[1]) + e[:, i]
-            fwd[:, i] = np.where(live[:, i, None], a, fwd[:, i - 1])
+            n = at[i]
+            fwd[:n, i] = np.logaddexp(fwd[:n, i - 1, :1] + t[0], fwd[:n, i - 1, 1:] + t[1]) + e[:n, i]
         for i in range(top - 2, -1, -1):
-            nxt = bwd[:, i + 1] + e[:, i + 1]
-            b = np.logaddexp(t[:, 0] + nxt[:, :1], t[:, 1] + nxt[:, 1:])
-            bwd[:, i] = np.where(live[:, i + 1, None], b, 0.0)
-        logz = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
-        p1 = np.exp(fwd[:, :, 1] + bwd[:, :, 1] - logz[:, None]) * live
+            n = at[i + 1]
+            nxt = bwd[:n, i + 1] + e[:n, i + 1]
+            bwd[:n, i] = np.logaddexp(t[:, 0] + nxt[:, :1], t[:, 1] + nxt[:, 1:])
+        end = fwd[np.arange(len(order)), size - 1]
+        logz = np.logaddexp(end[:, 0], end[:, 1])
+        p1 = np.exp((fwd[:, :, 1] + bwd[:, :, 1] - logz[:, None])[live])
         g = np.zeros_like(theta)
-        g[:k] = np.einsum("dt,dtk->k", (p1 - y) * live, x)
+        g[:k] = x.T @ (p1 - y[live])
         both = live[:, 1:]
+        of_doc = np.broadcast_to(logz[:, None], both.shape)[both]
+        y0, y1 = y[:, :-1][both], y[:, 1:][both]
         for a in range(2):
             for b in range(2):
-                p = np.exp(fwd[:, :-1, a] + t[a, b] + e[:, 1:, b] + bwd[:, 1:, b] - logz[:, None]) * both
-                g[k + 2 * a + b] = (p - ((y[:, :-1] == a) & (y[:, 1:] == b)) * both).sum()
+                p = np.exp(fwd[:, :-1, a][both] + t[a, b] + (e[:, 1:, b] + bwd[:, 1:, b])[both] - of_doc)
+                g[k + 2 * a + b] = p.sum() - ((y0 == a) & (y1 == b)).sum()
         g = g / total + decay * theta
         mom += 0.1 * (g - mom)
         var += 0.01 * (g * g - var)
