@@ -385,10 +385,12 @@ def _verify(k: int, num: int, den: int):
 def _regrouped(joined: DataFrame) -> DataFrame:
     """joined (head, g, large) with connected large lists as one, where the square of their union is below the sum of their squares.
 
-    Lists are linked through the members they share, each member linking its lists to the first of
-    them, so that the graph is one of lists, not of members.
+    A list is large as a whole when one of its parts is: the small parts of a frequent key's list move
+    with the others, so that all pairs of the list are still compared.  Lists are linked through the
+    members they share, each member linking its lists to the first of them, so that the graph is one
+    of lists, not of members.
     """
-    large = joined.where("large")
+    large = joined.join(joined.where("large").select("head").distinct(), "head", "left_semi")
     of_g = stage(large.groupBy("g").agg(F.min("head").alias("first"), F.collect_set("head").alias("heads")), "members")  # a member has a prefix of lists
     if not of_g.head(1):
         return joined.select("head", "g")

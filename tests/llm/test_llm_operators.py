@@ -285,6 +285,15 @@ def test_near_duplicates_hot_groups(spark, monkeypatch, small_blocks):
     assert near(df) == classes(texts)
 
 
+def test_regrouped_keeps_the_small_parts_of_a_list(spark):
+    # Key 1 is dealt over two parts, one large and one small; key 2 holds the same large part.
+    rows = [(1, g, True) for g in range(10)] + [(1, g, False) for g in (20, 21, 22)] + [(2, g, True) for g in range(10)] + [(3, g, False) for g in (30, 31)]
+    got = collections.defaultdict(set)
+    for r in jaccard_join._regrouped(spark.createDataFrame(rows, "head long, g long, large boolean")).collect():
+        got[r.head].add(r.g)
+    assert sorted(map(sorted, got.values())) == [[*range(10), 20, 21, 22], [30, 31]]
+
+
 def test_near_duplicates_edges(spark):
     assert near(docs_of(spark, []).where("false")) == {}
     df = docs_of(spark, ["a b c d e f", "a b c d e f", None])
