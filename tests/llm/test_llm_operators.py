@@ -439,6 +439,33 @@ def test_decontamination_finds_passages_and_changes(spark, sf, texts):
     assert got == passages(some, items | {900: "only five words in here"})
 
 
+def test_masks_hit_whatever_the_rule_accepts():
+    for n in range(3, 19):
+        x = np.arange(1 << n)
+        hit = np.zeros(1 << n, bool)
+        for m in decontaminate.MASKS:
+            for i in range(n - max(m)):
+                v = sum(1 << (i + j) for j in m)
+                hit |= (x & v) == v
+        agree = np.bitwise_count(x)
+        assert hit[(agree >= min(decontaminate.LEAST, n)) & (agree >= decontaminate.SHARE * n)].all()
+
+
+def test_decontamination_with_many_words_replaced(spark):
+    rng = np.random.default_rng(2)
+    items = {i: " ".join(f"i{i}w{j}" for j in range(n)) for i, n in enumerate((8, 10, 12, 15, 20, 59))}
+    some = {}
+    for t in items.values():
+        n = len(t.split())
+        gone = [set(range(3, n, 4)), set(range(0, n, 4)), set(range(2, n, 3)), {j for j in range(n) if j % 5 in (1, 3)}]
+        gone += [set(rng.choice(n, int(n * r), replace=False)) for r in (0.2, 0.3, 0.4, 0.45) for _ in range(10)]
+        for g in gone:
+            some[len(some)] = "before it " + " ".join(f"x{j}" if j in g else w for j, w in enumerate(t.split())) + " after it"
+    df = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == passages(some, items)
+
+
 def test_decontamination_without_broadcast(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
