@@ -1,19 +1,17 @@
-"""HTML main text by equivalence-class template deduction.
+"""HTML main text by element rules, with equivalence classes of tokens against repeated text.
 
 Tokens of a page are its tags (with class, id and role) and its text blocks.  The occurrence vector
 of a token over the pages of a host is kept as one value: the exclusive or of a hash of (page,
 count) over the pages that have it, which partial aggregation makes without ever holding a host's
-pages together.  Tokens with equal vectors form an equivalence class; a class is valid when it has
-two tokens or more on `support` of the host's pages or more (two pages at least) and its tokens
-keep their order on the pages, so that classes nest: the order of a token is its mean place, and a
-token that stands before its predecessor on a page takes no part there.
-
-The template of a host is its valid classes in that order.  On each page the template's tokens cut
-the page into slots; text blocks outside articles that are themselves template tokens (notices, menus,
-licence lines repeated over the host) go, tag tokens only bound slots.  Of the remaining slots the
-main text is what lies in an article or main element, or, on pages without, all text blocks outside
-chrome (menus, headers, footers, sidebars, notices, adverts, forms, comments, by element, role and
-class names) that are not mostly links.
+pages together.  Tokens with equal vectors form an equivalence class; a class is kept when it has
+two tokens or more, or is one text block, on `support` of the host's pages or more (two pages at
+least).  The order of a token is its mean place.  Order and nesting of a class are not checked.
+
+The main text is what lies in an article or main element, or, on pages without, all text blocks
+outside that are not mostly links and not template tokens themselves (notices, menus, licence lines
+repeated over the host); in both cases without chrome (menus, headers, footers, sidebars, notices,
+adverts, forms, comments, by element, role and class names).  The template's tag tokens cut the page
+into slots, which are counted in `n_slots`; they choose no text.
 
 Defined results: null html is empty text; pages without a host, or alone on it, have no template
 and are read by their elements; broken markup at the end of a page is dropped as markup; repeated rows are treated alike; extra columns are ignored.
