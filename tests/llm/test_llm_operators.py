@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import _text as X
-from brindle.llm import chat, components, decontaminate, jaccard_join, langid, packing, pii, quality, secrets, templates, toxicity
+from brindle.llm import chat, components, decontaminate, jaccard_join, langid, packing, quality, secrets, templates, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 HARD = [None, "", " ", "\n\n", "a", "A a\ta\x0ba", "x " * 30000, "é" * 5000, "   nb sp", "dup line\ndup line\n", "🙂 emoji 🙂", "<|endoftext|> <|im_end|>"]
@@ -108,15 +108,37 @@ def test_secrets_base_spans(spark, documents, texts):
         assert set(filter(None, b.split(","))) <= set(r.spans.split(","))
 
 
-def test_secrets_ownership(spark):
-    live, example = "Zx9" + "qW7e" * 6, "Ab1" + "cD2f" * 6
-    texts = [f"key {example} end", f"key {example} end", f"key {example} end", f"mine {live} end", f"again {live}", None]
+@pytest.mark.parametrize("least", [1000, 2])
+def test_secrets_ownership(spark, monkeypatch, least):
+    monkeypatch.setattr(secrets, "COMMON_LEAST", least)  # 2: repeated values are broadcast, as frequent ones are
+    live, example, copied = "Zx9" + "qW7e" * 6, "Ab1" + "cD2f" * 6, "Vv7" + "nM4k" * 6
+    texts = [f"key {example} end", f"key {example} end", f"key {example} end", f"mine {live} end", f"again {live}", None, *[f"vendored {copied} file token={example}"] * 25]
     df = docs_of(spark, texts).withColumn("source", F.when(F.col("doc_id") > 2, F.lit("s9")).otherwise(F.col("source")))
     got = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
     assert all(got[i].spans == "" and got[i].n_example == 1 for i in range(3))
-    assert all(got[i].n_live == 1 and "owned" in got[i].spans for i in (3, 4))
-    freq = {(r.n_owners, r.n_repositories) for r in secrets.frequencies(secrets.scan(df, F.col("source"), F.col("doc_id"))).collect()}
-    assert freq == {(3, 3), (1, 2)}
+    assert all(got[i].n_live == 1 and "owned" in got[i].spans and (got[i].most_owners, got[i].most_repositories) == (1, 2) for i in (3, 4))
+    assert (got[5].n_live, got[5].most_owners, got[5].spans) == (0, 0, "")
+    assert all((got[i].n_live, got[i].n_example, got[i].n_copied, got[i].n_assign) == (0, 1, 1, 1) and "owned" not in got[i].spans for i in range(6, 31))
+    freq = {(r.n_owners, r.n_repositories, r.n, r.verdict) for r in secrets.verdicts(secrets.frequencies(secrets.scan(df, F.col("source"), F.col("doc_id")))).collect()}
+    assert freq == {(4, 28, 28, 1), (1, 2, 2, 0), (1, 25, 25, 2)}
+
+
+def test_secrets_many_in_one_text(spark):
+    """Hundreds of spans of every kind in one text, over blocks, and rows that are empty, repeated, null or named like ours."""
+    rng = np.random.default_rng(3)
+    word = lambda k, n: "".join(rng.choice(list(k), n))
+    parts = [[word("0123456789abcdef", 32), "token=" + word("abcXYZ019", 12), "AKIA" + word("ABCDEF0123", 18), word("abcdefGHIJ0123+/", 40), "é🙂 filler"][i] for i in rng.integers(0, 5, 1500)]
+    text = " ".join(parts)
+    df = docs_of(spark, [text, text, None, ""]).withColumn("value", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("all", F.lit(2))
+    got = secrets.find_secrets(df.union(df.limit(1)).union(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))).collect()
+    assert len(got) == 6 and secrets.find_secrets(df.where("false")).count() == 0
+    want = hashlib.sha256(base_spans(text).encode()).hexdigest()
+    assert sum(r.base_sha256 == want for r in got) == 4 and {r.doc_id for r in got} == {0, 1, 2, 3, None}
+    base = [tuple(map(int, x.split(":")[1:])) for x in base_spans(text).split(",")]
+    owned = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    owned = [w for w in owned if not any(a < w[1] and w[0] < b for a, b in base)]
+    spans = next(r.spans for r in got if r.doc_id == 1).split(",")
+    assert [tuple(map(int, x.split(":")[1:])) for x in spans if x.startswith("owned")] == owned and len(owned) > 200
 
 
 # 3. Quality.
@@ -320,50 +342,6 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-# 7. PII.
-
-
-def luhn(d):
-    s = 0
-    for i, c in enumerate(reversed(d)):
-        v = int(c) * (2 if i % 2 else 1)
-        s += v - 9 if v > 9 else v
-    return s % 10 == 0
-
-
-def test_pseudonyms_keep_formats_and_links(spark):
-    text = "a 2020-02-29 b 31/12/1999, 31.02.1999 ssn 123-45-6789 x@y.com A.Bc12@foo.org +1 (269) 555-3296 4524132264652876 4111 1111 1111 1111 1.2.3.4 999.2.3.4 4111111111111112"
-    rows = docs_of(spark, [text, "again 4524132264652876, 1.2.3.4", None, "", *HARD], found="clash")
-    out = pii.pseudonymise(rows.drop("found")).orderBy("doc_id").collect()
-    f = {x.value: (x.kind, x.pseudonym) for x in out[0].found}
-    assert {k for k, _ in f.values()} == {"date", "ssn", "email", "phone", "card", "ip"} and len(f) == 9
-    for v, (kind, p) in f.items():
-        shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", s)))
-        if kind != "ip":
-            assert shape(v) == shape(p), (v, p)
-        if kind == "card":
-            assert luhn(re.sub("[^0-9]", "", p))
-        if kind == "ip":
-            assert all(0 <= int(x) < 256 for x in p.split("."))
-    assert {x.value: x.pseudonym for x in out[1].found} == {v: f[v][1] for v in ("4524132264652876", "1.2.3.4")}
-    want = text
-    for v, (_, p) in f.items():
-        want = want.replace(v, "\0" + p)
-    assert out[0].text == want.replace("\0", "")
-    assert out[2].text is None and out[3].text == "" and [r.text for r in out[4:]] == HARD
-
-
-@pytest.mark.parametrize("m1,m2", [(1, 1), (1, 7), (10, 10), (17, 43), (800, 3)])
-def test_feistel_is_a_permutation(spark, m1, m2):
-    rows = spark.range(m1 * m2).select((F.col("id") / m2).cast("bigint").alias("a"), (F.col("id") % m2).alias("b"))
-    x = rows.select(pii.feistel("t", F.col("a"), F.col("b"), F.lit(m1).cast("bigint"), F.lit(m2).cast("bigint"), "k").alias("x")).select("x.*").collect()
-    assert {(r.a, r.b) for r in x} == {(a, b) for a in range(m1) for b in range(m2)}
-
-
-def test_dates_stay_distinct(spark):
-    days = spark.range(0, pii.DAYS, 37).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("t"))
-    x = days.select("t", pii.pseudonym(F.col("t"), "k").alias("p")).collect()
-    assert len({r.p for r in x}) == len(x) and all(re.fullmatch(r"(19|20)\d\d-\d\d-\d\d", r.p) for r in x)
 
 
 # 8. HTML.
@@ -469,11 +447,25 @@ def test_decontamination_with_many_words_replaced(spark):
 def test_decontamination_without_broadcast(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, decontaminate.contaminated(docs, items).collect())) == want
     assert decontaminate.contaminated(docs.where("false"), items).count() == decontaminate.contaminated(docs, items.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("most", [64 << 20, -1])
+def test_decontamination_ids(spark, monkeypatch, most):
+    """Null ids, one id with different texts, text ids, short and null items, extra columns."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+    items = {1: " ".join(f"w{j}" for j in range(20)), 2: "one", 3: "two words", 4: None, 5: "", 6: " ".join(f"w{j}" for j in range(5, 30))}
+    rows = [(None, f"x {items[1]} y"), (None, "nothing"), (7, f"a {items[6]}"), (7, items[1]), (7, "clean"), (7, items[1]), (8, "is ONE of"), (9, "the two words"), (10, None), (11, ""), (12, items[1] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("key", F.lit(0))
+    it = spark.createDataFrame(list(items.items()), "item_id long, text string").withColumn("n", F.lit(1))
+    got = {(r.doc_id, r.item_id): (r.word, r.n_matched) for r in decontaminate.contaminated(df, it).collect()}
+    assert got == {(None, 1): (1, 20), (None, 6): (6, 15), (7, 6): (1, 25), (7, 1): (0, 20), (8, 2): (1, 1), (9, 3): (1, 2), (12, 1): (0, 19), (12, 6): (43, 15)}
+    named = decontaminate.contaminated(df.withColumn("doc_id", F.md5(F.coalesce("text", F.lit("")))), it)
+    assert dict(named.dtypes)["doc_id"] == "string" and named.where("item_id = 2").count() == 1
+
+
 # 10. Packing.
 
 

@@ -32,7 +32,7 @@ def test_decisions(spark, sf, made):
     assert ids["benchmark"] == ids["duplicates"] - bad and bad
     assert ids["private"] == ids["benchmark"] == ids["packed"]
     old = {r.doc_id: r.text for r in made["benchmark"].collect()}
-    again = {r.doc_id: r.text for r in pii.pseudonymise(made["benchmark"].select("doc_id", "text")).collect()}
+    again = {r.doc_id: r.text for r in pii.pseudonymise(made["benchmark"].select("doc_id", "text"), pii.key_of(spark)).collect()}
     for r in made["private"].collect():
         assert r.text == again[r.doc_id] and r.n_chars == len(r.text) and (r.found, r.score) == (1, "clash")
     assert any(again[k] != old[k] for k in old)
