@@ -64,10 +64,12 @@ _KIND = "case kind when 0 then 'assign' when 1 then 'access' when 2 then 'hex' e
 _SECRETS = f"""with m as (select *, a + length(w) as b from ({_matches(0, secrets.ASSIGN, 2)} union all {_matches(1, secrets.ACCESS, 0)} union all {_matches(2, secrets.HEX, 0)} union all {_matches(3, '[A-Za-z0-9+/_-]{20,}', 0)}) z),
 base as (select * from m where kind < 3 and case kind when 0 then length(v) >= 6 when 1 then length(w) >= 20 else true end),
 s as (select * from base union all select * from m where kind = 3 and regexp_matches(w, '[0-9]') and regexp_matches(w, '[A-Za-z]') and not exists (select 1 from base where base.doc_id = m.doc_id and base.a < m.b and m.a < base.b)),
-o as (select v, count(distinct source) as owners from s group by v), t as (select s.*, owners from s join o on o.v = s.v)
+o as (select v, count(distinct coalesce(source, '')) as owners, count(distinct (coalesce(source, ''), doc_id)) as repos from s group by v),
+t as (select s.*, owners, repos, case when owners >= {secrets.WIDE_OWNERS} then 1 when repos >= {secrets.WIDE_REPOSITORIES} then 2 else 0 end as verdict from s join o on o.v = s.v)
 select d.doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex,
 sha256(coalesce(string_agg({_KIND}, ',' order by a, kind) filter (where kind < 3), '')) as base_sha256,
-coalesce(string_agg({_KIND}, ',' order by a, kind) filter (where kind < 3 or owners < {secrets.WIDE_OWNERS}), '') as spans,
-count(*) filter (where owners < {secrets.WIDE_OWNERS}) as n_live, count(*) filter (where owners >= {secrets.WIDE_OWNERS}) as n_example
+coalesce(string_agg({_KIND}, ',' order by a, kind) filter (where kind < 3 or verdict = 0), '') as spans,
+count(*) filter (where verdict = 0) as n_live, count(*) filter (where verdict = 1) as n_example, count(*) filter (where verdict = 2) as n_copied,
+coalesce(max(owners), 0) as most_owners, coalesce(max(repos), 0) as most_repositories
 from documents d left join t on t.doc_id = d.doc_id group by d.doc_id"""
 SQL: dict[str, str] = {"op1_schema_fingerprint_chat": _CHAT, "op2_ownership_secrets": _SECRETS, "op6_jaccard_join": _NEAR, "op9_spaced_seed_decontamination": _LEAKS}
