@@ -11,12 +11,15 @@ The masks are complete for this rule: whatever words are replaced, an alignment
 accept has a window in which one of them finds all its words.  The most words that can agree in n
 without a hit is subadditive in n and below the rule's count for all n from 3 to 200, so for all n.
 
-The windows of the test items are broadcast only while they number BROADCAST_ROWS at most;
-beyond that the hits come from a shuffled join and are verified after a join by document.
+The windows of the test items (hash, item and place) and their words are broadcast only while they
+take BROADCAST_BYTES at most; beyond that the hits come from a shuffled join and are verified after
+a join by document.  Of a run of hits on one alignment only the first is verified: a window goes
+when the one before it, of the same mask, hits the same item at the place before.
 
 Defined results: null or empty texts have no words and give no row; items with fewer words than
 a window is wide are looked for as a whole window of their own words (from 1 word up, exactly);
-repeated rows of a document give one row for each alignment; extra columns are ignored.
+rows with one doc_id, null included, give one row for each item, the best over all their texts;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 #: The words that each mask takes, by position in its window.
 MASKS = ((0, 1, 2), (0, 2, 3))
 SHARE, LEAST = 0.6, 8
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
+KEY_BYTES, ITEM_BYTES, WORD_BYTES = 64, 64, 8  # of a broadcast window, item and word, generously
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -62,55 +66,59 @@ def _place(p: Column, n: Column, masks) -> Column:
     return expr
 
 
+def _before(w: Column, p: Column, at: Column, absent: Column) -> Column:
+    """The hash of the window one word earlier, of the same mask; `absent` where there is none."""
+    return F.when(at > 0, F.get(w, p - 1)).otherwise(absent)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, masks=MASKS, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> (doc_id, item_id, word, n_matched, n_words, n_changed).
 
     One row for each document and item: its best alignment (most words, then the first place).
+    doc_id may be of any type.
     """
     width = min(max(m) + 1 for m in masks)
     t = items.select(F.col("item_id").cast("long").alias("item_id"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("b"))
     t = t.withColumn("nb", F.size("b")).where("nb > 0")
-    long_t = t.where(F.col("nb") >= width)
-    keys = long_t.select("item_id", "b", "nb", F.posexplode(_windows(F.col("b"), F.col("nb"), masks)).alias("p", "key"))
-    keys = keys.select("key", "item_id", "b", "nb", _place(F.col("p"), F.col("nb"), masks).alias("ib"))
+    item = t.select("item_id", "b", "nb")
+    kw = t.where(F.col("nb") >= width).select("item_id", "nb", _windows(F.col("b"), F.col("nb"), masks).alias("kw"))
+    keys = kw.select("item_id", "nb", "kw", F.posexplode("kw").alias("p", "key")).withColumn("ib", _place(F.col("p"), F.col("nb"), masks))
+    keys = keys.select("key", "item_id", "ib", _before(F.col("kw"), F.col("p"), F.col("ib"), F.lit(0).cast("bigint")).alias("key_before"))
     d = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).withColumn("n", F.size("h"))
-    n_keys = keys.count()
-    few = t.where(F.col("nb") < width)
-    sizes = [r.nb for r in few.select("nb").distinct().collect()]  # fewer than a window's words: a handful
+    size = t.agg(F.count("*").alias("items"), F.sum("nb").alias("words"), F.sum(F.when(F.col("nb") >= width, F.col("nb") * len(masks)).otherwise(F.lit(0))).alias("keys"), F.sum((F.col("nb") < width).cast("int")).alias("few")).first()
+    weight = (size.keys or 0) * KEY_BYTES + (size.words or 0) * WORD_BYTES + size["items"] * ITEM_BYTES
 
     def agree(h: Column, b: Column, nb: Column, diag: Column) -> Column:
         return F.size(F.filter(F.sequence(F.lit(0), nb - 1), lambda i: (i + diag >= 0) & (F.get(h, F.greatest(i + diag, F.lit(0))) == F.get(b, i))))
 
     where = _place(F.col("p"), F.col("n"), masks)
-    if n_keys <= BROADCAST_ROWS:
-        hits = (
-            d.select("doc_id", "h", "n", F.posexplode(_windows(F.col("h"), F.col("n"), masks)).alias("p", "key"))
-            .join(F.broadcast(keys), "key")
-            .select("doc_id", "item_id", "nb", (where - F.col("ib")).alias("diag"), "h", "b")
-        )
-        found = hits.select("doc_id", "item_id", "nb", "diag", agree(F.col("h"), F.col("b"), F.col("nb"), F.col("diag")).alias("m"))
+    w = d.select("doc_id", "h", "n", _windows(F.col("h"), F.col("n"), masks).alias("w"))
+    cut = w.select("doc_id", "h", "n", "w", F.posexplode("w").alias("p", "key"))
+    matched = agree(F.col("h"), F.col("b"), F.col("nb"), F.col("diag")).alias("m")
+    if weight <= BROADCAST_BYTES:
+        starts = (F.col("ib") == 0) | (where == 0) | (F.coalesce(F.get("w", F.greatest(F.col("p") - 1, F.lit(0))), F.lit(0)) != F.col("key_before"))
+        hits = cut.join(F.broadcast(keys), "key").where(starts).select("doc_id", "item_id", (where - F.col("ib")).alias("diag"), "h")
+        found = hits.join(F.broadcast(item), "item_id").select("doc_id", "item_id", "nb", "diag", matched)
     else:
-        seeds = (
-            d.select("doc_id", "n", F.posexplode(_windows(F.col("h"), F.col("n"), masks)).alias("p", "key"))
-            .join(keys.select("key", "item_id", "ib"), "key")
-            .select("doc_id", "item_id", (where - F.col("ib")).alias("diag"))
-            .distinct()
-        )
-        found = seeds.join(t, "item_id").join(d, "doc_id").select("doc_id", "item_id", "nb", "diag", agree(F.col("h"), F.col("b"), F.col("nb"), F.col("diag")).alias("m"))
-    for size in sizes:  # items shorter than a window, whole
-        own = few.where(F.col("nb") == size).select("item_id", F.xxhash64(F.lit(-size), *[F.get("b", F.lit(j)) for j in range(size)]).alias("key"))
-        at = F.when(F.col("n") >= size, F.sequence(F.lit(0), F.col("n") - size)).otherwise(F.array().cast("array<int>"))
-        win = F.transform(at, _hashed(F.col("h"), -size, range(size)))
-        found = found.union(
-            d.select("doc_id", F.posexplode(win).alias("diag", "key")).join(own, "key").select("doc_id", "item_id", F.lit(size).alias("nb"), "diag", F.lit(size).alias("m"))
-        )
+        seeds = cut.select("doc_id", "key", where.alias("at")).join(keys, "key").select("doc_id", "item_id", (F.col("at") - F.col("ib")).alias("diag")).distinct()
+        texts = d.select(F.col("doc_id").alias("text_of"), "h")
+        found = seeds.join(item, "item_id").join(texts, F.col("doc_id").eqNullSafe(F.col("text_of"))).select("doc_id", "item_id", "nb", "diag", matched)
+    if size.few:  # items shorter than a window, whole; their words number less than a window's, so the sizes are a handful
+        few = t.where(F.col("nb") < width)
+        for n in range(1, width):
+            own = few.where(F.col("nb") == n).select("item_id", F.xxhash64(F.lit(-n), *[F.get("b", F.lit(j)) for j in range(n)]).alias("key"))
+            at = F.when(F.col("n") >= n, F.sequence(F.lit(0), F.col("n") - n)).otherwise(F.array().cast("array<int>"))
+            win = F.transform(at, _hashed(F.col("h"), -n, range(n)))
+            own = F.broadcast(own) if size.few * KEY_BYTES <= BROADCAST_BYTES else own
+            found = found.union(d.select("doc_id", F.posexplode(win).alias("diag", "key")).join(own, "key").select("doc_id", "item_id", F.lit(n).alias("nb"), "diag", F.lit(n).alias("m")))
     best = found.where((F.col("m") >= F.least(F.lit(least), F.col("nb"))) & (F.col("m") >= F.col("nb") * share))
     best = best.groupBy("doc_id", "item_id").agg(F.max(F.struct("m", (-F.col("diag")).alias("back"), "nb")).alias("x"))
     return best.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "item_id", (-F.col("x.back")).cast("long").alias("word"),
+        "doc_id", "item_id", (-F.col("x.back")).cast("long").alias("word"),
         F.col("x.m").cast("long").alias("n_matched"), F.col("x.nb").cast("long").alias("n_words"), (F.col("x.nb") - F.col("x.m")).cast("long").alias("n_changed"),
     )
 
 
 def op9_spaced_seed_decontamination(spark, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
