@@ -41,7 +41,7 @@ def benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal numbers, dates and addresses by pseudonyms; n_chars follows the text."""
-    done = pii.pseudonymise(docs.select(_row(docs), "text"))
+    done = pii.pseudonymise(docs.select(_row(docs), "text"), pii.key_of(spark))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
