@@ -18,8 +18,8 @@ when the one before it, of the same mask, hits the same item at the place before
 
 Defined results: null or empty texts have no words and give no row; items with fewer words than
 a window is wide are looked for as a whole window of their own words (from 1 word up, exactly);
-rows with one doc_id, null included, give one row for each item, the best over all their texts;
-extra columns are ignored.
+rows with one doc_id, null included, give one row for each item, the best over all their texts, and items without an id
+are one item with id null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,32 +43,29 @@ def _hashed(h: Column, tag: int, places):
     return lambda i: F.xxhash64(F.lit(tag), *[F.get(h, i + F.lit(j)) for j in places])
 
 
-def _windows(h: Column, n: Column, masks) -> Column:
-    """All windows of all masks, mask by mask: array of hashes."""
+def _windows(h: Column, n: Column, masks) -> list[Column]:
+    """For each mask the hashes of all its windows, by first word."""
     parts = []
     for k, m in enumerate(masks):
         last = n - F.lit(max(m) + 1)
         at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         parts.append(F.transform(at, _hashed(h, k, m)))
-    return F.concat(*parts)
+    return parts
 
 
-def _place(p: Column, n: Column, masks) -> Column:
-    """Of a place in _windows' array, the window's first word."""
-    counts = [F.greatest(n - F.lit(max(m)), F.lit(0)) for m in masks]
-    start, expr = F.lit(0), None
-    cases = []
-    for c in counts:
-        cases.append((p < start + c, p - start))
-        start = start + c
-    for cond, val in reversed(cases):
-        expr = val if expr is None else F.when(cond, val).otherwise(expr)
-    return expr
-
-
-def _before(w: Column, p: Column, at: Column, absent: Column) -> Column:
-    """The hash of the window one word earlier, of the same mask; `absent` where there is none."""
-    return F.when(at > 0, F.get(w, p - 1)).otherwise(absent)
+def _cut(rows: DataFrame, h: str, n: str, masks) -> DataFrame:
+    """rows and, for each window of each mask, key, at (its first word) and key_before (the same mask's window one word earlier, or 0)."""
+    names = [f"_w{k}" for k in range(len(masks))]
+    rows = rows.withColumns(dict(zip(names, _windows(F.col(h), F.col(n), masks), strict=True)))
+    # The generator's input is an expression: of a column, Catalyst would infer a filter that computes the windows anew.
+    rows = rows.select("*", F.posexplode(F.concat(*names)).alias("_p", "key"))
+    start, at, before = F.lit(0), None, None
+    for w, m in zip(names, masks, strict=True):
+        end, here = start + F.greatest(F.col(n) - F.lit(max(m)), F.lit(0)), F.col("_p") - start
+        last = F.get(w, here - 1)
+        at, before = (F.when(F.col("_p") < end, here), F.when(F.col("_p") < end, last)) if at is None else (at.when(F.col("_p") < end, here), before.when(F.col("_p") < end, last))
+        start = end
+    return rows.select("*", at.alias("at"), F.coalesce(before, F.lit(0)).alias("key_before")).drop("_p", *names)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, masks=MASKS, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -80,10 +77,9 @@ def contaminated(docs: DataFrame, items: DataFrame, masks=MASKS, share: float =
     width = min(max(m) + 1 for m in masks)
     t = items.select(F.col("item_id").cast("long").alias("item_id"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("b"))
     t = t.withColumn("nb", F.size("b")).where("nb > 0")
-    item = t.select("item_id", "b", "nb")
-    kw = t.where(F.col("nb") >= width).select("item_id", "nb", _windows(F.col("b"), F.col("nb"), masks).alias("kw"))
-    keys = kw.select("item_id", "nb", "kw", F.posexplode("kw").alias("p", "key")).withColumn("ib", _place(F.col("p"), F.col("nb"), masks))
-    keys = keys.select("key", "item_id", "ib", _before(F.col("kw"), F.col("p"), F.col("ib"), F.lit(0).cast("bigint")).alias("key_before"))
+    item = t.select(F.col("item_id").alias("whole"), "b", "nb")
+    same = F.col("item_id").eqNullSafe(F.col("whole"))
+    keys = _cut(t.where(F.col("nb") >= width), "b", "nb", masks).select("key", "item_id", F.col("at").alias("ib"), F.col("key_before").alias("item_before"))
     d = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).withColumn("n", F.size("h"))
     size = t.agg(F.count("*").alias("items"), F.sum("nb").alias("words"), F.sum(F.when(F.col("nb") >= width, F.col("nb") * len(masks)).otherwise(F.lit(0))).alias("keys"), F.sum((F.col("nb") < width).cast("int")).alias("few")).first()
     weight = (size.keys or 0) * KEY_BYTES + (size.words or 0) * WORD_BYTES + size["items"] * ITEM_BYTES
@@ -91,18 +87,16 @@ def contaminated(docs: DataFrame, items: DataFrame, masks=MASKS, share: float =
     def agree(h: Column, b: Column, nb: Column, diag: Column) -> Column:
         return F.size(F.filter(F.sequence(F.lit(0), nb - 1), lambda i: (i + diag >= 0) & (F.get(h, F.greatest(i + diag, F.lit(0))) == F.get(b, i))))
 
-    where = _place(F.col("p"), F.col("n"), masks)
-    w = d.select("doc_id", "h", "n", _windows(F.col("h"), F.col("n"), masks).alias("w"))
-    cut = w.select("doc_id", "h", "n", "w", F.posexplode("w").alias("p", "key"))
+    cut = _cut(d, "h", "n", masks)
     matched = agree(F.col("h"), F.col("b"), F.col("nb"), F.col("diag")).alias("m")
     if weight <= BROADCAST_BYTES:
-        starts = (F.col("ib") == 0) | (where == 0) | (F.coalesce(F.get("w", F.greatest(F.col("p") - 1, F.lit(0))), F.lit(0)) != F.col("key_before"))
-        hits = cut.join(F.broadcast(keys), "key").where(starts).select("doc_id", "item_id", (where - F.col("ib")).alias("diag"), "h")
-        found = hits.join(F.broadcast(item), "item_id").select("doc_id", "item_id", "nb", "diag", matched)
+        starts = (F.col("ib") == 0) | (F.col("at") == 0) | (F.col("key_before") != F.col("item_before"))
+        hits = cut.join(F.broadcast(keys), "key").where(starts).select("doc_id", "item_id", (F.col("at") - F.col("ib")).alias("diag"), "h")
+        found = hits.join(F.broadcast(item), same).select("doc_id", "item_id", "nb", "diag", matched)
     else:
-        seeds = cut.select("doc_id", "key", where.alias("at")).join(keys, "key").select("doc_id", "item_id", (F.col("at") - F.col("ib")).alias("diag")).distinct()
+        seeds = cut.select("doc_id", "key", "at").join(keys, "key").select("doc_id", "item_id", (F.col("at") - F.col("ib")).alias("diag")).distinct()
         texts = d.select(F.col("doc_id").alias("text_of"), "h")
-        found = seeds.join(item, "item_id").join(texts, F.col("doc_id").eqNullSafe(F.col("text_of"))).select("doc_id", "item_id", "nb", "diag", matched)
+        found = seeds.join(item, same).join(texts, F.col("doc_id").eqNullSafe(F.col("text_of"))).select("doc_id", "item_id", "nb", "diag", matched)
     if size.few:  # items shorter than a window, whole; their words number less than a window's, so the sizes are a handful
         few = t.where(F.col("nb") < width)
         for n in range(1, width):

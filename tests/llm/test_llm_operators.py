@@ -457,11 +457,11 @@ def test_decontamination_ids(spark, monkeypatch, most):
     """Null ids, one id with different texts, text ids, short and null items, extra columns."""
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
     items = {1: " ".join(f"w{j}" for j in range(20)), 2: "one", 3: "two words", 4: None, 5: "", 6: " ".join(f"w{j}" for j in range(5, 30))}
-    rows = [(None, f"x {items[1]} y"), (None, "nothing"), (7, f"a {items[6]}"), (7, items[1]), (7, "clean"), (7, items[1]), (8, "is ONE of"), (9, "the two words"), (10, None), (11, ""), (12, items[1] * 3)]
+    rows = [(None, f"x {items[1]} y"), (None, "nothing"), (13, "so n1 n2 n3 n4 n5 n6 n7 n8 n9"), (7, f"a {items[6]}"), (7, items[1]), (7, "clean"), (7, items[1]), (8, "is ONE of"), (9, "the two words"), (10, None), (11, ""), (12, items[1] * 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("key", F.lit(0))
-    it = spark.createDataFrame(list(items.items()), "item_id long, text string").withColumn("n", F.lit(1))
+    it = spark.createDataFrame([*items.items(), (None, "n1 n2 n3 n4 n5 n6 n7 n8")], "item_id long, text string").withColumn("n", F.lit(1))
     got = {(r.doc_id, r.item_id): (r.word, r.n_matched) for r in decontaminate.contaminated(df, it).collect()}
-    assert got == {(None, 1): (1, 20), (None, 6): (6, 15), (7, 6): (1, 25), (7, 1): (0, 20), (8, 2): (1, 1), (9, 3): (1, 2), (12, 1): (0, 19), (12, 6): (43, 15)}
+    assert got == {(None, 1): (1, 20), (None, 6): (6, 15), (7, 6): (1, 25), (7, 1): (0, 20), (8, 2): (1, 1), (9, 3): (1, 2), (12, 1): (0, 19), (12, 6): (43, 15), (13, None): (1, 8)}
     named = decontaminate.contaminated(df.withColumn("doc_id", F.md5(F.coalesce("text", F.lit("")))), it)
     assert dict(named.dtypes)["doc_id"] == "string" and named.where("item_id = 2").count() == 1
 
