@@ -1,20 +1,37 @@
-"""HTML main text by element rules, with equivalence classes of tokens against repeated text.
-
-Tokens of a page are its tags (with class, id and role) and its text blocks.  The occurrence vector
-of a token over the pages of a host is kept as one value: the exclusive or of a hash of (page,
-count) over the pages that have it, which partial aggregation makes without ever holding a host's
-pages together.  Tokens with equal vectors form an equivalence class; a class is kept when it has
-two tokens or more, or is one text block, on `support` of the host's pages or more (two pages at
-least).  The order of a token is its mean place.  Order and nesting of a class are not checked.
-
-The main text is what lies in an article or main element, or, on pages without, all text blocks
-outside that are not mostly links and not template tokens themselves (notices, menus, licence lines
-repeated over the host); in both cases without chrome (menus, headers, footers, sidebars, notices,
-adverts, forms, comments, by element, role and class names).  The template's tag tokens cut the page
-into slots, which are counted in `n_slots`; they choose no text.
-
-Defined results: null html is empty text; pages without a host, or alone on it, have no template
-and are read by their elements; broken markup at the end of a page is dropped as markup; repeated rows are treated alike; extra columns are ignored.
+"""HTML main text by equivalence-class template deduction.
+
+Tokens of a page are its tags, each told apart by the path of elements (with class, id and role) that
+leads to it, and its text blocks.  The occurrence vector of a token over the pages of a host is kept
+as one value: the exclusive or of a hash of (page, count) over the distinct pages that have it, which
+partial aggregation makes without ever holding a host's pages together.  Tokens with equal vectors
+form an equivalence class; classes of two tokens or more (or of one text block) on `support` of the
+host's distinct pages, two at least, are candidates.
+
+A class is valid when it is ordered and nested, which a second pass checks page by page: its tokens
+follow each other in one order, repeated as often as they occur, and the same order on every page;
+and all its tuples lie in one slot, the gap between two tokens that occur once a page, the same slot
+on every page.  Classes whose tokens occur once a page are the frame; the others are nested in the
+frame's slots.  Invalid classes take no part.
+
+The template chooses the text.  For every element of the frame (open and close tag in one valid
+class) the second pass also sums how much of the pages' plain text, outside links and template text,
+lies in its slots.  The main region of a host is the deepest element that holds REGION of it; an
+article or main element around it, or blocks in such elements within it, are taken instead, and names
+say only which elements can't be the region (text-level ones, chrome) and which blocks inside go (a
+form or advert within the article).
+A text block that is a token of a valid class on `text_support` of the host's distinct contents goes
+wherever it is: it is the template's.  All other blocks of the region are the main text.  A content is
+told by a page's two longest blocks, so that copies of a page under other addresses are one content
+and keep their text; fewer than `least` contents tell no template text.
+
+Pages of hosts without a valid frame (one page, say) and pages that lack their host's region are read
+by element, role and class names alone: the article or main element, or else all blocks that are not
+mostly links, without chrome.  `by_template` says which way a page went, `n_slots` how many slots of
+its frame hold its text.
+
+Defined results: null html is empty text; pages without a host, or alone on it, are read by their
+names; broken markup at the end of a page is dropped as markup; repeated rows are one page of their
+host and all get its text; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +47,9 @@ from pyspark.sql import functions as F
 
 from ._store import small_batches, stage
 
-SUPPORT = 0.5
-LEAST_TEXT_PAGES = 4  # a text block needs so many pages to be template
+SUPPORT, TEXT_SUPPORT, LEAST_CONTENTS = 0.5, 0.8, 4
+REGION = 2 / 3  # of the plain text, that the region holds
+HOT_HOSTS = 1000  # hosts with a share of 1 / HOT_HOSTS of the pages or more get their template by broadcast
 
 #: Elements by what they do to text.
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "title", "xmp", "noframes", "noembed")
@@ -48,12 +66,17 @@ NAMES = frozenset(
 HEADS = frozenset(["header", "masthead"])
 ABOUT = frozenset("with has have no without is not hide show".split())
 FRAMES = frozenset("html body main".split())
+#: Elements of the level of text, which are no region.
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption legend summary address center option thead tbody tfoot html a b i u em strong span small label title".split())
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 _NAME = re.compile(r"[a-z0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
+OPEN, CLOSE, TEXT = 0, 1, 2
+REGION_LIKE, ARTICLE_LIKE = 1, 2  # flags of an open tag
 
 
 def host_of(url: str | None) -> str:
@@ -69,7 +92,7 @@ def _attributes(raw: str) -> tuple[str, bool, bool, str]:
     for name, a, b, c in _ATTR.findall(raw):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            parts.append(value)
+            parts.append(_DIGITS.sub("0", value))
             for one in value.split():
                 words = _NAME.findall(one)
                 if words and words[0] not in ABOUT:
@@ -84,11 +107,15 @@ def _attributes(raw: str) -> tuple[str, bool, bool, str]:
     return ".".join(parts), chrome, head, role
 
 
-def read(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, bool, bool, float]]]:
-    """Tokens in order as (key, block index or -1), and text blocks as (text, chrome, in article, share of it in links)."""
-    tokens: list[tuple[str, int]] = []
-    blocks: list[tuple[str, bool, bool, float]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, chrome, article
+def read(page: str) -> tuple[list[tuple[int, int, int]], list[tuple[str, bool, bool, float, int]]]:
+    """Tokens in order as (hash, kind, detail), and text blocks as (text, chrome, in article, share of it in links, plain characters).
+
+    A tag's hash is of the path that leads to it; an open and its close tag are the same but for the
+    last bit.  The detail of a text token is its block, that of an open tag its flags.
+    """
+    tokens: list[tuple[int, int, int]] = []
+    blocks: list[tuple[str, bool, bool, float, int]] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # element, chrome, article, hash of the path
     buf: list[str] = []
     linked = total = 0
     links = 0
@@ -99,8 +126,8 @@ def read(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, bool, bool,
         if buf:
             text = " ".join(html.unescape("".join(buf)).split())
             if text:
-                tokens.append(("\t" + text, len(blocks)))
-                blocks.append((text, chrome, article, linked / total if total else 0.0))
+                tokens.append((_text_hash(text), TEXT, len(blocks)))
+                blocks.append((text, chrome, article, linked / total if total else 0.0, total - linked))
             buf.clear()
         linked = total = 0
 
@@ -150,9 +177,9 @@ def read(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, bool, bool,
                 flush()
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
+                    tokens.append((stack[depth][3] | 1, CLOSE, 0))
                     close_to(depth)
                     break
-            tokens.append(("/" + name, -1))
             continue
         key, bad, head, role = _attributes(raw)
         if name in RAW:
@@ -160,106 +187,257 @@ def read(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, bool, bool,
             at = end.end() if end else n
             if name == "title":
                 flush()
-            tokens.append((name, -1))
+            tokens.append((_path(name, stack), OPEN, 0))
             continue
         if name in BLOCK:
             flush()
         elif name == "br":
             add("\n")
-        tokens.append((f"{name} {key}" if key else name, -1))
         while stack and name in CLOSES.get(stack[-1][0], ()):
             close_to(len(stack) - 1)
+        here = _path(f"{name} {key}" if key else name, stack)
         if name in VOID or raw.endswith("/") and name not in BLOCK:
+            tokens.append((here, OPEN, 0))
             continue
         in_article = article or name in ("article", "main") or role in ("main", "article")
         if name in FRAMES:
             bad = head = False
         bad = bad or name in CHROME or ((head or name == "header") and not article)
-        stack.append((name, chrome or bad, in_article))
+        stack.append((name, chrome or bad, in_article, here))
+        can = name in BLOCK and name not in TEXT_LEVEL and not (chrome or bad)
+        tokens.append((here, OPEN, REGION_LIKE * can + ARTICLE_LIKE * (can and (name in ("article", "main") or role in ("main", "article")))))
         links += name == "a"
         chrome, article = stack[-1][1], stack[-1][2]
     flush()
     return tokens, blocks
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+def _signed(h: int) -> int:
+    return h - (1 << 63)
 
 
-def _occurrences(batches):
-    """(host, token, mark, place, is_text) of each distinct token of each page; the mark hashes (page, count)."""
+def _path(key: str, stack: list) -> int:
+    """Hash of a tag under the open elements; even, as the last bit tells its close tag."""
+    return xxhash.xxh64_intdigest(key, seed=stack[-1][3] if stack else 1) & ~1
+
+
+def _text_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest("\t" + text)
+
+
+PARSED = "page_id long, url string, host string, page long, content long, tokens binary, kinds binary, texts array<string>, flags array<int>, plain array<int>"
+CHROME_BLOCK, IN_ARTICLE, LINKY = 1, 2, 4
+
+
+def _parse(batches):
+    """Every page once: its tokens (hashes, and kind + 4 * detail), blocks, identity and content."""
     for batch in batches:
         col = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-        hosts, toks, marks, places, texts = [], [], [], [], []
-        for page, url, body in zip(col("page_id"), col("url"), col("html"), strict=True):
-            host = host_of(url)
-            if not host or not body:
+        rows = []
+        for url, body in zip(col("url"), col("html"), strict=True):
+            tokens, blocks = read(body or "")
+            hashes = np.array([t[0] for t in tokens], np.uint64)
+            kinds = np.array([t[1] + 4 * t[2] for t in tokens], np.int32)
+            longest = sorted((b[0] for b in blocks), key=lambda t: (-len(t), t))[:2]
+            rows.append((
+                host_of(url), _signed(xxhash.xxh64_intdigest(hashes.tobytes())), _signed(xxhash.xxh64_intdigest("\n".join(longest))), hashes.tobytes(), kinds.tobytes(),
+                [b[0] for b in blocks], [CHROME_BLOCK * b[1] + IN_ARTICLE * b[2] + LINKY * (b[3] >= 0.5) for b in blocks], [b[4] for b in blocks],
+            ))
+        kinds_of = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds_of)]
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("page_id")), batch.column(batch.schema.get_field_index("url")), *cols], names=[x.split()[0] for x in PARSED.split(", ")])
+
+
+def _occurrences(batches):
+    """(host, token, page, content, n, place, kind) of each distinct token of each page; a page's start is token 0."""
+    for batch in batches:
+        at = lambda c: batch.column(batch.schema.get_field_index(c))
+        out = []
+        for i, (host, page, content) in enumerate(zip(at("host").to_pylist(), at("page").to_pylist(), at("content").to_pylist(), strict=True)):
+            if not host:
                 continue
-            tokens, _ = read(body)
-            seen: dict[str, list] = {}
-            for i, (key, _) in enumerate(tokens):
-                if key in seen:
-                    seen[key][0] += 1
+            h = np.frombuffer(at("tokens")[i].as_py(), np.uint64)
+            u, first, n = np.unique(h, return_index=True, return_counts=True)
+            kind = np.frombuffer(at("kinds")[i].as_py(), np.int32)[first]
+            out.append((host, page, content, np.append(u, np.uint64(0)), np.append(n, 1), np.append(first / max(len(h), 1), -1.0), np.append(kind, 0)))
+        if out:
+            sizes = [len(o[3]) for o in out]
+            cols = [pa.array(np.repeat(np.array([o[k] for o in out], object if k == 0 else np.int64), sizes)) for k in range(3)]
+            tok, n, place, kind = (np.concatenate([o[k] for o in out]) for k in range(3, 7))
+            yield pa.RecordBatch.from_arrays(
+                [cols[0].cast(pa.string()), pa.array(tok.view(np.int64)), cols[1], cols[2], pa.array(n.astype(np.int64)), pa.array(place.astype(float)), pa.array(kind.astype(np.int32))],
+                names=["host", "token", "page", "content", "n", "place", "kind"],
+            )
+
+
+def deduce(parsed: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """(host, pages, contents, tokens): for each host its candidate tokens as (class, token, once, contents), by class and mean place; classes are not validated yet."""
+    seen = parsed.mapInArrow(_occurrences, "host string, token long, page long, content long, n long, place double, kind int")
+    # Repeated rows of a page are one; copies of a content are counted once beside it.
+    one = seen.groupBy("host", "token", "content", "page").agg(F.first("n").alias("n"), F.first("place").alias("place"), F.first("kind").alias("kind"))
+    by_content = one.groupBy("host", "token", "content").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("n"), F.max("n").alias("most"), F.sum("place").alias("place"), F.max("kind").alias("kind"))
+    vectors = by_content.groupBy("host", "token").agg(
+        F.bit_xor("vector").alias("vector"), F.sum("n").alias("n"), F.count("*").alias("contents"), F.max("most").alias("most"), (F.sum("place") / F.sum("n")).alias("place"), F.max("kind").alias("kind")
+    )
+    vectors = stage(vectors.where("n > 1"), "vectors")
+    size = vectors.where("token = 0").select("host", F.col("n").alias("pages"), F.col("contents").alias("all_contents"))
+    often = vectors.where("token <> 0").join(size, "host").where(F.col("n") >= F.col("pages") * support)
+    classes = often.groupBy("host", "vector").agg(
+        F.first("pages").alias("pages"), F.first("all_contents").alias("all_contents"),
+        F.array_sort(F.collect_list(F.struct("place", "token", (F.col("most") == 1).alias("once"), "contents", (F.col("kind") % 4 == TEXT).alias("is_text")))).alias("c"),
+    ).where("size(c) > 1 or c[0].is_text")
+    one = classes.select("host", "pages", "all_contents", "vector", F.posexplode("c").alias("at", "t"))
+    item = F.struct("vector", "at", "t.token", "t.once", F.col("t.contents").alias("contents"), "t.is_text")
+    return one.groupBy("host").agg(F.first("pages").alias("pages"), F.first("all_contents").alias("all_contents"), F.array_sort(F.collect_list(item)).alias("tokens"))
+
+
+class Frame:
+    """One host's candidate tokens, by hash."""
+
+    def __init__(self, tokens: list[dict], all_contents: int, text_support: float, least: int):
+        self.of = {t["token"]: (t["vector"], t["once"], t["is_text"]) for t in tokens}
+        self.constant = {t["token"] for t in tokens if t["is_text"] and t["contents"] >= max(least, text_support * all_contents)}
+
+    def without(self, bad: set[int]):
+        """Only valid classes."""
+        self.of = {k: v for k, v in self.of.items() if v[0] not in bad}
+        self.constant = {t for t in self.constant if t in self.of}
+        return self
+
+
+def _order(hashes: np.ndarray) -> int:
+    """Hash of the order in which a class's tokens follow each other; 0 where they are no repeated tuple."""
+    n = len(np.unique(hashes))
+    first = hashes[:n]
+    if len(hashes) % n or (hashes.reshape(-1, n) != first).any():
+        return 0
+    return _signed(xxhash.xxh64_intdigest(first.tobytes()) | 1)
+
+
+def _elements(h: np.ndarray, kind: np.ndarray, frame: Frame) -> list[tuple[int, int, int, int]]:
+    """Elements of the frame on a page, as (hash, open place, close place, flags): both tags once a page, in one class."""
+    out = []
+    places = {int(x): i for i, x in enumerate(h.view(np.int64).tolist())}
+    for token, (vector, once, is_text) in frame.of.items():
+        if once and not is_text and not token & 1 and token in places and (token | 1) in places and frame.of.get(token | 1, (None,))[0] == vector:
+            a, b = places[token], places[token | 1]
+            if a < b:
+                out.append((token, a, b, int(kind[a]) >> 2))
+    return out
+
+
+def _check(text_support: float, least: int):
+    """(host, id, is_class, order, slot, inside, total): each candidate class's order and slot, each element's plain text, page by page."""
+
+    def run(batches):
+        for batch in batches:
+            at = lambda c: batch.column(batch.schema.get_field_index(c))
+            memo: dict[str, Frame] = {}
+            out: list[tuple] = []
+            for i, host in enumerate(at("host").to_pylist()):
+                if host not in memo:
+                    memo[host] = Frame(at("cand")[i].as_py(), at("all_contents")[i].as_py(), text_support, least)
+                frame = memo[host]
+                h = np.frombuffer(at("tokens")[i].as_py(), np.uint64)
+                kind = np.frombuffer(at("kinds")[i].as_py(), np.int32)
+                known = [frame.of.get(x) for x in h.view(np.int64).tolist()]
+                spine = np.cumsum([k is not None and k[1] and not k[2] for k in known]) if len(known) else np.zeros(0, int)
+                gate = [0, *(int(x) for x, k in zip(h.view(np.int64), known, strict=True) if k is not None and k[1] and not k[2])]  # the frame's token that opens each slot
+                where: dict[int, list[int]] = {}
+                for p, k in enumerate(known):
+                    if k is not None:
+                        where.setdefault(k[0], []).append(p)
+                for vector, ps in where.items():
+                    once = known[ps[0]][1]
+                    slots = set() if once else {int(spine[p]) for p in ps}
+                    slot = gate[slots.pop()] if len(slots) == 1 else 0
+                    out.append((host, vector, True, 0 if slots else _order(h[ps]), slot, 0, 0))
+                plain = np.zeros(len(h), np.int64)
+                amounts = at("plain")[i].as_py()
+                for p in np.flatnonzero(kind % 4 == TEXT):
+                    if int(h[p].view(np.int64)) not in frame.constant:
+                        plain[p] = amounts[kind[p] >> 2]
+                sums = np.concatenate([[0], np.cumsum(plain)])
+                for token, a, b, _ in _elements(h, kind, frame):
+                    out.append((host, token, False, 0, 0, int(sums[b] - sums[a]), int(sums[-1])))
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["host", "id", "is_class", "order", "slot", "inside", "total"])
+
+    return run
+
+
+def verdicts(said: DataFrame) -> DataFrame:
+    """(host, id, is_class, valid, inside, total) from what _check says of single pages."""
+    same = (F.min("order") == F.max("order")) & (F.min("order") != 0) & (F.min("slot") == F.max("slot"))
+    return said.groupBy("host", "id", "is_class").agg(same.alias("valid"), F.sum("inside").alias("inside"), F.sum("total").alias("total"))
+
+
+def _extract(text_support: float, least: int, region: float):
+    def run(batches):
+        for batch in batches:
+            at = lambda c: batch.column(batch.schema.get_field_index(c))
+            memo: dict[str, tuple[Frame | None, dict[int, tuple[int, int]]]] = {}
+            made = []
+            for i, host in enumerate(at("host").to_pylist()):
+                h = np.frombuffer(at("tokens")[i].as_py(), np.uint64)
+                kind = np.frombuffer(at("kinds")[i].as_py(), np.int32)
+                texts, flags = at("texts")[i].as_py(), at("flags")[i].as_py()
+                if host not in memo:
+                    cand, checks = at("cand")[i].as_py(), at("checks")[i].as_py() or []
+                    bad = {c["id"] for c in checks if c["is_class"] and not c["valid"]}
+                    memo[host] = (Frame(cand, at("all_contents")[i].as_py(), text_support, least).without(bad) if cand else None, {c["id"]: (c["inside"], c["total"]) for c in checks if not c["is_class"]})
+                frame, held = memo[host]
+                place = np.zeros(len(texts), np.int64)
+                is_text = kind % 4 == TEXT
+                place[kind[is_text] >> 2] = np.flatnonzero(is_text)
+                chosen, slots, way = None, 0, False
+                if frame is not None:
+                    rich = [(a, b, f) for t, a, b, f in _elements(h, kind, frame) if f & REGION_LIKE and held.get(t, (0, 1))[0] >= region * max(held.get(t, (0, 1))[1], 1)]
+                    articles = [x for x in rich if x[2] & ARTICLE_LIKE]
+                    fixed = {j for j in range(len(texts)) if int(h[place[j]].view(np.int64)) in frame.constant}
+                    if rich:
+                        a, b, f = min(articles) if articles else max(rich)
+                        way = True
+                        chosen = [j for j in range(len(texts)) if a < place[j] < b and not flags[j] & CHROME_BLOCK and j not in fixed]
+                        if not f & ARTICLE_LIKE:  # names break the tie where no deeper element holds enough
+                            chosen = [j for j in chosen if flags[j] & IN_ARTICLE] or [j for j in chosen if not flags[j] & LINKY]
+                    spine = np.cumsum([bool((k := frame.of.get(x)) and k[1] and not k[2]) for x in h.view(np.int64).tolist()])
                 else:
-                    seen[key] = [1, i]
-            for key, (count, first) in seen.items():
-                hosts.append(host)
-                toks.append(_hash(key))
-                marks.append(_hash(f"{page}:{count}"))
-                places.append(first / len(tokens))
-                texts.append(int(key[0] == "\t"))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(toks, pa.int64()), pa.array(marks, pa.int64()), pa.array(places, pa.float64()), pa.array(texts, pa.int32())], names=["host", "token", "mark", "place", "is_text"])
-
-
-def deduce(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """(host, tokens): for each host the template's tokens in order, as (token, is_text, class size)."""
-    seen = pages.mapInArrow(_occurrences, "host string, token long, mark long, place double, is_text int")
-    vectors = stage(seen.groupBy("host", "token").agg(F.bit_xor("mark").alias("vector"), F.count("*").alias("n"), F.avg("place").alias("place"), F.max("is_text").alias("is_text")).where("n > 1"), "vectors")
-    size = vectors.groupBy("host").agg(F.max("n").alias("pages"))  # the page's own frame is on all pages
-    often = vectors.join(stage(size, "hosts"), "host").where((F.col("n") >= F.col("pages") * support) & ((F.col("is_text") == 0) | (F.col("n") >= LEAST_TEXT_PAGES)))
-    classes = often.groupBy("host", "vector").agg(F.collect_list(F.struct("place", "token", "is_text")).alias("c")).where("size(c) > 1 or c[0].is_text = 1")
-    one = classes.select("host", F.explode("c").alias("t"), F.size("c").alias("size"))
-    return one.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("t.place", "t.token", "t.is_text", "size"))).alias("tokens"))
-
-
-def _extract(batches):
-    for batch in batches:
-        col = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-        made = []
-        memo: dict[str, tuple[dict, set]] = {}
-        for url, body, template in zip(col("url"), col("html"), col("tokens"), strict=True):
-            host = host_of(url)
-            if host not in memo:
-                memo[host] = ({t["token"]: i for i, t in enumerate(template or []) if not t["is_text"]}, {t["token"] for t in template or [] if t["is_text"]})
-            order, fixed = memo[host]
-            tokens, blocks = read(body or "")
-            slot_of, slot, last = {}, 0, -1
-            for key, block in tokens:
-                if block >= 0:
-                    slot_of[block] = slot
-                elif order:
-                    rank = order.get(_hash(key), -1)
-                    if rank > last:  # the template's next token on this page opens a slot
-                        slot, last = slot + 1, rank
-            live = [(i, b) for i, b in enumerate(blocks) if not b[1] and not (fixed and not b[2] and _hash("\t" + b[0]) in fixed)]
-            main = [(i, b) for i, b in live if b[2]]
-            if not main:
-                main = [(i, b) for i, b in live if b[3] < 0.5]
-            made.append(("\n".join(b[0] for _, b in main), len({slot_of[i] for i, _ in main})))
-        text = [t for t, _ in made]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("page_id")), batch.column(batch.schema.get_field_index("url")), pa.array(text, pa.string()), pa.array(np.array([len(t) for t in text], np.int64)), pa.array([n for _, n in made], pa.int64())],
-            names=["page_id", "url", "text", "n_chars", "n_slots"],
-        )
-
-
-def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """pages (page_id, url, html) -> page_id, url, text, n_chars, n_slots (slots of the template that hold the text)."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    template = stage(deduce(pages, support), "templates")
-    key = F.lower(F.rtrim(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(".")))
-    rows = pages.withColumn("host", key).join(template, "host", "left").select("page_id", "url", "html", "tokens")
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long, n_slots long")
+                    fixed = set()
+                if chosen is None:
+                    live = [j for j in range(len(texts)) if not flags[j] & CHROME_BLOCK and j not in fixed]
+                    chosen = [j for j in live if flags[j] & IN_ARTICLE] or [j for j in live if not flags[j] & LINKY]
+                if frame is not None:
+                    slots = len({int(spine[place[j]]) for j in chosen})
+                made.append(("\n".join(texts[j] for j in chosen), slots, way))
+            yield pa.RecordBatch.from_arrays(
+                [at("page_id"), at("url"), pa.array([m[0] for m in made], pa.string()), pa.array([len(m[0]) for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.bool_())],
+                names=["page_id", "url", "text", "n_chars", "n_slots", "by_template"],
+            )
+
+    return run
+
+
+def extract(pages: DataFrame, support: float = SUPPORT, text_support: float = TEXT_SUPPORT, least: int = LEAST_CONTENTS, region: float = REGION) -> DataFrame:
+    """pages (page_id, url, html) -> page_id, url, text, n_chars, n_slots, by_template."""
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    parsed = stage(pages.mapInArrow(_parse, PARSED), "parsed")
+    candidates = stage(deduce(parsed, support).withColumnRenamed("tokens", "cand"), "candidates")
+    total = parsed.count()
+    hot = stage(parsed.groupBy("host").agg(F.count("*").alias("rows")).where(F.col("rows") * HOT_HOSTS >= total).select("host", F.lit(True).alias("hot")), "hot")
+
+    def with_host(of: DataFrame) -> DataFrame:
+        """Pages with what is known of their host; hosts with many pages, HOT_HOSTS of them at most, get it by broadcast."""
+        marked = parsed.join(F.broadcast(hot), "host", "left")
+        few, rest = of.join(F.broadcast(hot.select("host")), "host", "left_semi"), of.join(F.broadcast(hot.select("host")), "host", "left_anti")
+        return marked.where("hot").drop("hot").join(F.broadcast(few), "host", "left").unionByName(marked.where("hot is null").drop("hot").join(rest, "host", "left"))
+
+    said = with_host(candidates).where("cand is not null").mapInArrow(_check(text_support, least), "host string, id long, is_class boolean, order long, slot long, inside long, total long")
+    sums = verdicts(said)
+    checks = sums.groupBy("host").agg(F.collect_list(F.struct("id", "is_class", "valid", "inside", "total")).alias("checks"))
+    template = stage(candidates.join(checks, "host", "left"), "templates")
+    rows = with_host(template)
+    return rows.mapInArrow(_extract(text_support, least, region), "page_id long, url string, text string, n_chars long, n_slots long, by_template boolean")
 
 
 def op8_template_extraction(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import html
 import json
 import math
 import re
@@ -14,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import _text as X
-from brindle.llm import chat, components, decontaminate, jaccard_join, langid, packing, quality, secrets, templates, toxicity
+from brindle.llm import chat, components, decontaminate, jaccard_join, langid, packing, quality, secrets, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 HARD = [None, "", " ", "\n\n", "a", "A a\ta\x0ba", "x " * 30000, "é" * 5000, "   nb sp", "dup line\ndup line\n", "🙂 emoji 🙂", "<|endoftext|> <|im_end|>"]
@@ -344,44 +343,6 @@ def test_components(spark):
 
 
 
-# 8. HTML.
-
-
-def test_html_articles(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    want = {}
-    for r in pages.collect():
-        m = re.search(r"<article>(.*?)(</article>|$)", r.html or "", re.S)
-        cut = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", m[1])]
-        want[r.page_id] = "\n".join(b for b in cut if b)
-    got = {r.page_id: (r.text, r.n_chars) for r in templates.extract(pages).collect()}
-    assert got == {k: (v, len(v)) for k, v in want.items()}
-
-
-def test_html_templates_without_articles(spark):
-    frame = '<html><body><div>Site notice for all</div><p>Story {i} says &lt;b&gt; &amp; more{i}<p>second&nbsp;part {i}<ul><li>x{i}<li>y{i}</ul><div class="comments"><p>bad {i}</div><aside>no</aside><script>var a="<p>"</script><div>All rights reserved</div></body></html>'
-    rows = [(i, f"http://user@Host.example:80/{i}?q", frame.format(i=i)) for i in range(6)] + [(10, None, None), (11, "", ""), (12, "http://one.example/", "<p>alone <a href='x'>link</a> here <b unfinished"), (13, "x", "a < b &amp")]
-    got = {r.page_id: r.text for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()}
-    for i in range(6):
-        assert got[i] == f"Story {i} says <b> & more{i}\nsecond part {i}\nx{i}\ny{i}"
-    assert (got[10], got[11], got[12], got[13]) == ("", "", "alone link here", "a < b &")
-    assert templates.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_html_names():
-    page = "<body class='nav-open has-sidebar'><div class='site-header'>no</div><div class='with-sidebar'><article><header class='post-header'><h1>T</h1></header><p>x</p><div class='share-bar'>no</div><form>no</form></article></div><main id='main'><p hidden>no</p></main>"
-    assert [b[0] for b in templates.read(page)[1] if not b[1]] == ["T", "x"]
-
-
-def test_equivalence_classes(spark):
-    rows = [(i, "http://h.example/", f"<html><body><div class='top'>Menu</div><p>t{i}</p></body></html>") for i in range(5)]
-    t = templates.deduce(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
-    texts = {templates._hash("\tMenu")}
-    assert t.host == "h.example" and {x.token for x in t.tokens if x.is_text} == texts
-    places = [x.place for x in t.tokens]
-    assert places == sorted(places) and len({x.size for x in t.tokens}) == 1
-
-
 # 9. Decontamination.
 
 
