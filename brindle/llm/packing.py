@@ -8,10 +8,17 @@ apostrophe, or code points beyond the tables) go through the library whole, so i
 Packing: documents count only by length, so the demand is a histogram of at most `size` lengths
 (bounded, on the driver).  The configuration LP  min sum x_c  s.t.  sum_c x_c n_c(l) >= d(l)  is
 solved by multiplicative weights: each round prices lengths by their weights, a knapsack dynamic
-program finds the best configuration at these prices, and the lengths that it serves lose weight.
-The averaged solution is rounded down, the same is done for what is left, and the small remainder
-is placed best fit, longest first.  Every piece then finds its sequence and offset from its rank
-within its length, which is counted over salted groups: no task holds a whole length.
+program finds the best configurations at these prices (the best of all, and the best with each of
+the lengths that are covered least), and the weights of lengths fall exponentially with their cover.
+The configurations of all rounds are averaged.  Every round's prices also give a lower bound of the
+LP, sum d y / V(y), so that the gap is known.  The average, scaled to stay within the demand, is
+rounded: down first, then up in order of size while the demand lasts, for configurations without
+slack at the best prices; what is left is solved again, and the last remainder is placed best fit,
+longest first.  Should best fit alone need fewer sequences, its plan is taken.
+
+Full pieces are a sequence each.  Every other piece finds its sequence and offset from its rank
+within its length, which is counted over salted groups of about GROUP rows, as many as the length's
+count asks for: no task holds a whole length.
 
 Defined results: null text counts as empty and gives one piece of one token, the end mark;
 repeated rows give repeated pieces, each with a place of its own; a null doc_id stays null; an empty table gives no rows;
@@ -31,7 +38,7 @@ from . import _text as X
 from ._store import small_batches, stage
 
 SIZE = 2048
-SALTS = 64
+GROUP = 500_000  # rows of a length that are ranked in one task
 SLOTS, WIDE = 1 << 20, 8  # distinct words that a worker keeps, and their most ids
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -226,58 +233,86 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 0) -> Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
 
 
-def price(value: np.ndarray, lengths: np.ndarray, size: int) -> tuple[float, dict[int, int]]:
-    """Unbounded knapsack: the configuration of the most value that fits, as {index of a length: copies}."""
-    best = np.zeros(size + 1)
-    pick = np.full(size + 1, -1)
-    order = np.argsort(lengths, kind="stable")
-    ls, vs = lengths[order], value[order]
-    for cap in range(1, size + 1):
-        n = int(np.searchsorted(ls, cap, "right"))
-        best[cap] = best[cap - 1]
-        if n:
-            v = best[cap - ls[:n]] + vs[:n]
-            k = int(np.argmax(v))
+class Knapsack:
+    """Unbounded knapsack at given values: for every room the configuration of the most value that fits."""
+
+    def __init__(self, value: np.ndarray, lengths: np.ndarray, size: int):
+        """lengths in rising order."""
+        self.lengths, self.size = lengths, size
+        self.best, self.pick = np.zeros(size + 1), np.full(size + 1, -1)
+        best, pick = self.best, self.pick
+        fit = np.searchsorted(lengths, np.arange(size + 1), "right")
+        for cap in range(int(lengths[0]), size + 1):
+            n = fit[cap]
+            v = best[cap - lengths[:n]] + value[:n]
+            k = int(v.argmax())
+            best[cap] = best[cap - 1]
             if v[k] > best[cap] + 1e-15:
                 best[cap], pick[cap] = v[k], k
-    got: dict[int, int] = {}
-    cap = size
-    while cap > 0:
-        if pick[cap] < 0:
-            cap -= 1
-            continue
-        i = int(order[pick[cap]])
+
+    def within(self, room: int) -> dict[int, int]:
+        """The best configuration of at most `room`, as {index of a length: copies}."""
+        got: dict[int, int] = {}
+        while room > 0:
+            i = int(self.pick[room])
+            if i < 0:
+                room -= 1
+                continue
+            got[i] = got.get(i, 0) + 1
+            room -= int(self.lengths[i])
+        return got
+
+    def with_one(self, i: int) -> dict[int, int]:
+        """The best configuration that holds length i."""
+        got = self.within(self.size - int(self.lengths[i]))
         got[i] = got.get(i, 0) + 1
-        cap -= int(lengths[i])
-    return float(best[size]), got
+        return got
 
 
-def solve_lp(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int = 300, eps: float = 0.5, lean: float = 0.02) -> list[tuple[dict[int, int], float]]:
-    """Multiplicative weights for the configuration LP: [(configuration, amount)], within the demand.
+def solve_lp(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int = 60, eps: float = 1.0, lean: float = 0.02, near: float = 0.1, most: int = 128) -> tuple[list[tuple[dict[int, int], float]], float, np.ndarray]:
+    """Multiplicative weights for the configuration LP: ([(configuration, amount)], lower bound, its prices).
 
-    The dual starts at length / size, the size bound, which is feasible and, where sequences can be
-    filled, optimal; it leans a little to long pieces, as short ones are worth more in later gaps.
-    A round prices lengths by dual times weight, takes the configuration that is worth most as often
-    as its scarcest length still asks, and cuts the weights of what it served exponentially in their
-    cover; a length that is fully served has no price.
+    lengths in rising order.  The amounts are averages, scaled so that no length is covered more than
+    once.  The prices start at length / size, the size bound, which is feasible and, where sequences
+    can be filled, optimal; they lean a little to long pieces, as short ones are worth more in gaps.
+    A step takes a configuration as often as its scarcest length's demand allows, times the step
+    width, which falls with the rounds; a round takes the best one, and of the best ones with each of
+    the `most` least covered lengths those within `near` of it, but none whose lengths the round has
+    covered.  The bound is the best over the rounds' prices and their averages.
     """
-    left, cover = demand.astype(float), np.zeros(len(lengths))
-    out = []
-    for _ in range(rounds):
-        y = (lengths / size) ** (1 + lean) * np.exp(-eps * cover) * (left >= 1)
-        _, c = price(y, lengths, size)
-        if not c:
-            break
-        i = np.fromiter(c, np.int64)
-        m = np.array([c[int(k)] for k in i], float)
-        step = float((left[i] / m).min())
-        if step < 1:  # fewer left than one configuration takes: others first
-            cover[i[left[i] < m]] += 10
-            continue
-        out.append((c, step))
-        cover[i] += step * m / demand[i]
-        left[i] -= step * m
-    return out
+    cover = np.zeros(len(lengths))
+    amount: dict[tuple, float] = {}
+    plain = lengths / size
+    bound, prices, mean = float(demand @ plain), plain, np.zeros(len(lengths))
+
+    def told(y: np.ndarray, top: float):
+        nonlocal bound, prices
+        if float(demand @ y) / top > bound + 1e-9:
+            bound, prices = float(demand @ y) / top, y / top
+
+    for r in range(rounds):
+        width = 1 / (1 + r / 8)
+        y = plain ** (1 + lean) * np.exp(-eps * (cover - cover.min()))
+        k = Knapsack(y, lengths, size)
+        top = float(k.best[size])
+        told(y, top)
+        mean += y / top * width
+        before = cover.copy()
+        for i in [-1, *(int(i) for i in np.argsort(cover, kind="stable")[:most])]:
+            if i >= 0 and (cover[i] > before[i] or k.best[size - int(lengths[i])] + y[i] < (1 - near) * top):
+                continue
+            c = k.within(size) if i < 0 else k.with_one(i)
+            j, m = np.fromiter(c, np.int64), np.fromiter(c.values(), float)
+            if (cover[j] > before[j] + width).any():
+                continue
+            step = width * float((demand[j] / m).min())
+            cover[j] += step * m / demand[j]
+            key = tuple(sorted(c.items()))
+            amount[key] = amount.get(key, 0.0) + step
+        if r % 20 == 19 or r == rounds - 1:
+            told(mean, float(Knapsack(mean, lengths, size).best[size]))
+    scale = float(cover.max()) or 1.0
+    return [(dict(c), x / scale) for c, x in amount.items()], bound, prices
 
 
 def best_fit(lengths: np.ndarray, demand: np.ndarray, size: int) -> list[tuple[dict[int, int], int]]:
@@ -312,31 +347,36 @@ def best_fit(lengths: np.ndarray, demand: np.ndarray, size: int) -> list[tuple[d
     return [(c, n) for groups in room.values() for c, n in groups if n]
 
 
-def plan(hist: dict[int, int], size: int = SIZE, rounds: int = 300, passes: int = 2) -> list[tuple[dict[int, int], int]]:
-    """[(configuration {length: copies}, sequences)] that serves the histogram exactly.
+def lower_bound(hist: dict[int, int], size: int = SIZE, rounds: int = 60) -> int:
+    """No packing of the histogram has fewer sequences: the LP's dual bound, rounded up."""
+    full = hist.get(size, 0)
+    lengths = np.array(sorted(k for k, v in hist.items() if v > 0 and k != size), np.int64)
+    if not len(lengths):
+        return full
+    return full + int(np.ceil(solve_lp(lengths, np.array([hist[int(x)] for x in lengths], float), size, 3 * rounds)[1] - 1e-6))
 
-    Only full configurations are kept when the LP is rounded down; what they leave is solved again,
-    and the last remainder goes to best fit, which closes gaps with the short pieces.
-    """
+
+def rounded_lp(hist: dict[int, int], size: int = SIZE, rounds: int = 60, near: float = 0.1, passes: int = 12) -> list[tuple[dict[int, int], int]]:
+    """The plan by the LP: solved, rounded within the demand, and solved again for what is left; best fit for the end."""
     out: list[tuple[dict[int, int], int]] = []
     left = {k: v for k, v in hist.items() if v > 0}
-    if left.get(size):
-        out.append(({size: 1}, left.pop(size)))
     for _ in range(passes):
-        if sum(k * v for k, v in left.items()) < 100 * size:
-            break
+        if not left:
+            return out
         lengths = np.array(sorted(left), np.int64)
-        demand = np.array([left[int(x)] for x in lengths], float)
+        demand = np.array([left[int(x)] for x in lengths], np.int64)
+        found, _, prices = solve_lp(lengths, demand.astype(float), size, rounds, near=near)
         served = 0
-        for c, x in solve_lp(lengths, demand, size, rounds):
-            n = min([int(x), *(left[int(lengths[i])] // m for i, m in c.items())])
-            if n > 0 and sum(int(lengths[i]) * m for i, m in c.items()) == size:
-                out.append(({int(lengths[i]): m for i, m in c.items()}, n))
-                for i, m in c.items():
-                    left[int(lengths[i])] -= n * m
-                served += n
-        left = {k: v for k, v in left.items() if v}
-        if not served or not left:
+        for way in (np.floor, np.ceil):
+            for c, x in sorted(found, key=lambda f: -f[1]):
+                i, m = np.fromiter(c, np.int64), np.fromiter(c.values(), np.int64)
+                n = int(min(way(x), (demand[i] // m).min()))
+                if n > 0 and float(prices[i] @ m) > 1 - 1e-9:
+                    out.append(({int(lengths[a]): int(b) for a, b in zip(i, m, strict=True)}, n))
+                    demand[i] -= n * m
+                    served += n
+        left = {int(a): int(b) for a, b in zip(lengths, demand, strict=True) if b}
+        if not served:
             break
     if left:
         lengths = np.array(sorted(left), np.int64)
@@ -345,19 +385,40 @@ def plan(hist: dict[int, int], size: int = SIZE, rounds: int = 300, passes: int
     return out
 
 
-def pack(cut: DataFrame, size: int = SIZE, rounds: int = 300) -> DataFrame:
+def plan(hist: dict[int, int], size: int = SIZE, rounds: int = 60) -> list[tuple[dict[int, int], int]]:
+    """[(configuration {length: copies}, sequences)] that serves the histogram exactly: the rounded LP, or best fit where that needs fewer.
+
+    The LP is rounded from wide rounds (any configuration with a little covered length) and, unless
+    those reach the lower bound, from narrow ones (only configurations near the best).
+    """
+    lengths = np.array(sorted(k for k, v in hist.items() if v > 0), np.int64)
+    if not len(lengths):
+        return []
+    count = lambda p: sum(n for _, n in p)
+    best = rounded_lp(hist, size, rounds, 1.0)
+    if count(best) > -(-sum(k * v for k, v in hist.items()) // size) and count(best) > lower_bound(hist, size, rounds):
+        best = min((best, rounded_lp(hist, size, rounds)), key=count)
+    by_fit = [({int(lengths[i]): m for i, m in c.items()}, n) for c, n in best_fit(lengths, np.array([hist[int(x)] for x in lengths]), size)]
+    return min((best, by_fit), key=count)
+
+
+def pack(cut: DataFrame, size: int = SIZE, rounds: int = 60) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
     cut = stage(cut, "pieces")
-    order = ["doc_id", "piece", "start", "ids_crc32"]
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most size * SALTS rows
-    hist: dict[int, int] = {}
+    spark = cut.sparkSession
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    # One sequence each; the place of a row in the written table is a number that a task made anew finds again.
+    full = cut.where(F.col("length") == size).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    cut = cut.where(F.col("length") < size)
+    hist = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # fewer than size rows
+    salts = spark.createDataFrame([(k, -(-n // GROUP)) for k, n in hist.items()], "length long, salts long")
+    salted = cut.join(F.broadcast(salts), "length").select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int").alias("salt"))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas()  # a row for some GROUP pieces, and one for a length at least
     before: dict[int, np.ndarray] = {}
-    for r in counts:
-        before.setdefault(r.length, np.zeros(SALTS, np.int64))[r.salt] = r.n
-    for k, v in before.items():
-        hist[k] = int(v.sum())
-        before[k] = np.concatenate([[0], np.cumsum(v)[:-1]])
+    for k, g in counts.groupby("length"):
+        n = np.zeros(int(g["salt"].max()) + 1, np.int64)
+        n[g["salt"].to_numpy()] = g["n"].to_numpy()
+        before[int(k)] = np.concatenate([[0], np.cumsum(n)[:-1]])
     slots: dict[int, list] = {}
     base = 0
     for cfg, n in plan(hist, size, rounds):
@@ -367,7 +428,7 @@ def pack(cut: DataFrame, size: int = SIZE, rounds: int = 300) -> DataFrame:
             at += length * cfg[length]
         base += n
     tables = {k: (np.concatenate([[0], np.cumsum([s[0] for s in v])]), *(np.array([s[i] for s in v], np.int64) for i in (1, 2, 3))) for k, v in slots.items()}
-    held = cut.sparkSession.sparkContext.broadcast((before, tables))  # bounded: lengths, salts and configurations
+    held = spark.sparkContext.broadcast((before, tables))  # bounded: lengths, salts and configurations
 
     def run(batches):
         before, tables = held.value
@@ -384,8 +445,9 @@ def pack(cut: DataFrame, size: int = SIZE, rounds: int = 300) -> DataFrame:
                 offset[i] = at[p] + (j % m[p]) * k
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)).cast("long"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", "rank").mapInArrow(run, PIECE + ", sequence_id long, offset long")
+    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    ranked = salted.withColumn("rank", F.row_number().over(order).cast("long"))
+    return full.union(ranked.select(*columns, "salt", "rank").mapInArrow(run, PIECE + ", sequence_id long, offset long"))
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:
