@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir; only where that is unset and all runs in one process (tests), one of our own."""
     conf = spark.sparkContext.getConf()
     place = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         place = spark.conf.get("spark.brindle.scratch", None)
         if not place:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             place = "file://" + tempfile.mkdtemp(prefix="brindle-")
             spark.conf.set("spark.brindle.scratch", place)
     return place.rstrip("/")
@@ -34,22 +38,50 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scoped(f):
+    """Deletes what f staged, once it returns, but for what its result reads; that goes with the scope around it."""
+
+    @wraps(f)
+    def run(*args, **options):
+        _scopes.append([])
+        used: set[str] = set()
+        try:
+            out = f(*args, **options)
+            if isinstance(out, DataFrame):
+                used = {x.rpartition("/")[0].rpartition("/")[2] for x in out.inputFiles()}
+            return out
+        finally:
+            made = _scopes.pop()
+            for spark, path in made:
+                if path.rpartition("/")[2] in used:
+                    if _scopes:
+                        _scopes[-1].append((spark, path))
+                else:
+                    _delete(spark, path)
+
+    return run
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete what `stage` wrote for df, once nothing reads it any more."""
-    spark = df.sparkSession
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
         if "/brindle/" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            _delete(df.sparkSession, f)

@@ -1,11 +1,11 @@
 """HTML main text by equivalence-class template deduction.
 
-Tokens of a page are its tags, each told apart by the path of elements (with class, id and role) that
-leads to it, and its text blocks.  The occurrence vector of a token over the pages of a host is kept
-as one value: the exclusive or of a hash of (page, count) over the distinct pages that have it, which
-partial aggregation makes without ever holding a host's pages together.  Tokens with equal vectors
-form an equivalence class; classes of two tokens or more (or of one text block) on `support` of the
-host's distinct pages, two at least, are candidates.
+Tokens of a page are its block elements' tags, each told apart by the path of elements (with class,
+id and role) that leads to it, and its text blocks.  The occurrence vector of a token over the pages
+of a host is kept as one value: the exclusive or of a hash of (row, count) over the pages that have
+it, which partial aggregation makes without ever holding a host's pages together.  Tokens with equal
+vectors form an equivalence class; classes of two tokens or more (or of one text block) on `support`
+of the host's pages, two at least, are candidates.
 
 A class is valid when it is ordered and nested, which a second pass checks page by page: its tokens
 follow each other in one order, repeated as often as they occur, and the same order on every page;
@@ -13,25 +13,25 @@ and all its tuples lie in one slot, the gap between two tokens that occur once a
 on every page.  Classes whose tokens occur once a page are the frame; the others are nested in the
 frame's slots.  Invalid classes take no part.
 
-The template chooses the text.  For every element of the frame (open and close tag in one valid
-class) the second pass also sums how much of the pages' plain text, outside links and template text,
+The template chooses the text.  For every element of the frame (a tag of it and its end) the second pass also sums how much of the pages' plain text, outside links and template text,
 lies in its slots.  The main region of a host is the deepest element that holds REGION of it; an
 article or main element around it, or blocks in such elements within it, are taken instead, and names
 say only which elements can't be the region (text-level ones, chrome) and which blocks inside go (a
 form or advert within the article).
 A text block that is a token of a valid class on `text_support` of the host's distinct contents goes
 wherever it is: it is the template's.  All other blocks of the region are the main text.  A content is
-told by a page's two longest blocks, so that copies of a page under other addresses are one content
-and keep their text; fewer than `least` contents tell no template text.
+told by a page's two longest blocks, so that repeated rows and copies of a page under other addresses
+are one content and keep their text; fewer than `least` contents tell no template text, and a host
+with a single content has no template.
 
-Pages of hosts without a valid frame (one page, say) and pages that lack their host's region are read
+Pages of hosts without a valid frame and pages that lack their host's region are read
 by element, role and class names alone: the article or main element, or else all blocks that are not
 mostly links, without chrome.  `by_template` says which way a page went, `n_slots` how many slots of
 its frame hold its text.
 
 Defined results: null html is empty text; pages without a host, or alone on it, are read by their
-names; broken markup at the end of a page is dropped as markup; repeated rows are one page of their
-host and all get its text; extra columns are ignored.
+names; broken markup at the end of a page is dropped as markup; repeated rows all get the same text;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches, stage
+from . import _text as X
+from ._store import scoped, small_batches, stage
 
 SUPPORT, TEXT_SUPPORT, LEAST_CONTENTS = 0.5, 0.8, 4
 REGION = 2 / 3  # of the plain text, that the region holds
@@ -110,8 +111,8 @@ def _attributes(raw: str) -> tuple[str, bool, bool, str]:
 def read(page: str) -> tuple[list[tuple[int, int, int]], list[tuple[str, bool, bool, float, int]]]:
     """Tokens in order as (hash, kind, detail), and text blocks as (text, chrome, in article, share of it in links, plain characters).
 
-    A tag's hash is of the path that leads to it; an open and its close tag are the same but for the
-    last bit.  The detail of a text token is its block, that of an open tag its flags.
+    Only tags of block elements are tokens and part of paths.  A tag's hash is of the path that leads
+    to it; an open and its close tag are the same but for the last bit.  The detail of a text token is its block, that of an open tag its flags.
     """
     tokens: list[tuple[int, int, int]] = []
     blocks: list[tuple[str, bool, bool, float, int]] = []
@@ -177,7 +178,8 @@ def read(page: str) -> tuple[list[tuple[int, int, int]], list[tuple[str, bool, b
                 flush()
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
-                    tokens.append((stack[depth][3] | 1, CLOSE, 0))
+                    if name in BLOCK:
+                        tokens.append((stack[depth][3] | 1, CLOSE, 0))
                     close_to(depth)
                     break
             continue
@@ -187,7 +189,6 @@ def read(page: str) -> tuple[list[tuple[int, int, int]], list[tuple[str, bool, b
             at = end.end() if end else n
             if name == "title":
                 flush()
-            tokens.append((_path(name, stack), OPEN, 0))
             continue
         if name in BLOCK:
             flush()
@@ -195,17 +196,19 @@ def read(page: str) -> tuple[list[tuple[int, int, int]], list[tuple[str, bool, b
             add("\n")
         while stack and name in CLOSES.get(stack[-1][0], ()):
             close_to(len(stack) - 1)
-        here = _path(f"{name} {key}" if key else name, stack)
         if name in VOID or raw.endswith("/") and name not in BLOCK:
-            tokens.append((here, OPEN, 0))
+            if name == "hr":
+                tokens.append((_path(name, stack), OPEN, 0))
             continue
+        here = _path(f"{name} {key}" if key else name, stack) if name in BLOCK else stack[-1][3] if stack else 2
         in_article = article or name in ("article", "main") or role in ("main", "article")
         if name in FRAMES:
             bad = head = False
         bad = bad or name in CHROME or ((head or name == "header") and not article)
         stack.append((name, chrome or bad, in_article, here))
-        can = name in BLOCK and name not in TEXT_LEVEL and not (chrome or bad)
-        tokens.append((here, OPEN, REGION_LIKE * can + ARTICLE_LIKE * (can and (name in ("article", "main") or role in ("main", "article")))))
+        if name in BLOCK:
+            can = name not in TEXT_LEVEL and not (chrome or bad)
+            tokens.append((here, OPEN, REGION_LIKE * can + ARTICLE_LIKE * (can and (name in ("article", "main") or role in ("main", "article")))))
         links += name == "a"
         chrome, article = stack[-1][1], stack[-1][2]
     flush()
@@ -218,19 +221,19 @@ def _signed(h: int) -> int:
 
 def _path(key: str, stack: list) -> int:
     """Hash of a tag under the open elements; even, as the last bit tells its close tag."""
-    return xxhash.xxh64_intdigest(key, seed=stack[-1][3] if stack else 1) & ~1
+    return xxhash.xxh64_intdigest(key, seed=stack[-1][3] if stack else 2) & ~1
 
 
 def _text_hash(text: str) -> int:
     return xxhash.xxh64_intdigest("\t" + text)
 
 
-PARSED = "page_id long, url string, host string, page long, content long, tokens binary, kinds binary, texts array<string>, flags array<int>, plain array<int>"
+PARSED = "page_id long, url string, host string, content long, tokens binary, kinds binary, texts array<string>, flags array<int>, plain array<int>"
 CHROME_BLOCK, IN_ARTICLE, LINKY = 1, 2, 4
 
 
 def _parse(batches):
-    """Every page once: its tokens (hashes, and kind + 4 * detail), blocks, identity and content."""
+    """Every page: its tokens (hashes, and kind + 4 * detail), blocks and content."""
     for batch in batches:
         col = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
         rows = []
@@ -240,69 +243,68 @@ def _parse(batches):
             kinds = np.array([t[1] + 4 * t[2] for t in tokens], np.int32)
             longest = sorted((b[0] for b in blocks), key=lambda t: (-len(t), t))[:2]
             rows.append((
-                host_of(url), _signed(xxhash.xxh64_intdigest(hashes.tobytes())), _signed(xxhash.xxh64_intdigest("\n".join(longest))), hashes.tobytes(), kinds.tobytes(),
+                host_of(url), _signed(xxhash.xxh64_intdigest("\n".join(longest))), hashes.tobytes(), kinds.tobytes(),
                 [b[0] for b in blocks], [CHROME_BLOCK * b[1] + IN_ARTICLE * b[2] + LINKY * (b[3] >= 0.5) for b in blocks], [b[4] for b in blocks],
             ))
-        kinds_of = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        kinds_of = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
         cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds_of)]
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("page_id")), batch.column(batch.schema.get_field_index("url")), *cols], names=[x.split()[0] for x in PARSED.split(", ")])
 
 
 def _occurrences(batches):
-    """(host, token, page, content, n, place, kind) of each distinct token of each page; a page's start is token 0."""
+    """(host, token, mark, n, place, is_text) of each distinct open tag and text of each page; the mark hashes (row, n); a page's start is token 0."""
     for batch in batches:
         at = lambda c: batch.column(batch.schema.get_field_index(c))
         out = []
-        for i, (host, page, content) in enumerate(zip(at("host").to_pylist(), at("page").to_pylist(), at("content").to_pylist(), strict=True)):
+        for i, (host, row) in enumerate(zip(at("host").to_pylist(), at("row").to_pylist(), strict=True)):
             if not host:
                 continue
             h = np.frombuffer(at("tokens")[i].as_py(), np.uint64)
-            u, first, n = np.unique(h, return_index=True, return_counts=True)
-            kind = np.frombuffer(at("kinds")[i].as_py(), np.int32)[first]
-            out.append((host, page, content, np.append(u, np.uint64(0)), np.append(n, 1), np.append(first / max(len(h), 1), -1.0), np.append(kind, 0)))
+            kind = np.frombuffer(at("kinds")[i].as_py(), np.int32) % 4
+            place = np.flatnonzero(kind != CLOSE)
+            u, first, n = np.unique(h[place], return_index=True, return_counts=True)
+            first = place[first]
+            count = np.append(n, 1).astype(np.uint64)
+            mark = X.mix(X.mix(np.full(len(count), row, np.uint64)) ^ count * np.uint64(0x9E3779B97F4A7C15))
+            out.append((host, np.append(u, np.uint64(0)), mark, count, np.append(first / max(len(h), 1), -1.0), np.append(kind[first] == TEXT, False)))
         if out:
-            sizes = [len(o[3]) for o in out]
-            cols = [pa.array(np.repeat(np.array([o[k] for o in out], object if k == 0 else np.int64), sizes)) for k in range(3)]
-            tok, n, place, kind = (np.concatenate([o[k] for o in out]) for k in range(3, 7))
+            tok, mark, n, place, text = (np.concatenate([o[k] for o in out]) for k in range(1, 6))
+            hosts = pa.array(np.repeat(np.array([o[0] for o in out], object), [len(o[1]) for o in out]), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [cols[0].cast(pa.string()), pa.array(tok.view(np.int64)), cols[1], cols[2], pa.array(n.astype(np.int64)), pa.array(place.astype(float)), pa.array(kind.astype(np.int32))],
-                names=["host", "token", "page", "content", "n", "place", "kind"],
+                [hosts, pa.array(tok.view(np.int64)), pa.array(mark.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.float32)), pa.array(text.astype(bool))],
+                names=["host", "token", "mark", "n", "place", "is_text"],
             )
 
 
 def deduce(parsed: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """(host, pages, contents, tokens): for each host its candidate tokens as (class, token, once, contents), by class and mean place; classes are not validated yet."""
-    seen = parsed.mapInArrow(_occurrences, "host string, token long, page long, content long, n long, place double, kind int")
-    # Repeated rows of a page are one; copies of a content are counted once beside it.
-    one = seen.groupBy("host", "token", "content", "page").agg(F.first("n").alias("n"), F.first("place").alias("place"), F.first("kind").alias("kind"))
-    by_content = one.groupBy("host", "token", "content").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("n"), F.max("n").alias("most"), F.sum("place").alias("place"), F.max("kind").alias("kind"))
-    vectors = by_content.groupBy("host", "token").agg(
-        F.bit_xor("vector").alias("vector"), F.sum("n").alias("n"), F.count("*").alias("contents"), F.max("most").alias("most"), (F.sum("place") / F.sum("n")).alias("place"), F.max("kind").alias("kind")
-    )
+    """(host, tokens): for each host of two contents or more its candidate tokens as (vector, at, token, once, is_text), by class and mean place; classes are not validated yet.
+
+    parsed is a written table, so that a row's place in it is the same in a task made anew.
+    """
+    rows = parsed.select("host", F.monotonically_increasing_id().alias("row"), "tokens", "kinds")
+    seen = rows.mapInArrow(_occurrences, "host string, token long, mark long, n int, place float, is_text boolean")
+    seen = seen.withColumn("host", F.xxhash64("host"))
+    vectors = seen.groupBy("host", "token").agg(F.bit_xor("mark").alias("vector"), F.count("*").alias("n"), F.max("n").alias("most"), F.avg("place").alias("place"), F.max("is_text").alias("is_text"))
     vectors = stage(vectors.where("n > 1"), "vectors")
-    size = vectors.where("token = 0").select("host", F.col("n").alias("pages"), F.col("contents").alias("all_contents"))
+    size = vectors.where("token = 0").select("host", F.col("n").alias("pages"))
+    named = parsed.where("host <> ''").groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("contents")).where("contents > 1")
+    size = size.join(named.select(F.xxhash64("host").alias("host"), F.col("host").alias("name"), "contents"), "host")
     often = vectors.where("token <> 0").join(size, "host").where(F.col("n") >= F.col("pages") * support)
-    classes = often.groupBy("host", "vector").agg(
-        F.first("pages").alias("pages"), F.first("all_contents").alias("all_contents"),
-        F.array_sort(F.collect_list(F.struct("place", "token", (F.col("most") == 1).alias("once"), "contents", (F.col("kind") % 4 == TEXT).alias("is_text")))).alias("c"),
-    ).where("size(c) > 1 or c[0].is_text")
-    one = classes.select("host", "pages", "all_contents", "vector", F.posexplode("c").alias("at", "t"))
-    item = F.struct("vector", "at", "t.token", "t.once", F.col("t.contents").alias("contents"), "t.is_text")
-    return one.groupBy("host").agg(F.first("pages").alias("pages"), F.first("all_contents").alias("all_contents"), F.array_sort(F.collect_list(item)).alias("tokens"))
+    item = F.struct("place", "token", (F.col("most") == 1).alias("once"), "is_text")
+    classes = often.groupBy("name", "vector").agg(F.first("contents").alias("contents"), F.array_sort(F.collect_list(item)).alias("c")).where("size(c) > 1 or c[0].is_text")
+    one = classes.select(F.col("name").alias("host"), "contents", F.struct("vector", F.col("c").alias("tokens")).alias("class"))
+    return one.groupBy("host").agg(F.first("contents").alias("contents"), F.sort_array(F.collect_list("class")).alias("cand"))
 
 
 class Frame:
-    """One host's candidate tokens, by hash."""
+    """One host's candidate tokens, by hash; bad: classes that are left out."""
 
-    def __init__(self, tokens: list[dict], all_contents: int, text_support: float, least: int):
-        self.of = {t["token"]: (t["vector"], t["once"], t["is_text"]) for t in tokens}
-        self.constant = {t["token"] for t in tokens if t["is_text"] and t["contents"] >= max(least, text_support * all_contents)}
+    def __init__(self, classes: list[dict], bad: set[int] = frozenset()):
+        self.of = {t["token"]: (c["vector"], t["once"], t["is_text"]) for c in classes if c["vector"] not in bad for t in c["tokens"]}
 
-    def without(self, bad: set[int]):
-        """Only valid classes."""
-        self.of = {k: v for k, v in self.of.items() if v[0] not in bad}
-        self.constant = {t for t in self.constant if t in self.of}
-        return self
+    def known(self, h: np.ndarray, kind: np.ndarray) -> list:
+        """For each token of a page (vector, once a page, is text), or None."""
+        return [None if k % 4 == CLOSE else self.of.get(x) for x, k in zip(h.view(np.int64).tolist(), kind.tolist(), strict=True)]
 
 
 def _order(hashes: np.ndarray) -> int:
@@ -314,102 +316,106 @@ def _order(hashes: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(first.tobytes()) | 1)
 
 
-def _elements(h: np.ndarray, kind: np.ndarray, frame: Frame) -> list[tuple[int, int, int, int]]:
-    """Elements of the frame on a page, as (hash, open place, close place, flags): both tags once a page, in one class."""
+def _elements(h: np.ndarray, kind: np.ndarray, known: list) -> list[tuple[int, int, int, int]]:
+    """Elements of the frame on a page, as (hash, open place, close place, flags): open tags that occur once a page, closed on this one."""
+    ends = {int(x): i for i, (x, k) in enumerate(zip(h.view(np.int64).tolist(), kind.tolist(), strict=True)) if k % 4 == CLOSE}
     out = []
-    places = {int(x): i for i, x in enumerate(h.view(np.int64).tolist())}
-    for token, (vector, once, is_text) in frame.of.items():
-        if once and not is_text and not token & 1 and token in places and (token | 1) in places and frame.of.get(token | 1, (None,))[0] == vector:
-            a, b = places[token], places[token | 1]
-            if a < b:
-                out.append((token, a, b, int(kind[a]) >> 2))
+    for i, k in enumerate(known):
+        if k is not None and k[1] and not k[2]:
+            token = int(h[i : i + 1].view(np.int64)[0])
+            if ends.get(token | 1, -1) > i:
+                out.append((token, i, ends[token | 1], int(kind[i]) >> 2))
     return out
 
 
-def _check(text_support: float, least: int):
-    """(host, id, is_class, order, slot, inside, total): each candidate class's order and slot, each element's plain text, page by page."""
-
-    def run(batches):
-        for batch in batches:
-            at = lambda c: batch.column(batch.schema.get_field_index(c))
-            memo: dict[str, Frame] = {}
-            out: list[tuple] = []
-            for i, host in enumerate(at("host").to_pylist()):
-                if host not in memo:
-                    memo[host] = Frame(at("cand")[i].as_py(), at("all_contents")[i].as_py(), text_support, least)
-                frame = memo[host]
-                h = np.frombuffer(at("tokens")[i].as_py(), np.uint64)
-                kind = np.frombuffer(at("kinds")[i].as_py(), np.int32)
-                known = [frame.of.get(x) for x in h.view(np.int64).tolist()]
-                spine = np.cumsum([k is not None and k[1] and not k[2] for k in known]) if len(known) else np.zeros(0, int)
-                gate = [0, *(int(x) for x, k in zip(h.view(np.int64), known, strict=True) if k is not None and k[1] and not k[2])]  # the frame's token that opens each slot
-                where: dict[int, list[int]] = {}
-                for p, k in enumerate(known):
-                    if k is not None:
-                        where.setdefault(k[0], []).append(p)
-                for vector, ps in where.items():
-                    once = known[ps[0]][1]
-                    slots = set() if once else {int(spine[p]) for p in ps}
-                    slot = gate[slots.pop()] if len(slots) == 1 else 0
-                    out.append((host, vector, True, 0 if slots else _order(h[ps]), slot, 0, 0))
-                plain = np.zeros(len(h), np.int64)
-                amounts = at("plain")[i].as_py()
-                for p in np.flatnonzero(kind % 4 == TEXT):
-                    if int(h[p].view(np.int64)) not in frame.constant:
-                        plain[p] = amounts[kind[p] >> 2]
-                sums = np.concatenate([[0], np.cumsum(plain)])
-                for token, a, b, _ in _elements(h, kind, frame):
-                    out.append((host, token, False, 0, 0, int(sums[b] - sums[a]), int(sums[-1])))
-            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["host", "id", "is_class", "order", "slot", "inside", "total"])
-
-    return run
+def _check(batches):
+    """(host, id, kind, order, slot, inside, total): page by page each candidate class's order and slot (kind 0), each element's plain text (1), and each candidate text's contents (2, in order)."""
+    for batch in batches:
+        at = lambda c: batch.column(batch.schema.get_field_index(c))
+        memo: dict[str, Frame] = {}
+        out: list[tuple] = []
+        for i, (host, content) in enumerate(zip(at("host").to_pylist(), at("content").to_pylist(), strict=True)):
+            if host not in memo:
+                memo[host] = Frame(at("cand")[i].as_py())
+            h = np.frombuffer(at("tokens")[i].as_py(), np.uint64)
+            kind = np.frombuffer(at("kinds")[i].as_py(), np.int32)
+            known = memo[host].known(h, kind)
+            signed = h.view(np.int64).tolist()
+            gate, slot_of = 0, []  # the frame's token that opens the slot of each place
+            where: dict[int, list[int]] = {}
+            for p, k in enumerate(known):
+                if k is not None:
+                    if k[1] and not k[2]:
+                        gate = signed[p]
+                    elif k[2]:
+                        out.append((host, signed[p], 2, content, 0, 0, 0))
+                    where.setdefault(k[0], []).append(p)
+                slot_of.append(gate)
+            for vector, ps in where.items():
+                slots = set() if known[ps[0]][1] else {slot_of[p] for p in ps}
+                out.append((host, vector, 0, _order(h[ps]) if len(slots) < 2 else 0, slots.pop() if len(slots) == 1 else 0, 0, 0))
+            plain = np.zeros(len(h), np.int64)
+            is_text = kind % 4 == TEXT
+            plain[is_text] = np.array(at("plain")[i].as_py(), np.int64)[kind[is_text] >> 2]
+            sums = np.concatenate([[0], np.cumsum(plain)])
+            for token, a, b, _ in _elements(h, kind, known):
+                out.append((host, token, 1, 0, 0, int(sums[b] - sums[a]), int(sums[-1])))
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["host", "id", "kind", "order", "slot", "inside", "total"])
+
+
+CHECK = "host string, id long, kind int, order long, slot long, inside long, total long"
 
 
 def verdicts(said: DataFrame) -> DataFrame:
-    """(host, id, is_class, valid, inside, total) from what _check says of single pages."""
+    """(host, id, kind, valid, inside, total, contents) from what _check says of single pages."""
     same = (F.min("order") == F.max("order")) & (F.min("order") != 0) & (F.min("slot") == F.max("slot"))
-    return said.groupBy("host", "id", "is_class").agg(same.alias("valid"), F.sum("inside").alias("inside"), F.sum("total").alias("total"))
+    first = said.where("kind < 2").groupBy("host", "id", "kind").agg(same.alias("valid"), F.sum("inside").alias("inside"), F.sum("total").alias("total"), F.lit(0).cast("long").alias("contents"))
+    texts = said.where("kind = 2").groupBy("host", "id", "kind", "order").agg(F.lit(1).alias("one")).groupBy("host", "id", "kind").agg(F.count("*").alias("contents"))
+    zero = F.lit(0).cast("long")
+    return first.unionByName(texts.select("host", "id", "kind", F.lit(True).alias("valid"), zero.alias("inside"), zero.alias("total"), "contents"))
 
 
 def _extract(text_support: float, least: int, region: float):
+    def learned(cand, contents, checks) -> tuple[Frame, set[int], dict[int, tuple[int, int]]]:
+        bad = {c["id"] for c in checks if c["kind"] == 0 and not c["valid"]}
+        frame = Frame(cand, bad)
+        enough = max(least, text_support * contents)
+        return frame, {c["id"] for c in checks if c["kind"] == 2 and c["contents"] >= enough and c["id"] in frame.of}, {c["id"]: (c["inside"], c["total"]) for c in checks if c["kind"] == 1}
+
+    def chosen(h, kind, flags, frame, fixed, held) -> tuple[list[int], int, bool]:
+        """Blocks of the main text, the slots that hold them, and whether the template chose them."""
+        blocks = range(len(flags))
+        live = [j for j in blocks if not flags[j] & CHROME_BLOCK]
+        if frame is None:
+            return [j for j in live if flags[j] & IN_ARTICLE] or [j for j in live if not flags[j] & LINKY], 0, False
+        known = frame.known(h, kind)
+        is_text = kind % 4 == TEXT
+        place = np.zeros(len(flags), np.int64)
+        place[kind[is_text] >> 2] = np.flatnonzero(is_text)
+        signed = h.view(np.int64)
+        live = [j for j in live if int(signed[place[j]]) not in fixed]
+        rich = [(a, b, f) for t, a, b, f in _elements(h, kind, known) if f & REGION_LIKE and t in held and held[t][1] and held[t][0] >= region * held[t][1]]
+        a, b, f = min((x for x in rich if x[2] & ARTICLE_LIKE), default=max(rich, default=(-1, len(h), 0)))
+        got = [j for j in live if a < place[j] < b]
+        if not f & ARTICLE_LIKE:  # names break the tie where no deeper element holds enough
+            got = [j for j in got if flags[j] & IN_ARTICLE] or [j for j in got if not flags[j] & LINKY]
+        spine = np.cumsum([k is not None and k[1] and not k[2] for k in known])
+        return got, len({int(spine[place[j]]) for j in got}), bool(rich)
+
     def run(batches):
         for batch in batches:
             at = lambda c: batch.column(batch.schema.get_field_index(c))
-            memo: dict[str, tuple[Frame | None, dict[int, tuple[int, int]]]] = {}
+            memo: dict[str, tuple] = {}
             made = []
             for i, host in enumerate(at("host").to_pylist()):
-                h = np.frombuffer(at("tokens")[i].as_py(), np.uint64)
-                kind = np.frombuffer(at("kinds")[i].as_py(), np.int32)
-                texts, flags = at("texts")[i].as_py(), at("flags")[i].as_py()
                 if host not in memo:
-                    cand, checks = at("cand")[i].as_py(), at("checks")[i].as_py() or []
-                    bad = {c["id"] for c in checks if c["is_class"] and not c["valid"]}
-                    memo[host] = (Frame(cand, at("all_contents")[i].as_py(), text_support, least).without(bad) if cand else None, {c["id"]: (c["inside"], c["total"]) for c in checks if not c["is_class"]})
-                frame, held = memo[host]
-                place = np.zeros(len(texts), np.int64)
-                is_text = kind % 4 == TEXT
-                place[kind[is_text] >> 2] = np.flatnonzero(is_text)
-                chosen, slots, way = None, 0, False
-                if frame is not None:
-                    rich = [(a, b, f) for t, a, b, f in _elements(h, kind, frame) if f & REGION_LIKE and held.get(t, (0, 1))[0] >= region * max(held.get(t, (0, 1))[1], 1)]
-                    articles = [x for x in rich if x[2] & ARTICLE_LIKE]
-                    fixed = {j for j in range(len(texts)) if int(h[place[j]].view(np.int64)) in frame.constant}
-                    if rich:
-                        a, b, f = min(articles) if articles else max(rich)
-                        way = True
-                        chosen = [j for j in range(len(texts)) if a < place[j] < b and not flags[j] & CHROME_BLOCK and j not in fixed]
-                        if not f & ARTICLE_LIKE:  # names break the tie where no deeper element holds enough
-                            chosen = [j for j in chosen if flags[j] & IN_ARTICLE] or [j for j in chosen if not flags[j] & LINKY]
-                    spine = np.cumsum([bool((k := frame.of.get(x)) and k[1] and not k[2]) for x in h.view(np.int64).tolist()])
-                else:
-                    fixed = set()
-                if chosen is None:
-                    live = [j for j in range(len(texts)) if not flags[j] & CHROME_BLOCK and j not in fixed]
-                    chosen = [j for j in live if flags[j] & IN_ARTICLE] or [j for j in live if not flags[j] & LINKY]
-                if frame is not None:
-                    slots = len({int(spine[place[j]]) for j in chosen})
-                made.append(("\n".join(texts[j] for j in chosen), slots, way))
+                    cand = at("cand")[i].as_py()
+                    memo[host] = learned(cand, at("contents")[i].as_py(), at("checks")[i].as_py() or []) if cand else (None, set(), {})
+                h, kind = np.frombuffer(at("tokens")[i].as_py(), np.uint64), np.frombuffer(at("kinds")[i].as_py(), np.int32)
+                texts = at("texts")[i].as_py()
+                got, slots, way = chosen(h, kind, at("flags")[i].as_py(), *memo[host])
+                made.append(("\n".join(texts[j] for j in got), slots, way))
             yield pa.RecordBatch.from_arrays(
                 [at("page_id"), at("url"), pa.array([m[0] for m in made], pa.string()), pa.array([len(m[0]) for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.bool_())],
                 names=["page_id", "url", "text", "n_chars", "n_slots", "by_template"],
@@ -418,25 +424,25 @@ def _extract(text_support: float, least: int, region: float):
     return run
 
 
+@scoped
 def extract(pages: DataFrame, support: float = SUPPORT, text_support: float = TEXT_SUPPORT, least: int = LEAST_CONTENTS, region: float = REGION) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars, n_slots, by_template."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     parsed = stage(pages.mapInArrow(_parse, PARSED), "parsed")
-    candidates = stage(deduce(parsed, support).withColumnRenamed("tokens", "cand"), "candidates")
+    candidates = stage(deduce(parsed, support), "candidates")
     total = parsed.count()
     hot = stage(parsed.groupBy("host").agg(F.count("*").alias("rows")).where(F.col("rows") * HOT_HOSTS >= total).select("host", F.lit(True).alias("hot")), "hot")
 
-    def with_host(of: DataFrame) -> DataFrame:
+    def with_host(rows: DataFrame, of: DataFrame) -> DataFrame:
         """Pages with what is known of their host; hosts with many pages, HOT_HOSTS of them at most, get it by broadcast."""
-        marked = parsed.join(F.broadcast(hot), "host", "left")
+        marked = rows.join(F.broadcast(hot), "host", "left")
         few, rest = of.join(F.broadcast(hot.select("host")), "host", "left_semi"), of.join(F.broadcast(hot.select("host")), "host", "left_anti")
         return marked.where("hot").drop("hot").join(F.broadcast(few), "host", "left").unionByName(marked.where("hot is null").drop("hot").join(rest, "host", "left"))
 
-    said = with_host(candidates).where("cand is not null").mapInArrow(_check(text_support, least), "host string, id long, is_class boolean, order long, slot long, inside long, total long")
-    sums = verdicts(said)
-    checks = sums.groupBy("host").agg(F.collect_list(F.struct("id", "is_class", "valid", "inside", "total")).alias("checks"))
+    said = with_host(parsed.select("host", "content", "tokens", "kinds", "plain"), candidates.select("host", "cand")).where("cand is not null").mapInArrow(_check, CHECK)
+    checks = stage(verdicts(said), "checks").groupBy("host").agg(F.collect_list(F.struct("id", "kind", "valid", "inside", "total", "contents")).alias("checks"))
     template = stage(candidates.join(checks, "host", "left"), "templates")
-    rows = with_host(template)
+    rows = with_host(parsed.drop("content", "plain"), template)
     return rows.mapInArrow(_extract(text_support, least, region), "page_id long, url string, text string, n_chars long, n_slots long, by_template boolean")
 
 

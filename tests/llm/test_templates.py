@@ -92,46 +92,48 @@ def test_hosts_that_are_not_hot(spark, monkeypatch):
 
 
 def brute(rows):
-    """Valid classes of one host, and the elements of its frame with their share of plain text, from all pages at once."""
-    pages = {}
-    for _, _, body in rows:
-        tokens, blocks = templates.read(body)
-        pages.setdefault(tuple(t[0] for t in tokens), (tokens, blocks))
-    pages = list(pages.values())
-    counts = [collections.Counter(t[0] for t in tokens) for tokens, _ in pages]
-    kinds = {t[0]: t[1] for tokens, _ in pages for t in tokens}
+    """Valid classes of one host, the contents of its repeated texts, and the plain text in elements of the frame, from all pages at once."""
+    pages = [templates.read(body) for _, _, body in rows]
+    counts = [collections.Counter(h for h, kind, _ in tokens if kind != templates.CLOSE) for tokens, _ in pages]
+    kinds = {h: kind for tokens, _ in pages for h, kind, _ in tokens}
     content = ["\n".join(sorted((b[0] for b in blocks), key=lambda t: (-len(t), t))[:2]) for _, blocks in pages]
     classes = collections.defaultdict(list)
-    for t in kinds:
+    for t in set().union(*counts):
         v = tuple(c[t] for c in counts)
         if sum(x > 0 for x in v) > 1 and sum(x > 0 for x in v) >= templates.SUPPORT * len(pages):
             classes[v].append(t)
     classes = {v: ts for v, ts in classes.items() if len(ts) > 1 or kinds[ts[0]] == templates.TEXT}
     once = {t for v, ts in classes.items() if max(v) == 1 for t in ts if kinds[t] != templates.TEXT}
-    valid = []
+    valid = set()
     for v, ts in classes.items():
         orders, slots, ok = set(), set(), True
         for (tokens, _), n in zip(pages, v, strict=True):
-            seq = [t[0] for t in tokens if t[0] in ts]
+            seq = [h for h, kind, _ in tokens if h in ts and kind != templates.CLOSE]
             if not n:
                 continue
             ok &= seq == seq[: len(ts)] * n
             orders.add(tuple(seq[: len(ts)]))
             if max(v) > 1:
                 at, here = 0, set()
-                for t in tokens:
-                    at = t[0] if t[0] in once else at
-                    if t[0] in ts:
+                for h, kind, _ in tokens:
+                    at = h if h in once else at
+                    if h in ts and kind != templates.CLOSE:
                         here.add(at)
                 ok &= len(here) == 1
                 slots |= here
         if ok and len(orders) == 1 and len(slots) < 2:
-            valid.append(frozenset(ts))
-    constant = {t for v, ts in classes.items() for t in ts if kinds[t] == templates.TEXT and len({c for c, n in zip(content, v, strict=True) if n}) >= max(templates.LEAST_CONTENTS, templates.TEXT_SUPPORT * len(set(content)))}
-    return set(valid), constant
-
-
-@pytest.mark.parametrize("seed", range(4))
+            valid.add(frozenset(ts))
+    texts = {t: len({c for c, n in zip(content, v, strict=True) if n}) for v, ts in classes.items() for t in ts if kinds[t] == templates.TEXT}
+    held = collections.Counter()
+    for tokens, blocks in pages:
+        hs = [h for h, _, _ in tokens]
+        for t in once:
+            if t in hs and t | 1 in hs:
+                held[t] += sum(blocks[d][4] for h, kind, d in tokens[hs.index(t) : hs.index(t | 1)] if kind == templates.TEXT)
+    return valid, texts, {t: n for t, n in held.items()}
+
+
+@pytest.mark.parametrize("seed", range(5))
 def test_classes_brute_force(spark, seed):
     rng = np.random.default_rng(seed)
     bits = ["<div class='k1'>Fixed line one</div>", "<ul><li>i{r}</li><li>Same item</li></ul>", "<table><tr><td>{r}</td></tr></table>", "<p>Own text {r} and more {r}</p>", "<div class='k2'><b>Label</b> {r}</div>", "<hr>"]
@@ -141,17 +143,14 @@ def test_classes_brute_force(spark, seed):
         body = "".join(bits[k].replace("{r}", str(rng.integers(10**6))) * (1 if rng.random() < 0.8 else int(rng.integers(0, 4))) for k in order)
         rows.append((i, "http://z.example/", f"<html><body><div class='m'>{body}</div></body></html>"))
     rows += rows[:2]
-    valid, constant = brute(rows)
-    parsed = spark.createDataFrame(rows, PAGE).mapInArrow(templates._parse, templates.PARSED)
-    cand = templates.deduce(parsed).first()
-    got = collections.defaultdict(set)
-    for t in cand.tokens:
-        got[t.vector].add(t.token % 2**64)
-    checks = parsed.join(templates.deduce(parsed).withColumnRenamed("tokens", "cand"), "host").mapInArrow(templates._check(templates.TEXT_SUPPORT, templates.LEAST_CONTENTS), "host string, id long, is_class boolean, order long, slot long, inside long, total long")
-    ok = {r.id for r in templates.verdicts(checks).where("is_class and valid").collect()}
-    assert {frozenset(got[v]) for v in ok} == valid and valid
-    frame = templates.Frame([t.asDict() for t in cand.tokens], cand.all_contents, templates.TEXT_SUPPORT, templates.LEAST_CONTENTS)
-    assert {t % 2**64 for t in frame.constant} == constant
+    valid, texts, held = brute(rows)
+    parsed = spark.createDataFrame(rows, PAGE).coalesce(1).mapInArrow(templates._parse, templates.PARSED)
+    cand = templates.deduce(parsed)
+    got = {c.vector: frozenset(t.token % 2**64 for t in c.tokens) for c in cand.first().cand}
+    said = templates.verdicts(parsed.join(cand, "host").mapInArrow(templates._check, templates.CHECK)).collect()
+    assert {got[r.id] for r in said if r.kind == 0 and r.valid} == valid and (valid or seed > 2)  # in seeds 3 and 4 every class is out of order on some page
+    assert {r.id % 2**64: r.contents for r in said if r.kind == 2} == texts
+    assert {r.id % 2**64: r.inside for r in said if r.kind == 1 and r.inside} == {k: v for k, v in held.items() if v}
 
 
 def test_edges(spark):
