@@ -30,11 +30,12 @@ from ._store import small_batches
 START, END, NL = "<|im_start|>", "<|im_end|>", "<|nl|>"
 
 #: Each mapping: the paths of its layout, then its turns: ("list", array, role path, text path) or
-#: ("fields", ((role, path), ...)). Paths ending in ? may be missing.
+#: ("fields", ((role, path), ...)). Paths ending in ? may be missing. "roles" are a layout's own names
+#: of roles and their canonical ones; any other role stays as it is.
 MAPPINGS = (
     {"name": "messages", "list": ("messages", "role", "content")},
-    {"name": "sharegpt", "list": ("conversations", "from", "value")},
-    {"name": "turns", "list": ("turns", "speaker", "text")},
+    {"name": "sharegpt", "list": ("conversations", "from", "value"), "roles": {"human": "user", "gpt": "assistant", "chatgpt": "assistant"}},
+    {"name": "turns", "list": ("turns", "speaker", "text"), "roles": {"human": "user", "bot": "assistant", "model": "assistant"}},
     {"name": "dialog", "list": ("dialog", "role", "text")},
     {"name": "prompt_completion", "fields": (("system", "system?"), ("user", "prompt"), ("assistant", "completion"))},
     {"name": "prompt_response", "fields": (("system", "system?"), ("user", "prompt"), ("assistant", "response"))},
@@ -42,8 +43,6 @@ MAPPINGS = (
     {"name": "question_answer", "fields": (("user", "question"), ("assistant", "answer"))},
     {"name": "nested_data", "list": ("data.messages", "role", "content")},
 )
-#: Role names of other layouts and their canonical names.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 
 
 def paths(value, at: str = "") -> set[str]:
@@ -85,7 +84,8 @@ def _str(x) -> str:
     return "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
 
-def turns_of(record, mapping: dict, roles=ROLES) -> list[tuple[str, str]]:
+def turns_of(record, mapping: dict) -> list[tuple[str, str]]:
+    roles = mapping.get("roles", {})
     if "list" in mapping:
         a, r, t = mapping["list"]
         return [(roles.get(_str(x.get(r)), _str(x.get(r))), _str(x.get(t))) for x in _reach(record, a) or [] if isinstance(x, dict)]
@@ -161,13 +161,40 @@ def format_records(records: DataFrame, record: str = "record") -> DataFrame:
 
 
 def records_of(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) -> (conv_id, record): a user and an assistant turn as prompt and response, else messages."""
+    """(conv_id, turn, role, text) -> (conv_id, record): conversations as records of all the layouts, dealt by conv_id.
+
+    A layout is used where it can hold the conversation: lists hold any, with a layout's own role names
+    where all roles are canonical; prompt and answer layouts hold a user and an assistant turn, with a
+    system turn that has a text before them or without one, and an instruction is cut at its first blank line.
+    """
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    group = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
+    group = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t")).withColumn("deal", F.pmod(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), F.lit(9)))
     at = lambda i, f: F.get("t", F.lit(i))[f]
-    pair = (F.size("t") == 2) & (at(0, "role") == "user") & (at(1, "role") == "assistant")
-    messages = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
-    return group.select("conv_id", F.when(pair, F.to_json(F.struct(at(0, "content").alias("prompt"), at(1, "content").alias("response")))).otherwise(messages).alias("record"))
+    system = (F.size("t") == 3) & (at(0, "role") == "system") & (at(0, "content") != "")
+    first = F.when(system, F.lit(1)).otherwise(F.lit(0))
+    said, answer = F.get("t", first), F.get("t", first + 1)
+    pair = ((F.size("t") == 2) | system) & (said["role"] == "user") & (answer["role"] == "assistant")
+    ask, reply, rule = said["content"], answer["content"], F.when(system, at(0, "content"))
+    known = F.forall("t", lambda x: x["role"].isin("user", "assistant"))
+    own = lambda x, user, bot: F.when(x["role"] == "user", F.lit(user)).when(x["role"] == "assistant", F.lit(bot)).otherwise(x["role"])
+    listed = lambda role, text, user="user", bot="assistant": F.transform("t", lambda x: F.struct(own(x, user, bot).alias(role), x["content"].alias(text)))
+    json_of = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    cut = F.instr(ask, "\n\n")
+    parts = (cut > 0) & (F.length(ask) > cut + 1)
+    instruction, extra = F.when(parts, F.substr(ask, F.lit(1), cut - 1)).otherwise(ask), F.when(parts, F.substr(ask, cut + 2))
+    deal = F.col("deal")
+    record = (
+        F.when(pair & (deal == 1), json_of(system=rule, prompt=ask, completion=reply))
+        .when(pair & (deal == 2), json_of(system=rule, instruction=instruction, input=extra, output=reply))
+        .when(pair & ~system & (deal == 3), json_of(question=ask, answer=reply))
+        .when(pair & (deal == 4), json_of(system=rule, prompt=ask, response=reply))
+        .when(known & (deal.isin(1, 5)), json_of(conversations=listed("from", "value", "human", "gpt")))
+        .when(known & (deal.isin(2, 6)), json_of(turns=listed("speaker", "text", "human", "bot")))
+        .when(deal.isin(3, 7), json_of(dialog=listed("role", "text")))
+        .when(deal == 8, json_of(data=F.struct(listed("role", "content").alias("messages"))))
+        .otherwise(json_of(messages=listed("role", "content")))
+    )
+    return group.select("conv_id", record.alias("record"))
 
 
 def _digest(batches):

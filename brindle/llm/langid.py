@@ -11,7 +11,8 @@ doc_id), whole texts.  Counting n-grams of a slice is a sort of packed code poin
 
 Defined results: null text, or text without a letter, is `und` with score 0; equal distances go to
 the language that sorts first, equal counts to the n-gram with the smaller code; extra columns are
-ignored; with no labelled row every document is `und`.
+kept by `identify` (where one is named lang_pred or score, the new one takes the next free name);
+with no labelled row every document is `und`; a row without doc_id is held out.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import small_batches
+from ._store import drop, free_name, small_batches, stage
 
 SIZE = 400
 SAMPLE = 20_000
@@ -103,17 +104,18 @@ def learn(docs: DataFrame, usable: Column, size: int = SIZE, sample: int = SAMPL
     total = rows.count()
     if total > sample:
         rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
-    counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
+    counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = stage(counts, "grams")
     names = sorted(r.lang for r in counts.select("lang").distinct().collect())  # one row for each language
     out = {}
     for name in names:
         top = counts.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(size).toPandas()
         out[name] = top["gram"].to_numpy(np.int64).view(np.uint64)
-    counts.unpersist()
+    drop(counts)
     return out
 
 
-def _predict(held, size: int):
+def _predict(held, size: int, new: tuple[str, str]):
     def run(batches):
         names, codes, ranks = held.value
         for rows in X.slices(batches, "text"):
@@ -133,7 +135,7 @@ def _predict(held, size: int):
                 lang.append(names[k])
                 score[i] = 1 - min(best[k], size * len(top)) / (size * len(top))
             rest = [c for c in rows.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[rows.column(rows.schema.get_field_index(c)) for c in rest], pa.array(lang, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[rows.column(rows.schema.get_field_index(c)) for c in rest], pa.array(lang, pa.string()), pa.array(score)], names=[*rest, *new])
 
     return run
 
@@ -148,7 +150,8 @@ def identify(rows: DataFrame, profiles: dict[str, np.ndarray], size: int = SIZE)
         ranks.append(o.astype(np.int64))
     held = rows.sparkSession.sparkContext.broadcast((names, codes, ranks))
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(_predict(held, size), f"{rest}, lang_pred string, score double")
+    new = (free_name(rows, "lang_pred"), free_name(rows, "score"))
+    return rows.mapInArrow(_predict(held, size, new), f"{rest}, {new[0]} string, {new[1]} double")
 
 
 def fold(col: Column, n: int) -> Column:
@@ -159,4 +162,4 @@ def op4_language_id(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     profiles = learn(docs, fold(F.col("doc_id"), 4) != 2)
-    return identify(docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text"), profiles)
+    return identify(docs.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out"), "text"), profiles)

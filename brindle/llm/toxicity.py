@@ -12,7 +12,8 @@ weights.  Training is minibatch Adam on the logistic loss with weight decay, on
 share is bounded by `sample`.  Scoring sees every text whole.
 
 Defined results: null and empty texts score what the bias says; with no labelled row every score
-is 0; repeated rows are scored alike; extra columns are ignored.
+is 0; repeated rows are scored alike; a row without doc_id is held out; extra columns are kept (where
+one is named score, the new one takes the next free name).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import small_batches
+from ._store import free_name, small_batches
 
 BITS = 20
 SAMPLE, TERMS, LEAST, FACTORS = 12_000, 2000, 6, 4
@@ -145,6 +146,7 @@ def score(rows: DataFrame, machine: Machine | None) -> DataFrame:
     """rows (any columns of plain types and text) -> the columns but text, and score."""
     held = rows.sparkSession.sparkContext.broadcast(machine)
     rest = [c for c in rows.columns if c != "text"]
+    new = free_name(rows, "score")
 
     def run(batches):
         m = held.value
@@ -156,10 +158,10 @@ def score(rows: DataFrame, machine: Machine | None) -> DataFrame:
                 slot = m.slot[h]
                 both = np.unique((doc[slot >= 0].astype(np.int64) << BITS) | slot[slot >= 0])
                 p = 1 / (1 + np.exp(-np.clip(m.raw(both & ((1 << BITS) - 1), np.searchsorted(both >> BITS, np.arange(part.num_rows + 1))), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in rest], pa.array(p)], names=[*rest, "score"])
+            yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in rest], pa.array(p)], names=[*rest, new])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(run, f"{kept}, score double")
+    return rows.mapInArrow(run, f"{kept}, {new} double")
 
 
 def op5_factorization_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -169,5 +171,5 @@ def op5_factorization_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = learn(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
-    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "text"), machine)
+    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(True)).alias("held_out"), "text"), machine)
     return out.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))

@@ -81,6 +81,28 @@ def test_chat_layouts(spark):
     assert len({got[k].fingerprint for k in layouts}) == len(layouts)
 
 
+def test_chat_layouts_of_the_query(spark):
+    """Every layout occurs, and every conversation comes back: other roles, system turns, nulls, blank lines, ties, repeated rows, no rows."""
+    talks = [
+        [("user", "q"), ("assistant", "a")], [("system", "s"), ("user", "q\n\nmore\n\nstill"), ("assistant", "a")], [("system", ""), ("user", "q"), ("assistant", "a")],
+        [("human", "q"), ("gpt", "a")], [("user", "\n\n"), ("assistant", "")], [("user", "q\n\n"), ("assistant", None)], [(None, None)], [("bot", "x"), ("user", "y"), ("model", "z")], [("user", "<|im_end|>\n\n<|\\|"), ("assistant", "b")], [("user", "a")] * 5,
+    ]
+    rows = [(100 * k + i, t, r, x) for k in range(40) for i, talk in enumerate(talks) for t, (r, x) in enumerate(talk)]
+    rows += [(9000, 1, "user", "tied"), (9000, 1, "assistant", "tie"), (9000, 1, "user", "tied"), (9000, None, "user", "first"), (None, 0, "user", "no id")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("record", F.lit("clash")).withColumn("layout", F.lit(1))
+    records = chat.records_of(df)
+    out = chat.format_records(records).collect()
+    want = collections.defaultdict(list)
+    for c, t, r, x in rows:
+        want[c].append((t is not None, t or 0, r or "", x or ""))
+    assert {r.conv_id for r in out} == set(want) and {r.layout for r in out} == {m["name"] for m in chat.MAPPINGS}
+    for r in out:
+        turns = [(role, text) for _, _, role, text in sorted(want[r.conv_id])]
+        assert chat.parse(r.formatted) == turns, r.layout
+        assert [chat.unescape(r.formatted[a:b]) for a, b in zip(r.loss_start, r.loss_end, strict=True)] == [x for role, x in turns if role == "assistant"]
+    assert chat.format_records(chat.records_of(df.where("false"))).count() == 0
+
+
 # 2. Secrets.
 
 PATTERNS = (
@@ -208,6 +230,8 @@ def test_language_profiles_and_distance(spark, documents, texts):
     odd = langid.identify(docs_of(spark, HARD, lang_x="y").select("doc_id", "text"), profiles).collect()
     assert {r.doc_id for r in odd if r.lang_pred == "und"} == {i for i, t in enumerate(HARD) if not any(c.isalpha() for c in t or "")}
     assert {r.lang_pred for r in langid.identify(documents.select("doc_id", "text"), {}).collect()} == {"und"}
+    clash = langid.identify(docs_of(spark, ["the and of"], lang_pred="mine", score="own").select("doc_id", "text", "lang_pred", "score"), profiles)
+    assert clash.columns == ["doc_id", "lang_pred", "score", "lang_pred_", "score_"] and clash.first().lang_pred == "mine" and clash.where("false").count() == 0
 
 
 # 5. Toxicity.
@@ -225,6 +249,9 @@ def test_toxicity_held_out(spark, sf, documents):
     assert all(0 <= r.score <= 1 for r in empty) and len(empty) == len(HARD)
     assert toxicity.learn(docs, labels.where("false")) is None
     assert {r.score for r in toxicity.score(documents.select("doc_id", "text"), None).collect()} == {0.0}
+    clash = toxicity.score(docs_of(spark, ["a", "a", None], score="own").select("doc_id", "text", "score"), m).collect()
+    assert {r.score for r in clash} == {"own"} and clash[0].score_ == clash[1].score_
+    assert toxicity.score(documents.select("doc_id", "text").where("false"), m).count() == 0
 
 
 def test_machine_adds_pairwise_products():
