@@ -26,8 +26,9 @@ below, so that this filter drops no link.  The texts of the few pairs that pass
 shingle by shingle.
 
 Defined results: null or empty text, or one without words, is linked with nothing and is its own
-class; texts with equal shingle sets are linked (one of them stands for all); repeated rows of a
-doc_id count as copies.  Extra columns are ignored.
+class; texts with equal shingle sets are linked (one of them stands for all); rows that share a doc_id
+are documents of their own with one row each, whose links all count for that doc_id's rows; rows
+without doc_id have no name to be reported under and are left out.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,16 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import drop, small_batches, stage
+from ._store import scoped, small_batches, stage
 from .components import components
 
 CHUNK = 1_500_000  # shingles that a task counts at once
 LIST = 8192  # longest packed list
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 HOT_SHARE, HOT_LEAST, HOT_MOST = 0.0005, 16, 1_000_000
 SEEN = 3  # a shingle in fewer sets of a chunk is not frequent
 BINS = np.unique(np.round(2 ** (np.arange(0, 97) / 4)).astype(np.int64))
-BLOCK = 4096  # members of a list that are compared at once
+BLOCK, BLOCK_BYTES = 4096, 32 << 20  # members of a list that are compared at once, and their bitmaps
 LARGE, LARGE_PAIRS, NEAREST = 256, 50, 4  # members of a large list; its pairs a document from which the pass of nearest partners pays
 BROADCAST_IDS = 100_000  # ids of texts to fetch that are broadcast; more are joined by shuffle
 
@@ -382,6 +383,17 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
+def _own_texts(k: int):
+    """Rows (g, text) whose text has the set g: where rows share a doc_id, others come along."""
+
+    def run(batches):
+        for rows in X.slices(batches, "text"):
+            want = rows.column(rows.schema.get_field_index("g")).to_pylist()
+            yield rows.filter(pa.array([len(x) > 0 and _digest(x) == want[i] for i, x in _sets(rows, k)], pa.bool_()))
+
+    return run
+
+
 def _regrouped(joined: DataFrame) -> DataFrame:
     """joined (head, g, large) with connected large lists as one, where the square of their union is below the sum of their squares.
 
@@ -406,6 +418,7 @@ def _regrouped(joined: DataFrame) -> DataFrame:
     return stage(joined.join(gone, "head", "left_anti").select("head", "g").union(union.join(pays, "head").select("head", "g")), "regrouped")
 
 
+@scoped
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): documents linked at Jaccard num/den or more over k-word shingles.
 
@@ -428,7 +441,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     postings = sum((r.d if BINS[r.a] <= boundary else 0) + (r.c if BINS[r.a] > 0.7 * boundary else 0) for r in bins)
     n_buckets = max(16, math.ceil(postings * 12 / BUCKET_BYTES))
     packed = text.mapInArrow(_post(k, num, den, hot_b, boundary, n_buckets), "bucket long, payload binary")
-    lists = stage(packed.groupBy("bucket").applyInArrow(_lists, "key long, head long, gs binary"), "lists")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * n_buckets)  # plain and salted buckets
+    lists = stage(packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_lists, "key long, head long, gs binary"), "lists")
     # One row for each distinct set: its size, bitmap and one document.
     info = stage(
         first.where("kind = 0 and b > 0").groupBy(F.col("c").alias("g")).agg(F.min(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("n"), "bits")).alias("i")).select("g", "i.*"), "info"
@@ -447,7 +461,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
         ids = pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct().join(info.select("g", "doc_id"), "g")
         ids = stage(ids, "ids")
         few = ids.count() <= BROADCAST_IDS
-        part = stage(text.join(F.broadcast(ids) if few else ids, "doc_id").select("g", "text").dropDuplicates(["g"]), "texts")
+        part = text.join(F.broadcast(ids) if few else ids, "doc_id").select("g", "text").mapInArrow(_own_texts(k), "g long, text string")
+        part = stage(part.dropDuplicates(["g"]), "texts")
         a, b = part.select(F.col("g").alias("a"), F.col("text").alias("ta")), part.select(F.col("g").alias("b"), F.col("text").alias("tb"))
         return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(k, num, den), "a long, b long").distinct()
 
@@ -462,7 +477,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
         """Pairs of different classes in joined lists of `least` members or more that pass the filters."""
         named = joined.join(classes, "g", "left").select("head", "g", F.coalesce("comp", "g").alias("comp"))
         counts = named.groupBy("head").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
-        open_lists = stage(counts.where((F.col("lo") != F.col("hi")) & (F.col("m") >= least)).select("head", F.ceil(F.col("m") / BLOCK).alias("blocks")), "open")
+        mixed = stage(counts.where((F.col("lo") != F.col("hi")) & (F.col("m") >= least)).select("head", "m"), "mixed")
+        # A bitmap takes a quarter of a byte for each shingle at most, and 8 bytes at least.
+        weight = named.join(mixed, "head").join(info.select("g", "n"), "g").groupBy("head").agg(F.first("m").alias("m"), F.sum(F.greatest(F.col("n") / 4, F.lit(8.0))).alias("w"))
+        open_lists = stage(weight.select("head", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_BYTES)).alias("blocks")), "open")
         rest = named.join(open_lists, "head").join(info.select("g", "n", "bits"), "g")
         member = F.collect_list(F.struct("g", "n", "comp", "bits")).alias("x")
         small = rest.where("blocks = 1").groupBy("head").agg(member).select("x").mapInArrow(_blocks(num, den, most), "a long, b long")
@@ -484,7 +502,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     named = sets.where("n > 0").join(comp, "g", "left").select("doc_id", "n", "g", F.coalesce("comp", "g").alias("comp"))
     least = stage(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
     linked = named.join(ends, "g", "left").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return linked.union(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return stage(linked.union(alone), "classes")
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages: what goes, what stays, and the shape of what they return."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def test_columns(made):
 def test_decisions(spark, sf, made):
     ids = {k: {r.doc_id for r in v.select("doc_id").collect()} for k, v in made.items()}
     assert ids["language"] == {r.doc_id for r in made["start"].collect() if any(c.isalpha() for c in r.text or "")}
-    near = jaccard_join.near_duplicates(made["language"]).collect()
+    near = jaccard_join.near_duplicates(made["language"]).collect()  # doc_ids are unique here
     assert ids["duplicates"] == {r.doc_id for r in near if r.doc_id == r.component_id}
     bad = {r.doc_id for r in decontaminate.contaminated(made["duplicates"], spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert ids["benchmark"] == ids["duplicates"] - bad and bad
@@ -48,5 +50,22 @@ def test_edges(spark, sf):
         out.count()
 
 
+def test_rows_without_or_with_shared_ids(spark, sf):
+    """Null and repeated doc_ids: decisions are by row, never by id."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").limit(2).collect()
+    w = lambda a, n: " ".join(f"w{a}x{j}" for j in range(n))
+    rows = [(None, f"before {items[0].text} after"), (None, w(1, 30)), (None, w(1, 30)), (5, w(2, 40)), (5, w(3, 40)), (5, w(3, 40)), (4, w(2, 40) + " more"), (6, items[1].text), (7, ""), (7, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    key = lambda df: sorted(((r.doc_id is None, r.doc_id, r.text or "") for r in df.collect()), key=str)
+    kept = C.duplicates(spark, df, sf)
+    want = [rows[0], rows[1], rows[4], rows[6], rows[7], rows[8], rows[9], rows[10]]
+    assert key(kept) == sorted(((i is None, i, t or "") for i, t in want), key=str)
+    assert key(C.benchmark(spark, df, sf)) == sorted(((i is None, i, t or "") for k, (i, t) in enumerate(rows) if k not in (0, 7)), key=str)
+
+
 def test_run(spark, sf):
+    from brindle.llm import _store
+
     assert C.run(spark, sf).count() > 0
+    folder = _store.shared_dir(spark).removeprefix("file://") + "/brindle"
+    assert {n.partition("-")[0] for n in os.listdir(folder)} <= {"pieces", "hits", "firsts", "parsed", "candidates", "templates", "secrets", "owners", "checks", "hot", "classes", "language", "duplicates", "benchmark", "private"}
