@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate, jaccard_join, langid, packing, pii
-from brindle.llm._store import small_batches, stage
+from brindle.llm._store import scoped, small_batches, stage
 
 
 def _row(docs: DataFrame):
@@ -24,19 +24,29 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.select("row.*")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of its own for each row: null and repeated doc_ids are no key.
+
+    Stages read written Parquet, where a row's place, and so its number, is the same in a task made anew.
+    """
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
 def duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each class of near duplicates; rows without doc_id stay as they are."""
-    first = jaccard_join.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    # Of repeated rows of one doc_id, which are copies of each other, one stays.
-    kept = docs.join(stage(first, "firsts"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.union(docs.where("doc_id is null"))
+    """Keeps one document of each class of near duplicates: the one with the smallest doc_id (null last), of rows that share it the first."""
+    rows = _numbered(docs)
+    classes = jaccard_join.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    named = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("rank")).join(classes, "_row")
+    first = stage(named.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank._row").alias("_row")), "firsts")
+    return rows.join(first, "_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = stage(decontaminate.contaminated(docs, items).select("doc_id").distinct(), "hits")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    rows = _numbered(docs)
+    hit = stage(decontaminate.contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_row")).distinct(), "hits")
+    return rows.join(hit, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def private(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +67,9 @@ STAGES = [("language", language), ("duplicates", duplicates), ("benchmark", benc
 ORACLE_SQL = None
 
 
+@scoped
 def run(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir), name)
+        docs = scoped(lambda docs=docs, f=f, name=name: stage(f(spark, docs, sf_dir), name))()
     return STAGES[-1][1](spark, docs, sf_dir)
