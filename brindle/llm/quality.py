@@ -6,16 +6,18 @@ its features and its neighbours' labels.  A document is kept while the code poin
 lines make `share` of all code points in words or more.  Base rules on word counts and repeated
 windows come first and fail a document by themselves.
 
-Learning: on at most about `sample` labelled documents (by a hash of doc_id) of at most
-TRAIN_LINES lines.  Lines of good documents are content unless they repeat an earlier line; lines of bad ones are
-boilerplate where `weak_label` says so.  The likelihood is maximised by gradient steps with exact
-forward-backward sums, for all documents at once, on the driver.
+Learning: from documents' labels alone, lines are latent.  Labelled documents, at most about `sample`
+of them by a hash of doc_id, are cut in chains of at most CHAIN lines, of which about `lines` lines
+are taken by a hash.  EM with posterior constraints: the posterior of a chain's lines is tilted, no
+more than needed, until boilerplate holds BAD of its characters or more where the document is bad,
+and GOOD or less where it is good; the CRF's likelihood climbs towards these posteriors by Adam steps
+with exact forward-backward sums, for all chains at once, on the driver.
 
 Base counts: words are runs of anything but the six ASCII separators; a repeated word is one in a
 window of 8 words that the text holds twice or more.
 
-Defined results: null and empty texts have no words and fail the base rules; without labels the
-CRF has zero weights but for symbols, capitals and repetition; repeated rows are judged alike;
+Defined results: null and empty texts have no words and fail the base rules; without labels of both
+kinds the CRF has zero weights but for symbols, capitals and repetition; repeated rows are judged alike;
 extra columns are ignored.
 """
 
@@ -27,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import small_batches
+from ._store import drop, small_batches, stage
 
-SAMPLE, TRAIN_LINES, SHARE, WINDOW = 3000, 120, 0.5, 8
+SAMPLE, LINES, CHAIN, SHARE, WINDOW = 3000, 200_000, 64, 0.5, 8
+BAD, GOOD = 0.7, 0.1  # shares of boilerplate that the labels ask for when learning
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: The symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
@@ -146,82 +149,127 @@ class Chain:
         return np.array(y[::-1], bool)
 
 
-def weak_label(x: np.ndarray, good: bool) -> np.ndarray:
-    """Lines taken for boilerplate when learning, by the document's label."""
-    if good:
-        return x[:, 8] > 0
-    return (x[:, 3] > 0.25) | (x[:, 4] > 0.9) | (x[:, 6] > 0.25) | (x[:, 7] > 0.6) | (x[:, 8] > 0)
-
-
-def train(docs: list[np.ndarray], good: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Chain:
-    """Maximum likelihood by Adam; forward-backward runs over all documents at once, line by line."""
+class Chains:
+    """Chains of lines as padded arrays, the longest first, for forward-backward over all of them at once."""
+
+    def __init__(self, x: list[np.ndarray], chars: list[np.ndarray]):
+        self.order = sorted(range(len(x)), key=lambda i: -len(x[i]))
+        size = np.array([len(x[i]) for i in self.order])
+        self.top = int(size[0])
+        self.live = np.arange(self.top)[None] < size[:, None]
+        self.x = np.concatenate([x[i] for i in self.order])  # all lines, chain by chain, as live lists them
+        self.share = np.zeros(self.live.shape)
+        self.share[self.live] = np.concatenate([chars[i] / max(chars[i].sum(), 1) for i in self.order])
+        self.at = [int((size > i).sum()) for i in range(self.top)]  # chains that have line i
+
+    def emission(self, w: np.ndarray) -> np.ndarray:
+        e = np.zeros(self.live.shape)
+        e[self.live] = self.x @ w
+        return e
+
+    def sums(self, e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Posterior of boilerplate for every line, and expected label changes over all chains (2 x 2)."""
+        s = 1 / (1 + np.exp(-np.clip(e, -30, 30)))
+        em = np.stack([1 - s, s], 2)
+        tr = np.exp(t)
+        f, b = np.zeros_like(em), np.ones_like(em)
+        f[:, 0] = em[:, 0] / em[:, 0].sum(1, keepdims=True)
+        for i in range(1, self.top):
+            n = self.at[i]
+            a = (f[:n, i - 1] @ tr) * em[:n, i]
+            f[:n, i] = a / a.sum(1, keepdims=True)
+        changes = np.zeros((2, 2))
+        for i in range(self.top - 2, -1, -1):
+            n = self.at[i + 1]
+            nxt = em[:n, i + 1] * b[:n, i + 1]
+            back = nxt @ tr.T
+            both = f[:n, i, :, None] * tr[None] * nxt[:, None, :]
+            changes += (both / both.sum((1, 2), keepdims=True)).sum(0)
+            b[:n, i] = back / back.sum(1, keepdims=True)
+        p = f * b
+        return np.where(self.live, p[..., 1] / np.maximum(p.sum(2), 1e-300), 0.0), changes
+
+    def tilted(self, e: np.ndarray, t: np.ndarray, good: np.ndarray, most: float = 40.0) -> np.ndarray:
+        """Emissions, tilted by a multiple of each line's share of its chain until boilerplate's expected share is as the label asks."""
+        want = np.where(good, GOOD, BAD)
+        held = (self.sums(e, t)[0] * self.share).sum(1)
+        fine = np.where(good, held <= want, held >= want)
+        lines = self.live.sum(1)
+        lo, hi = np.where(good, -most * lines, 0.0), np.where(good, 0.0, most * lines)
+        for _ in range(14):
+            mid = (lo + hi) / 2
+            high = (self.sums(e + mid[:, None] * self.share, t)[0] * self.share).sum(1) > want
+            lo, hi = np.where(high, lo, mid), np.where(high, mid, hi)
+        return e + np.where(fine, 0.0, (lo + hi) / 2)[:, None] * self.share
+
+
+def train(x: list[np.ndarray], chars: list[np.ndarray], good: np.ndarray, steps: int = 120, every: int = 15, rate: float = 0.1, decay: float = 1e-3) -> Chain:
+    """EM from labels of whole chains: every `every` steps the latent lines' posteriors are made anew."""
     m = Chain()
-    docs_ok = [i for i, x in enumerate(docs) if len(x)]
-    if not docs_ok:
-        return m
-    order = sorted(docs_ok, key=lambda i: -len(docs[i]))
-    size = np.array([len(docs[i]) for i in order])
-    top, k = int(size[0]), len(FEATURES)
-    live = np.arange(top)[None] < size[:, None]
-    x = np.concatenate([docs[i] for i in order])  # all lines, document by document, as live lists them
-    y = np.zeros((len(order), top), int)
-    y[live] = np.concatenate([weak_label(docs[i], bool(good[i])) for i in order])
-    at = [int((size > i).sum()) for i in range(top)]  # documents that have line i; the longest come first
-    theta = np.concatenate([m.w, m.t.ravel()])
+    k = len(FEATURES)
+    parts = []  # chains of good and of bad documents; both kinds weigh alike, whatever their numbers
+    for kind in (True, False):
+        some = [i for i, v in enumerate(x) if len(v) and bool(good[i]) == kind]
+        if not some:
+            return m
+        c = Chains([x[i] for i in some], [chars[i] for i in some])
+        parts.append((c, np.full(len(some), kind), 0.5 / c.live.sum()))
+    theta = np.zeros(k + 4)
     mom, var = np.zeros_like(theta), np.zeros_like(theta)
-    total = size.sum()
+    wanted: list[tuple[np.ndarray, np.ndarray]] = []
     for step in range(1, steps + 1):
         w, t = theta[:k], theta[k:].reshape(2, 2)
-        e = np.zeros((len(order), top, 2))
-        e[..., 1][live] = x @ w
-        fwd, bwd = np.zeros_like(e), np.zeros_like(e)
-        fwd[:, 0] = e[:, 0]
-        for i in range(1, top):
-            n = at[i]
-            fwd[:n, i] = np.logaddexp(fwd[:n, i - 1, :1] + t[0], fwd[:n, i - 1, 1:] + t[1]) + e[:n, i]
-        for i in range(top - 2, -1, -1):
-            n = at[i + 1]
-            nxt = bwd[:n, i + 1] + e[:n, i + 1]
-            bwd[:n, i] = np.logaddexp(t[:, 0] + nxt[:, :1], t[:, 1] + nxt[:, 1:])
-        end = fwd[np.arange(len(order)), size - 1]
-        logz = np.logaddexp(end[:, 0], end[:, 1])
-        p1 = np.exp((fwd[:, :, 1] + bwd[:, :, 1] - logz[:, None])[live])
-        g = np.zeros_like(theta)
-        g[:k] = x.T @ (p1 - y[live])
-        both = live[:, 1:]
-        of_doc = np.broadcast_to(logz[:, None], both.shape)[both]
-        y0, y1 = y[:, :-1][both], y[:, 1:][both]
-        for a in range(2):
-            for b in range(2):
-                p = np.exp(fwd[:, :-1, a][both] + t[a, b] + (e[:, 1:, b] + bwd[:, 1:, b])[both] - of_doc)
-                g[k + 2 * a + b] = p.sum() - ((y0 == a) & (y1 == b)).sum()
-        g = g / total + decay * theta
-        mom += 0.1 * (g - mom)
-        var += 0.01 * (g * g - var)
+        grad = np.zeros_like(theta)
+        if step % every == 1:
+            wanted = []
+        for n, (c, kind, scale) in enumerate(parts):
+            e = c.emission(w)
+            if len(wanted) <= n:
+                wanted.append(c.sums(c.tilted(e, t, kind), t))
+            q, q_changes = wanted[n]
+            got, changes = c.sums(e, t)
+            grad[:k] += scale * (c.x.T @ (got - q)[c.live])
+            grad[k:] += scale * (changes - q_changes).ravel()
+        grad += decay * theta
+        mom += 0.1 * (grad - mom)
+        var += 0.01 * (grad * grad - var)
         theta = theta - rate * (mom / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
     m.w, m.t = theta[:k], theta[k:].reshape(2, 2)
     return m
 
 
-def _lines(batches):
+def _chains(batches):
+    """(doc_id, quality, chain, x, chars): features and code points of the lines of each chain."""
     for rows in X.slices(batches, "text"):
-        got = measure(*X.utf8(rows.column(1)))
+        got = measure(*X.utf8(rows.column(2)))
         cut = np.searchsorted(got["line_doc"], np.arange(rows.num_rows + 1))
-        x = [got["x"][cut[i] : cut[i + 1]].ravel() if cut[i + 1] - cut[i] <= TRAIN_LINES else [] for i in range(rows.num_rows)]
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(x, pa.list_(pa.float64()))], names=["quality", "x"])
+        at = [(i, a, min(a + CHAIN, cut[i + 1])) for i in range(rows.num_rows) for a in range(cut[i], cut[i + 1], CHAIN)]
+        doc = pa.array([i for i, _, _ in at], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [rows.column(0).take(doc), rows.column(1).take(doc), pa.array([int(a - cut[i]) for i, a, _ in at], pa.int64()),
+             pa.array([got["x"][a:b].ravel() for _, a, b in at], pa.list_(pa.float64())), pa.array([got["line_chars"][a:b] for _, a, b in at], pa.list_(pa.int64()))],
+            names=["doc_id", "quality", "chain", "x", "chars"],
+        )
+
+
+def _hash_share(share: float, *cols: str):
+    return F.pmod(F.xxhash64(*cols), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(share, 1.0)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> Chain:
     marked = labels.where(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     total = marked.count()
     if not total:
         return Chain()
-    if total > sample:
-        marked = marked.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
-    rows = docs.join(F.broadcast(marked), "doc_id").select("quality", "text")  # the sample is bounded by its parameter
-    got = rows.mapInArrow(_lines, "quality int, x array<double>").toArrow()
+    marked = marked.where(_hash_share(sample / total, "doc_id"))
+    rows = docs.join(F.broadcast(marked), "doc_id").select("doc_id", "quality", "text")  # the sample is bounded by its parameter
+    kind = dict(rows.dtypes)["doc_id"]
+    chains = stage(rows.mapInArrow(_chains, f"doc_id {kind}, quality int, chain long, x array<double>, chars array<long>"), "chains")
+    found = chains.agg(F.sum(F.size("chars"))).first()[0] or 0
+    got = chains.where(_hash_share(lines / max(found, 1), "doc_id", "chain")).select("quality", "x", "chars").toArrow()
+    drop(chains)
     x = [np.asarray(v.values).reshape(-1, len(FEATURES)) for v in got.column("x")]
-    return train(x, got.column("quality").to_numpy())
+    return train(x, [np.asarray(v.values) for v in got.column("chars")], got.column("quality").to_numpy())
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
