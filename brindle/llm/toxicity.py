@@ -6,10 +6,13 @@ A text's terms are the hashes of its distinct lower-cased words (ASCII letters,
 bytes of other characters) and of their beginnings of 4 to 7 bytes, which carry inflected and
 compound forms; each counts once.
 
-Learning: from labelled rows only, at most about `sample` of them by a hash of doc_id; of their
-terms the `terms` most telling ones by a two-sample statistic, in `least` rows or more, get
-weights.  Training is minibatch Adam on the logistic loss with weight decay, on the driver, whose
-share is bounded by `sample`.  Scoring sees every text whole.
+Learning: from labelled rows only, at most about `sample` of them by a hash of doc_id.  Terms are
+counted over their whole texts by Spark; weights go to the terms in `least` rows or more that are most
+telling by themselves by a two-sample statistic (`terms` of them, over Z), and to those in most toxic
+rows (`support` of them, in `least` toxic rows or more), so that a term which tells nothing alone keeps
+its place in pairs.  Only chosen terms of the sample come to the driver: at most sample x (terms +
+support) numbers, whatever the texts' lengths.  Training there is minibatch Adam on the logistic loss
+with weight decay.  Scoring sees every text whole.
 
 Defined results: null and empty texts score what the bias says; with no labelled row every score
 is 0; repeated rows are scored alike; a row without doc_id is held out; extra columns are kept (where
@@ -24,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import free_name, small_batches
+from ._store import drop, free_name, small_batches, stage
 
 BITS = 20
-SAMPLE, TERMS, LEAST, FACTORS = 12_000, 2000, 6, 4
+SAMPLE, TERMS, SUPPORT, LEAST, Z, FACTORS = 12_000, 2000, 2000, 6, 2.5, 4
 STARTS = (4, 5, 6, 7)  # bytes of the beginnings that are terms
 #: Bytes that end a term, all of ASCII but letters and digits.
 _ENDS = np.ones(256, bool)
@@ -55,9 +58,15 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int32), np.concatenate(who)
 
 
-def _bags(batches):
+def _bags(batches, chosen: np.ndarray | None):
+    """(toxic, bag): distinct terms of each row, of the chosen ones if given."""
+    keep = np.ones(1 << BITS, bool)
+    if chosen is not None:
+        keep[:] = False
+        keep[chosen] = True
     for rows in X.slices(batches, "text"):
         h, doc = terms(*X.utf8(rows.column(1)))
+        h, doc = h[keep[h]], doc[keep[h]]
         both = np.unique((doc.astype(np.int64) << BITS) | h)
         cut = np.searchsorted(both >> BITS, np.arange(rows.num_rows + 1))
         flat = (both & ((1 << BITS) - 1)).astype(np.int32)
@@ -86,17 +95,23 @@ class Machine:
         return out
 
 
-def train(bags: list[np.ndarray], y: np.ndarray, terms: int = TERMS, least: int = LEAST, epochs: int = 12, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine:
-    n, pos = len(bags), float(y.sum())
-    flat = np.concatenate(bags) if n else np.zeros(0, np.int32)
-    doc = np.repeat(np.arange(n), [len(b) for b in bags])
-    df = np.bincount(flat, minlength=1 << BITS).astype(float)
-    hit = np.bincount(flat, y[doc], minlength=1 << BITS)
+def choose(df: np.ndarray, hit: np.ndarray, n: int, pos: float, terms: int = TERMS, support: int = SUPPORT, least: int = LEAST) -> np.ndarray:
+    """Terms that get weights, of the numbers of rows and of toxic rows that hold each of the hashed terms."""
     p = min(max(pos / max(n, 1), 1e-4), 1 - 1e-4)
     z = np.abs(hit - df * p) / np.sqrt(np.maximum(df * p * (1 - p), 1e-9))
     z[df < least] = 0
-    top = np.argsort(-z, kind="stable")[:terms]
-    m = Machine(float(np.log(p / (1 - p))), np.sort(top[z[top] > 2.5]), seed=seed)
+    telling = np.argsort(-z, kind="stable")[:terms]
+    often = np.argsort(-hit, kind="stable")[:support]
+    return np.union1d(telling[z[telling] > Z], often[hit[often] >= least])
+
+
+def train(bags: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, epochs: int = 12, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine:
+    """bags: distinct hashed terms of each row; only chosen ones count."""
+    n, pos = len(bags), float(y.sum())
+    p = min(max(pos / max(n, 1), 1e-4), 1 - 1e-4)
+    m = Machine(float(np.log(p / (1 - p))), chosen, seed=seed)
+    flat = np.concatenate(bags) if n else np.zeros(0, np.int32)
+    doc = np.repeat(np.arange(n), [len(b) for b in bags])
     idx = m.slot[flat]
     keep = idx >= 0
     idx, doc = idx[keep], doc[keep]
@@ -128,6 +143,19 @@ def train(bags: list[np.ndarray], y: np.ndarray, terms: int = TERMS, least: int
     return m
 
 
+def _counts(batches):
+    """(term, n, toxic) over a task's rows: at most 2^BITS terms."""
+    n, hit = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for part in _bags(batches, None):
+        bags = part.column(1)
+        flat = np.asarray(bags.flatten())
+        size = np.diff(np.asarray(bags.offsets))
+        n += np.bincount(flat, minlength=1 << BITS)
+        hit += np.bincount(flat[np.repeat(np.asarray(part.column(0)) > 0, size)], minlength=1 << BITS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(hit[at])], names=["term", "n", "toxic"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
     """docs (doc_id, text), labels (doc_id, toxic): rows that may be learned from."""
     marked = labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -136,10 +164,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
         return None
     if total > sample:
         marked = marked.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
-    rows = docs.join(F.broadcast(marked), "doc_id").select("toxic", "text")  # the sample is bounded by its parameter
-    got = rows.mapInArrow(_bags, "toxic int, bag array<int>").toArrow()
+    rows = stage(docs.join(F.broadcast(marked), "doc_id").select("toxic", "text"), "labelled")  # the sample is bounded by its parameter
+    seen = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).first()
+    if not seen.n:
+        return None
+    counts = rows.mapInArrow(_counts, "term int, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toPandas()  # at most 2^BITS rows
+    df, hit = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    df[counts["term"]], hit[counts["term"]] = counts["n"], counts["toxic"]
+    chosen = choose(df, hit, seen.n, float(seen.pos))
+    held = rows.sparkSession.sparkContext.broadcast(chosen)
+    got = rows.mapInArrow(lambda batches: _bags(batches, held.value), "toxic int, bag array<int>").toArrow()
+    drop(rows)
     bags = [np.asarray(b.values, np.int32) for b in got.column("bag")]
-    return train(bags, got.column("toxic").to_numpy().astype(float))
+    return train(bags, got.column("toxic").to_numpy().astype(float), chosen)
 
 
 def score(rows: DataFrame, machine: Machine | None) -> DataFrame:

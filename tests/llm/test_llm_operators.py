@@ -204,6 +204,62 @@ def test_viterbi_is_the_best_path():
         assert m.viterbi(x).astype(int).tolist() == list(best)
 
 
+def test_forward_backward_brute_force():
+    rng = np.random.default_rng(4)
+    size = [4, 1, 3, 5]
+    x, t, w = [rng.normal(size=(n, len(quality.FEATURES))) for n in size], rng.normal(size=(2, 2)), rng.normal(size=len(quality.FEATURES))
+    c = quality.Chains(x, [np.ones(n, np.int64) for n in size])
+    got, changes = c.sums(c.emission(w), t)
+    total = np.zeros((2, 2))
+    for row, i in enumerate(c.order):
+        u = x[i] @ w
+        ys = list(np.ndindex(*[2] * size[i]))
+        weight = np.exp([sum(u[k] * y[k] for k in range(size[i])) + sum(t[y[k], y[k + 1]] for k in range(size[i] - 1)) for y in ys])
+        weight /= weight.sum()
+        for k in range(size[i]):
+            assert math.isclose(got[row, k], sum(p * y[k] for p, y in zip(weight, ys, strict=True)))
+        for p, y in zip(weight, ys, strict=True):
+            for k in range(size[i] - 1):
+                total[y[k], y[k + 1]] += p
+    assert np.allclose(total, changes)
+
+
+def test_latent_lines_are_told_by_document_labels():
+    """Bad documents mix junk and content lines under one label; the labels of lines come out though none is given."""
+    rng = np.random.default_rng(5)
+    k, x, chars, good, truth = len(quality.FEATURES), [], [], [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        junk = (rng.random(int(rng.integers(3, 12))) < 0.8) if bad else np.zeros(int(rng.integers(3, 12)), bool)
+        v = rng.normal(0, 0.3, (len(junk), k))
+        v[:, 0] = 1
+        v[junk, 3] += 1.5
+        x.append(v)
+        chars.append(rng.integers(20, 80, len(junk)))
+        good.append(0 if bad else 1)
+        truth.append(junk)
+    m = quality.train(x, chars, np.array(good))
+    got = np.concatenate([m.viterbi(v) for v in x])
+    assert (got == np.concatenate(truth)).mean() > 0.95
+    c = quality.Chains(x, chars)
+    kind = np.array(good, bool)[c.order]
+    share = (c.sums(c.tilted(c.emission(m.w * 0), m.t * 0, kind), m.t * 0)[0] * c.share).sum(1)
+    assert np.allclose(share[kind], quality.GOOD, atol=0.02) and np.allclose(share[~kind], quality.BAD, atol=0.02)
+
+
+def test_quality_edges(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    df = docs_of(spark, [*HARD, "same", "same"], kept="clash", n_words=1, chain=2, x=3)
+    assert np.array_equal(quality.learn(df, none).w, quality.Chain().w)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(14)] + [(None, 1), (3, None), (99, 1)], "doc_id long, quality int")
+    chain = quality.learn(df, marks)
+    got = quality.judge(df, chain).collect()
+    assert len(got) == len(HARD) + 2 and not any(r.kept for r in got if r.base_failed) and quality.judge(df.where("false"), chain).count() == 0
+    long = docs_of(spark, ["\n".join(f"line {i} of a long text" for i in range(3000))])
+    assert quality.learn(long, spark.createDataFrame([(0, 1)], "doc_id long, quality int")).w.shape == quality.Chain().w.shape
+    assert quality.judge(long, chain).first().n_words == 18000
+
+
 # 4. Language.
 
 
@@ -263,15 +319,37 @@ def test_machine_adds_pairwise_products():
     assert np.allclose(m.raw(np.array(idx), np.array([0, 3, 3])), [want, 0.3])
 
 
-def test_machine_learns_interactions():
+def test_machine_learns_what_additive_weights_cannot():
+    """Toxic is what holds exactly one of two terms: neither tells anything alone, and no sum of weights can say it."""
     rng = np.random.default_rng(3)
-    x = rng.random((3000, 3)) < 0.5
-    y = (x[:, 0] & x[:, 1]).astype(float)
-    bags = [np.flatnonzero(r) for r in x]
-    m = toxicity.train(bags, y, epochs=60, rate=0.05)
-    score = lambda ids: float(m.raw(m.slot[np.array(ids)], np.array([0, len(ids)]))[0])
-    m.slot[2] = m.slot[2] if m.slot[2] >= 0 else 0
-    assert score([0, 1]) > 0 > max(score([0]), score([1]))
+    x = rng.random((4000, 30)) < np.r_[0.5, 0.5, np.full(28, 0.3)]
+    y = (x[:, 0] ^ x[:, 1]).astype(float)
+    bags = [np.flatnonzero(r).astype(np.int32) for r in x]
+    df, hit = np.zeros(1 << toxicity.BITS), np.zeros(1 << toxicity.BITS)
+    df[:30], hit[:30] = x.sum(0), x[y > 0].sum(0)
+    p = y.mean()
+    z = np.abs(hit - df * p)[:2] / np.sqrt(df[:2] * p * (1 - p))
+    assert (z < toxicity.Z).all()  # not telling by themselves
+    chosen = toxicity.choose(df, hit, len(y), y.sum())
+    assert {0, 1} <= set(chosen)
+    m = toxicity.train(bags, y, chosen, epochs=40)
+    at = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    right = ((m.raw(m.slot[np.concatenate(bags)], at) > 0) == (y > 0)).mean()
+    design = np.c_[np.ones(len(x)), x].astype(float)
+    additive = ((design @ np.linalg.lstsq(design, y - 0.5, rcond=None)[0] > 0) == (y > 0)).mean()
+    assert right > 0.95 and additive < 0.65
+
+
+def test_terms_are_counted_over_whole_texts(spark):
+    texts = ["bad group " * 3, "bad " + "filler " * 200000 + "group", None, "", "Bad-GROUP"]
+    df = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "toxic int, text string")
+    got = {r.term: (r.n, r.toxic) for r in df.mapInArrow(toxicity._counts, "term int, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).collect()}
+    want = collections.defaultdict(lambda: [0, 0])
+    for i, t in enumerate(texts):
+        for term in set(toxicity.terms(*X.utf8(pa.array([t], pa.string())))[0].tolist()):
+            want[term][0] += 1
+            want[term][1] += i % 2
+    assert got == {k: tuple(v) for k, v in want.items()}
 
 
 # 6. Near duplicates.
