@@ -146,8 +146,8 @@ def one_hot(part: DataFrame) -> DataFrame:
 
 
 def winner(u: DataFrame) -> DataFrame:
-    """labels(obj, cluster): the class with the most weight, ties to the smallest."""
-    return u.groupBy("obj").agg(F.max_by("ref", F.struct("p", -F.col("ref"))).alias("cluster"))
+    """labels(obj, cluster): the class with the most weight (to nine places), ties to the smallest."""
+    return u.groupBy("obj").agg(F.max_by("ref", F.struct(F.round("p", 9), -F.col("ref"))).alias("cluster"))
 
 
 def modal_assignment(parts: DataFrame, current: DataFrame) -> DataFrame:

@@ -335,7 +335,7 @@ def _cc(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _balls(x, limit, compat):
-    left, y, c = sorted(range(len(x)), key=lambda i: (x[i].sum(), i)), np.zeros(len(x), int), 0
+    left, y, c = sorted(range(len(x)), key=lambda i: (round(x[i].sum(), 9), i)), np.zeros(len(x), int), 0
     sums = x.sum(1)
     while left:
         u = left.pop(0)
@@ -539,7 +539,7 @@ def link_based(parts: DataFrame, method: str = "cts", decay: float = 0.8, rounds
     if method not in ways:
         raise ValueError("method is cts, srs or asrs")
     s = C.link_similarity(parts, ways[method]())
-    d = s.select(F.lit(0).alias("src"), "i", "j", (1 - F.col("s")).alias("d"))
+    d = s.select(F.lit(0).alias("src"), "i", "j", F.round(1 - F.col("s"), 12).alias("d"))  # equal similarities tie, however they were summed
     return d, agglomerate(d, linkage)
 
 
