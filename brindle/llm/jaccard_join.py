@@ -442,7 +442,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     n_buckets = max(16, math.ceil(postings * 12 / BUCKET_BYTES))
     packed = text.mapInArrow(_post(k, num, den, hot_b, boundary, n_buckets), "bucket long, payload binary")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * n_buckets)  # plain and salted buckets
-    lists = stage(packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_lists, "key long, head long, gs binary"), "lists")
+    lists = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_lists, "key long, head long, gs binary")
+    lists = stage(lists.repartition(tasks, "head", F.length("gs")), "lists")  # near copies fill few buckets with most lists
     # One row for each distinct set: its size, bitmap and one document.
     info = stage(
         first.where("kind = 0 and b > 0").groupBy(F.col("c").alias("g")).agg(F.min(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("n"), "bits")).alias("i")).select("g", "i.*"), "info"
@@ -475,13 +476,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
 
     def tried(classes: DataFrame, least: int, most: int | None) -> DataFrame:
         """Pairs of different classes in joined lists of `least` members or more that pass the filters."""
-        named = joined.join(classes, "g", "left").select("head", "g", F.coalesce("comp", "g").alias("comp"))
-        counts = named.groupBy("head").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
-        mixed = stage(counts.where((F.col("lo") != F.col("hi")) & (F.col("m") >= least)).select("head", "m"), "mixed")
+        named = joined.join(classes, "g", "left").join(info.select("g", "n"), "g").select("head", "g", "n", F.coalesce("comp", "g").alias("comp"))
         # A bitmap takes a quarter of a byte for each shingle at most, and 8 bytes at least.
-        weight = named.join(mixed, "head").join(info.select("g", "n"), "g").groupBy("head").agg(F.first("m").alias("m"), F.sum(F.greatest(F.col("n") / 4, F.lit(8.0))).alias("w"))
-        open_lists = stage(weight.select("head", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_BYTES)).alias("blocks")), "open")
-        rest = named.join(open_lists, "head").join(info.select("g", "n", "bits"), "g")
+        weight = F.sum(F.greatest(F.col("n") / 4, F.lit(8.0)))
+        counts = named.groupBy("head").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), weight.alias("w"))
+        blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_BYTES)).alias("blocks")
+        open_lists = stage(counts.where((F.col("lo") != F.col("hi")) & (F.col("m") >= least)).select("head", blocks), "open")
+        rest = named.drop("n").join(open_lists, "head").join(info.select("g", "n", "bits"), "g")
         member = F.collect_list(F.struct("g", "n", "comp", "bits")).alias("x")
         small = rest.where("blocks = 1").groupBy("head").agg(member).select("x").mapInArrow(_blocks(num, den, most), "a long, b long")
         if not open_lists.where("blocks > 1").head(1):
