@@ -38,7 +38,8 @@ def duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = jaccard_join.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
     named = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("rank")).join(classes, "_row")
     first = stage(named.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank._row").alias("_row")), "firsts")
-    return rows.join(first, "_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    # Rows that stay are most rows: joined by shuffle at every size, never broadcast.
+    return rows.join(first.hint("merge"), "_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
