@@ -441,9 +441,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     postings = sum((r.d if BINS[r.a] <= boundary else 0) + (r.c if BINS[r.a] > 0.7 * boundary else 0) for r in bins)
     n_buckets = max(16, math.ceil(postings * 12 / BUCKET_BYTES))
     packed = text.mapInArrow(_post(k, num, den, hot_b, boundary, n_buckets), "bucket long, payload binary")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * n_buckets)  # plain and salted buckets
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(usual, 2 * n_buckets)  # plain and salted buckets
     lists = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_lists, "key long, head long, gs binary")
-    lists = stage(lists.repartition(tasks, "gs"), "lists")  # near copies fill few buckets with most lists
+    lists = stage(lists.repartition(usual, "gs"), "lists")  # near copies fill few buckets with most lists
     # One row for each distinct set: its size, bitmap and one document.
     info = stage(
         first.where("kind = 0 and b > 0").groupBy(F.col("c").alias("g")).agg(F.min(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("n"), "bits")).alias("i")).select("g", "i.*"), "info"
