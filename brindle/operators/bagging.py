@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import bisect_weight_c, uniform
+from ..plans.checkpoints import cut_lineage
+from ..sources.tables import pack
 from . import kernels as K
+from .coassociation import pair_counts
 from .distance import kernel
 from .integrate import weighted_clust
 from .nuggets import create_nuggets, feature_weights
-from .trees import agglomerate, labels, long
+from .trees import TASKS, agglomerate, check_dense, labels
 
 ABC = "src int, iter int, obj string, cluster int"
 
@@ -41,8 +44,8 @@ def feature_scores(cells: DataFrame, weighting: str = "var", nugget_type: str =
 
 
 def feature_weights_by_rank(scores: DataFrame, equal: bool = False) -> DataFrame:
-    """(src, feat, rank, p): probabilities in proportion to 1 / (rank + c), ranks by falling score (ties by name); the top 1 % carry 20 %."""
-    w = Window.partitionBy("src").orderBy(F.desc("score"), "feat")
+    """(src, feat, rank, p): probabilities in proportion to 1 / (rank + c), ranks by falling score (to twelve places, ties by name); the top 1 % carry 20 %."""
+    w = Window.partitionBy("src").orderBy(F.desc(F.round("score", 12)), "feat")
     r = scores.withColumn("rank", F.row_number().over(w))
     if equal:
         return r.select("src", "feat", "rank", (1 / F.count("*").over(Window.partitionBy("src"))).alias("p"))
@@ -91,43 +94,92 @@ def _distance(x: np.ndarray, measure: str) -> np.ndarray:
     return kernel(x, x, "l2") if np.isnan(d).any() else d
 
 
+def _of(value, src: int):
+    """A setting: one for all sources, or a dict with one for each."""
+    return value[src] if isinstance(value, dict) else value
+
+
+def _complete(cells: DataFrame) -> DataFrame:
+    """Cells with a null for every feature that an object of the source lacks."""
+    objs, feats = cells.select("src", "obj").distinct(), cells.select("src", "feat").distinct()
+    return objs.join(feats, "src").join(cells, ["src", "obj", "feat"], "left").select("src", "obj", "feat", "val")
+
+
 def _samples(cells, weighting, iters, nfeat, bag, seed, nugget_type, nuggets, scores=None) -> DataFrame:
-    s = feature_scores(cells, weighting, nugget_type, nuggets) if scores is None else scores
-    w = feature_weights_by_rank(s, weighting == "equal")
-    sizes = {r.src: sample_size(r.g, nfeat) for r in s.groupBy("src").agg(F.count("*").alias("g")).collect()}
-    feats = sampled_features(w, iters, sizes, seed)
+    """(src, iter, obj, x): drawn objects with their values of the sampled features, in order of the features' names.
+
+    Objects travel packed and the sampled values are picked from the array, so that no row is made for a cell.
+    """
+    if scores is None:
+        srcs = sorted(r.src for r in cells.select("src").distinct().collect())  # one row for each source
+        ways = {s: (_of(weighting, s), _of(nugget_type, s), _of(nuggets, s)) for s in srcs}
+        for way in sorted(set(ways.values()), key=str):
+            one = feature_scores(cells.where(F.col("src").isin([s for s in srcs if ways[s] == way])), *way)
+            scores = one if scores is None else scores.unionByName(one)
+        equal = [s for s in srcs if ways[s][0] == "equal"]
+    else:
+        equal = []
+    scores = cut_lineage(scores)
+    w = feature_weights_by_rank(scores.where(~F.col("src").isin(equal)) if equal else scores)
+    if equal:
+        w = w.unionByName(feature_weights_by_rank(scores.where(F.col("src").isin(equal)), True))
+    found = {r.src: r.g for r in scores.groupBy("src").agg(F.count("*").alias("g")).collect()}
+    sizes = {s: sample_size(g, _of(nfeat, s)) for s, g in found.items()}
+    most = max(_of(iters, s) for s in found)
+    own = F.element_at(F.create_map(*[F.lit(v) for s in found for v in (s, int(_of(iters, s)))]), F.col("src"))
+    place = scores.select("src", "feat", (F.row_number().over(Window.partitionBy("src").orderBy("feat")) - 1).alias("at"))
+    picked = sampled_features(w, most, sizes, seed).where(F.col("iter") <= own).join(place, ["src", "feat"]).groupBy("src", "iter").agg(F.array_sort(F.collect_list("at")).alias("at"))
     objs = cells.select("src", "obj").distinct()
-    drawn = bootstrap(objs, iters, seed) if bag else objs.select("src", F.explode(F.sequence(F.lit(1), F.lit(iters))).alias("iter"), "obj")
-    return cells.join(feats, ["src", "feat"]).join(drawn, ["src", "iter", "obj"])
+    bagged = [s for s in found if _of(bag, s)]
+    drawn = bootstrap(objs.where(F.col("src").isin(bagged)), most, seed) if bagged else None
+    if len(bagged) < len(found):
+        all_ = objs.where(~F.col("src").isin(bagged)).select("src", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("iter"), "obj")
+        drawn = all_ if drawn is None else drawn.unionByName(all_)
+    drawn = drawn.where(F.col("iter") <= own)
+    full = cells.groupBy("src").agg((F.count("*") == F.countDistinct("obj") * F.countDistinct("feat")).alias("ok")).where("not ok").head(1)
+    packed = cut_lineage(pack(_complete(cells) if full else cells))
+    rows = drawn.join(packed, ["src", "obj"]).join(picked, ["src", "iter"])
+    return rows.select("src", "iter", "obj", F.transform("at", lambda i: F.get("x", i)).alias("x"))
+
 
+def _sampled_matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
+    pdf = pdf.sort_values("obj")
+    return np.array([np.asarray(v, float) for v in pdf["x"]]), list(pdf["obj"])
 
-def abc_labels(cells: DataFrame, measure: str = "euclidean", weighting: str = "var", iters: int = 1000, classes: int | None = None, nfeat: float | None = None, linkage: str = "ward.D2", bag: bool = True, seed: int = 1, nugget_type: str = "between", nuggets: int | None = None) -> DataFrame:
-    """One source or several: bagged clusterings, classes = root of the number of objects when not given."""
+
+def abc_labels(cells: DataFrame, measure="euclidean", weighting="var", iters=1000, classes: int | dict[int, int] | None = None, nfeat=None, linkage="ward.D2", bag=True, seed: int = 1, nugget_type="between", nuggets=None) -> DataFrame:
+    """One source or several: bagged clusterings, classes = root of the number of objects when not given.
+
+    Every option but seed may be a dict with one value for each source.
+    """
     n = cells.select("obj").distinct().count()
     k = classes or max(2, math.isqrt(n))
 
     def run(key, pdf):
-        x, objs = _matrix(pdf)
-        m, _ = K.linkage(_distance(x, measure), linkage)
-        return pd.DataFrame({"src": int(key[0]), "iter": int(key[1]), "obj": objs, "cluster": K.cut(m, len(objs), k).astype("int32")})
+        src = int(key[0])
+        x, objs = _sampled_matrix(pdf)
+        m, _ = K.linkage(_distance(x, _of(measure, src)), _of(linkage, src))
+        return pd.DataFrame({"src": src, "iter": int(key[1]), "obj": objs, "cluster": K.cut(m, len(objs), _of(k, src)).astype("int32")})
 
     return _samples(cells, weighting, iters, nfeat, bag, seed, nugget_type, nuggets).groupBy("src", "iter").applyInPandas(run, ABC)
 
 
+def _counts(abc: DataFrame) -> DataFrame:
+    """(i, j, together, apart) over the iterations of all sources, for all pairs."""
+    return pair_counts(abc.select(F.lit(0).alias("src"), F.concat_ws(":", F.col("src").cast("string"), F.col("iter").cast("string")).alias("run"), "obj", "cluster"))
+
+
 def co_clustering(abc: DataFrame) -> DataFrame:
     """(i, j, co_sel, apart): iterations that drew both, and those that kept them apart."""
-    a = abc.select("src", "iter", F.col("obj").alias("i"), F.col("cluster").alias("ci"))
-    b = abc.select("src", "iter", F.col("obj").alias("j"), F.col("cluster").alias("cj"))
-    return a.join(b, ["src", "iter"]).where("i < j").groupBy("i", "j").agg(F.count("*").alias("co_sel"), F.sum((F.col("ci") != F.col("cj")).cast("long")).alias("apart"))
+    return _counts(abc).where("together + apart > 0").select("i", "j", (F.col("together") + F.col("apart")).alias("co_sel"), "apart")
 
 
 def abc_consensus(abc: DataFrame, dissimilarity: str = "mabc") -> DataFrame:
     """pairs(src = 0, i, j, d): s = share of joint draws together (0 for pairs never drawn together); abc: 1 - s, mabc: sqrt(1 - s^2)."""
-    o = abc.select("obj").distinct()
-    every = o.select(F.col("obj").alias("i")).join(o.select(F.col("obj").alias("j")), F.col("i") < F.col("j"))
-    s = F.coalesce((F.col("co_sel") - F.col("apart")) / F.col("co_sel"), F.lit(0.0))
+    n = F.col("together") + F.col("apart")
+    s = F.when(n > 0, F.col("together") / n).otherwise(0.0)
     d = 1 - s if dissimilarity == "abc" else F.sqrt(F.greatest(F.lit(0.0), 1 - s * s))
-    return every.join(co_clustering(abc), ["i", "j"], "left").select(F.lit(0).alias("src"), "i", "j", d.alias("d"))
+    return _counts(abc).select(F.lit(0).alias("src"), "i", "j", d.alias("d"))
 
 
 def multi_source_consensus(abc: DataFrame, k: int | None = None, dissimilarity: str = "mabc", linkage: str = "ward", alpha: float = 0.625, mds: bool = False):
@@ -154,19 +206,41 @@ def m_abc(cells: DataFrame, k: int | None = None, dissimilarity: str = "mabc", f
     return multi_source_consensus(abc_labels(cells, **options), k, dissimilarity, final_linkage)
 
 
-def abc_distance(cells: DataFrame, measure: str = "euclidean", weighting: str = "var", iters: int = 1000, nfeat: float | None = None, bag: bool = True, seed: int = 1, nugget_type: str = "between", nuggets: int | None = None) -> DataFrame:
-    """pairs(src, i, j, d): mean distance over the iterations that drew both, missing as the largest, scaled to 1."""
+def abc_distance(cells: DataFrame, measure="euclidean", weighting="var", iters=1000, nfeat=None, bag=True, seed: int = 1, nugget_type="between", nuggets=None) -> DataFrame:
+    """pairs(src, i, j, d): mean distance over the iterations that drew both, missing as the largest, scaled to 1.
 
-    def run(key, pdf):
-        x, objs = _matrix(pdf)
-        return long(_distance(x, measure), objs, int(key[0]))
+    Every option but seed may be a dict with one value for each source.  A task sums its iterations'
+    distances in one matrix, so that pairs move once for each of TASKS tasks of a source, not for each iteration.
+    """
 
-    per = _samples(cells, weighting, iters, nfeat, bag, seed, nugget_type, nuggets).groupBy("src", "iter").applyInPandas(run, "src int, i string, j string, d double")
-    return scaled_mean(per, cells.select("src", "obj").distinct())
+    def run(key, pdf):
+        src = int(key[0])
+        objs = sorted(set(pdf["obj"]))
+        check_dense(len(objs))
+        at = {o: i for i, o in enumerate(objs)}
+        total, count = np.zeros((len(objs), len(objs))), np.zeros((len(objs), len(objs)), np.int32)
+        for _, one in pdf.groupby("iter"):
+            x, own = _sampled_matrix(one)
+            ix = np.ix_([at[o] for o in own], [at[o] for o in own])
+            total[ix] += _distance(x, _of(measure, src))
+            count[ix] += 1
+        i, j = np.nonzero(np.triu(count, 1))
+        o = np.asarray(objs, object)
+        return pd.DataFrame({"src": np.full(len(i), src, np.int32), "i": o[i], "j": o[j], "t": total[i, j], "n": count[i, j].astype("int64")})
+
+    rows = _samples(cells, weighting, iters, nfeat, bag, seed, nugget_type, nuggets).withColumn("task", F.col("iter") % TASKS)
+    sums = rows.groupBy("src", "task").applyInPandas(run, "src int, i string, j string, t double, n long")
+    mean = sums.groupBy("src", "i", "j").agg((F.sum("t") / F.sum("n")).alias("d"))
+    return scaled(mean, cells.select("src", "obj").distinct())
 
 
 def scaled_mean(per: DataFrame, objects: DataFrame) -> DataFrame:
-    mean = per.groupBy("src", "i", "j").agg(F.avg("d").alias("d"))
+    """Distances of single iterations (src, i, j, d) to their mean, scaled."""
+    return scaled(per.groupBy("src", "i", "j").agg(F.avg("d").alias("d")), objects)
+
+
+def scaled(mean: DataFrame, objects: DataFrame) -> DataFrame:
+    """Mean distances over their source's largest; pairs without one count as that."""
     a = objects.select("src", F.col("obj").alias("i"))
     every = a.join(objects.select("src", F.col("obj").alias("j")), "src").where("i < j")
     top = mean.groupBy("src").agg(F.max("d").alias("m"))

@@ -225,7 +225,7 @@ def pathways(scores: DataFrame, sets: DataFrame, iters: int = 1, permutations: i
     perm = own.join(place, ["grp", "n"]).select("grp", "run", "gene", "v")
     null = use.join(perm, "gene").groupBy("grp", "set", "run").agg(F.avg("v").alias("null"))
     x = null.join(obs, ["grp", "set"]).withColumn("iter", (F.floor((F.col("run") - 1) / permutations) + 1).cast("int"))
-    return x.groupBy("grp", "iter", "set", "size", "stat").agg(((F.sum((F.col("null") >= F.col("stat")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
+    return x.groupBy("grp", "iter", "set", "size", "stat").agg(((F.sum((F.round("null", 9) >= F.round("stat", 9)).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def pathways_selection(expr: DataFrame, selection: DataFrame, sets: DataFrame, **options) -> DataFrame:

@@ -1,30 +1,53 @@
 """Relations between partitions of the same objects: labels(src, obj, cluster), src numbering the partitions.
 
-The self-join of labels on (partition, class) makes one row for each pair of class mates and
-partition; everything after it is an aggregation by pair.
+Counts over pairs come from blocks of packed objects (`pair_counts`); the rest are joins of labels on
+(partition, class) and aggregations.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _pairs(parts: DataFrame, same: bool, keys=("src",)) -> DataFrame:
-    a = parts.select(*keys, F.col("obj").alias("i"), F.col("cluster").alias("ci"))
-    b = parts.select(*keys, F.col("obj").alias("j"), F.col("cluster").alias("cj"))
-    on = list(keys)
-    x = a.join(b, on).where("i < j")
-    return x.where("ci = cj") if same else x
+def pair_counts(labels: DataFrame) -> DataFrame:
+    """labels(src, run, obj, cluster) -> (src, i, j, together, apart), i < j, for all pairs of a source's objects.
+
+    together and apart count the runs that have both objects, in one class or in two.  Objects travel
+    packed, one row with all its labels, and blocks of them meet as in `distance`: no row is made for a
+    pair and run.  Runs of a source number a few thousand; their numbers are broadcast.
+    """
+    from .distance import meet_blocks
+
+    runs = labels.select("src", "run").distinct()
+    number = runs.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("run")) - 1)
+    packed = labels.join(F.broadcast(number), ["src", "run"]).groupBy("src", "obj").agg(F.collect_list(F.struct(F.col("r").cast("int").alias("r"), F.col("cluster").cast("int").alias("c"))).alias("x"))
+
+    def dense(side, runs: int) -> np.ndarray:
+        out = np.zeros((len(side), runs), np.int32)
+        flat = side.flatten()
+        at = np.repeat(np.arange(len(side)), np.diff(np.asarray(side.offsets)))
+        out[at, np.asarray(flat.field("r"))] = np.asarray(flat.field("c"))
+        return out
+
+    def kernel(a, b) -> list[np.ndarray]:
+        runs = 1 + max((int(np.asarray(s.flatten().field("r")).max(initial=0)) for s in (a, b)))
+        x, y = dense(a, runs), dense(b, runs)
+        both = (x > 0).astype(np.float32) @ (y > 0).astype(np.float32).T
+        same = np.zeros(both.shape, np.int64)
+        for r in range(runs):
+            same += (x[:, r][:, None] == y[:, r][None]) & (x[:, r] > 0)[:, None]
+        return [same, both.astype(np.int64) - same]
+
+    return meet_blocks(packed, kernel, "together long, apart long")
 
 
 def coassociation(parts: DataFrame) -> DataFrame:
     """pairs(i, j, s): share of all partitions that hold both in one class; pairs that never meet are left out."""
     n = parts.agg(F.countDistinct("src").alias("n"))
-    a = parts.select("src", "cluster", F.col("obj").alias("i"))
-    b = parts.select("src", "cluster", F.col("obj").alias("j"))
-    met = a.join(b, ["src", "cluster"]).where("i < j").groupBy("i", "j").agg(F.count("*").alias("m"))
-    return met.crossJoin(F.broadcast(n)).select("i", "j", (F.col("m") / F.col("n")).alias("s"))
+    met = pair_counts(parts.select(F.lit(0).alias("src"), F.col("src").alias("run"), "obj", "cluster")).where("together > 0")
+    return met.crossJoin(F.broadcast(n)).select("i", "j", (F.col("together") / F.col("n")).alias("s"))
 
 
 def all_pairs(parts: DataFrame) -> DataFrame:
@@ -41,12 +64,15 @@ def coassociation_distance(parts: DataFrame) -> DataFrame:
 
 def incidence(parts: DataFrame, keys=("src",)) -> DataFrame:
     """(i, j, n): in how many partitions (by keys) a pair is kept apart, among those that hold both."""
-    return _pairs(parts, False, keys).groupBy("i", "j").agg(F.sum((F.col("ci") != F.col("cj")).cast("long")).alias("n"))
+    run = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+    n = pair_counts(parts.select(F.lit(0).alias("src"), run.alias("run"), "obj", "cluster"))
+    return n.where("together + apart > 0").select("i", "j", F.col("apart").alias("n"))
 
 
 def consensus_over_cuts(cuts: DataFrame) -> DataFrame:
     """pairs(src = 0, i, j, d) from cuts(src, k, obj, cluster): togetherness averaged over k, then over sources."""
-    x = _pairs(cuts, False, ("src", "k")).groupBy("src", "i", "j").agg(F.avg((F.col("ci") == F.col("cj")).cast("double")).alias("s"))
+    n = pair_counts(cuts.select("src", F.col("k").alias("run"), "obj", "cluster")).where("together + apart > 0")
+    x = n.select("src", "i", "j", (F.col("together") / (F.col("together") + F.col("apart"))).alias("s"))
     return x.groupBy("i", "j").agg(F.avg("s").alias("s")).select(F.lit(0).alias("src"), "i", "j", (1 - F.col("s")).alias("d"))
 
 

@@ -59,41 +59,48 @@ def kernel(a: np.ndarray, b: np.ndarray, measure: str, scale: np.ndarray | None
     return out
 
 
-def _pairs(measure: str, scales: dict):
+def meet_blocks(objects: DataFrame, kernel, values: str, block: int = BLOCK) -> DataFrame:
+    """objects(src, obj, x) -> (src, i, j, values), i < j: kernel(x of one block, x of another) gives a matrix for each value.
+
+    x reaches the kernel as an Arrow array, one entry for each object of the block.  A kernel that has
+    `source` set takes the source's number as well.
+    """
+    names = [v.split()[0] for v in values.split(", ")]
+    n = objects.groupBy("src").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).alias("blocks"))  # one row for each source
+    dealt = objects.join(F.broadcast(n), "src").withColumn("b", F.pmod(F.xxhash64("obj"), F.col("blocks")))
+    parts = dealt.groupBy("src", "b").agg(F.collect_list(F.struct("obj", "x")).alias("m"), F.max("blocks").alias("blocks"))
+    # A row for each block pair that a block is in: pairs, not sources, are what the join deals out.
+    left = parts.select("src", F.col("b").alias("p"), F.explode(F.sequence(F.col("b"), F.col("blocks") - 1)).alias("q"), F.col("m").alias("mp"))
+    right = parts.select("src", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b"))).alias("p"), F.col("b").alias("q"), F.col("m").alias("mq"))
+    met = left.join(right, ["src", "p", "q"]).select("src", "p", "q", "mp", "mq")
+
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                src = batch.column(0)[r].as_py()
-                p, q = batch.column(1)[r].as_py(), batch.column(2)[r].as_py()
-                sides = []
-                for c in (3, 4):
-                    v = batch.column(c)[r].values
-                    names = np.asarray(v.field("obj").to_pylist(), object)
-                    x = v.field("x")
-                    flat = np.asarray(x.flatten(), float)
-                    sides.append((names, flat.reshape(len(names), -1)))
-                (ni, a), (nj, b) = sides
-                d = kernel(a, b, measure, scales.get(src))
+                src, p, q = (batch.column(c)[r].as_py() for c in range(3))
+                v, w = batch.column(3)[r].values, batch.column(4)[r].values
+                ni, nj = (np.asarray(s.field("obj").to_pylist(), object) for s in (v, w))
+                sides = (v.field("x"), w.field("x"))
+                made = kernel(*sides, src) if getattr(kernel, "source", False) else kernel(*sides)
                 less = ni[:, None] < nj[None]
-                keep = less if p == q else np.ones_like(less)
-                i, j = np.nonzero(keep)
+                i, j = np.nonzero(less if p == q else np.ones_like(less))
                 lo = np.where(less[i, j], ni[i], nj[j])
                 hi = np.where(less[i, j], nj[j], ni[i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), src, np.int32)), pa.array(lo, pa.string()), pa.array(hi, pa.string()), pa.array(d[i, j])], names=["src", "i", "j", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), src, np.int32)), pa.array(lo, pa.string()), pa.array(hi, pa.string()), *[pa.array(m[i, j]) for m in made]], names=["src", "i", "j", *names])
 
-    return run
+    return met.mapInArrow(run, f"src int, i string, j string, {values}")
 
 
 def block_pairs(objects: DataFrame, measure: str, scales: dict | None = None, block: int = BLOCK) -> DataFrame:
     """objects(src, obj, x) of equal length by source -> pairs(src, i, j, d)."""
-    n = objects.groupBy("src").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).alias("blocks"))  # one row for each source
-    dealt = objects.join(F.broadcast(n), "src").withColumn("b", F.pmod(F.xxhash64("obj"), F.col("blocks")))
-    parts = dealt.groupBy("src", "b").agg(F.collect_list(F.struct("obj", "x")).alias("m"), F.max("blocks").alias("blocks"))
-    # A row for each block pair that a block is in: pairs, not sources, are what the join deals out.
-    left = parts.select("src", F.col("b").alias("p"), F.explode(F.sequence(F.col("b"), F.col("blocks") - 1)).alias("q"), F.col("m").alias("mp"))
-    right = parts.select("src", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b"))).alias("p"), F.col("b").alias("q"), F.col("m").alias("mq"))
-    met = left.join(right, ["src", "p", "q"]).select("src", "p", "q", "mp", "mq")
-    return met.mapInArrow(_pairs(measure, scales or {}), "src int, i string, j string, d double")
+    scales = scales or {}
+
+    def made(a, b, src):
+        x, y = (np.asarray(s.flatten(), float).reshape(len(s), -1) for s in (a, b))
+        return [kernel(x, y, measure, scales.get(src))]
+
+    made.source = True
+    return meet_blocks(objects, made, "d double", block)
 
 
 def indicators(cells: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .distance import mirrored, weighted_combination
-from .trees import agglomerate, dense, labels, pam
+from .trees import TASKS, agglomerate, dense, labels, pam
 
 
 def contingency(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -90,64 +91,82 @@ def silhouette_r2(widths: DataFrame, parts: DataFrame) -> DataFrame:
     return w.join(p, "obj").groupBy("src", "by").agg(F.expr("regr_r2(width, c)").alias("r2"))
 
 
+def _in_tasks(pairs: DataFrame, settings: list) -> tuple[DataFrame, list[list]]:
+    """pairs once for each of TASKS tasks at most, and the settings that each of them tries."""
+    groups = [settings[n::TASKS] for n in range(min(TASKS, len(settings)))]
+    return pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))).alias("task")), groups
+
+
+def _shuffled(per: dict[int, np.ndarray], boot: int) -> dict[int, np.ndarray]:
+    """The sources' matrices, the first one's objects permuted; boot 0 leaves them."""
+    if not boot:
+        return per
+    first = min(per)
+    o = np.random.default_rng(boot).permutation(len(per[first]))
+    return {**per, first: per[first][np.ix_(o, o)]}
+
+
+def _r2(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.corrcoef(a, b)[0, 1] ** 2) if a.std() > 0 and b.std() > 0 else 0.0
+
+
+def _k_of(k: int | dict[int, int], src: int) -> int:
+    return k[src] if isinstance(k, dict) else k
+
+
 def compare_silhouettes(pairs: DataFrame, k: int | dict[int, int], boots: int = 100) -> DataFrame:
     """(statistic, p): how much better silhouettes follow the own source's classes, against permutations of the first source.
 
     p counts permutations whose statistic is not larger, plus one, as the definition has it.
     """
-    import numpy as np
-
-    tasks = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(boots))).alias("boot"))
+    tasks, groups = _in_tasks(pairs, list(range(boots + 1)))
 
     def run(key, pdf):
-        boot = int(key[0])
-        per = {int(s): dense(g) for s, g in pdf.groupby("src")}
-        first = min(per)
-        if boot:
-            o = np.random.default_rng(boot).permutation(len(per[first][1]))
-            d, names = per[first]
-            per[first] = (d[np.ix_(o, o)], names)
-        y = {s: K.pam(d, k[s] if isinstance(k, dict) else k) for s, (d, _) in per.items()}
-        w = {s: K.silhouette(d, y[s]) for s, (d, _) in per.items()}
-
-        def r2(a, b):
-            return float(np.corrcoef(a, b)[0, 1] ** 2) if a.std() > 0 and b.std() > 0 else 0.0
-
-        own = sum(r2(w[s], y[s]) for s in per)
-        off = sum(r2(w[s], y[t]) for s in per for t in per if s != t)
-        return pd.DataFrame([(boot, abs(own - off))], columns=["boot", "statistic"])
-
-    got = tasks.groupBy("boot").applyInPandas(run, "boot int, statistic double")
+        per = {int(s): dense(g)[0] for s, g in pdf.groupby("src")}
+        out = []
+        for boot in groups[int(key[0])]:
+            now = _shuffled(per, boot)
+            y = {s: K.pam(d, _k_of(k, s)) for s, d in now.items()}
+            w = {s: K.silhouette(d, y[s]) for s, d in now.items()}
+            own = sum(_r2(w[s], y[s]) for s in now)
+            off = sum(_r2(w[s], y[t]) for s in now for t in now if s != t)
+            out.append((boot, abs(own - off)))
+        return pd.DataFrame(out, columns=["boot", "statistic"])
+
+    got = tasks.groupBy("task").applyInPandas(run, "boot int, statistic double")
     obs = got.where("boot = 0").select(F.col("statistic").alias("observed"))
     null = got.where("boot > 0")
     return null.crossJoin(F.broadcast(obs)).agg(F.first("observed").alias("statistic"), ((F.sum((F.col("statistic") <= F.col("observed")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
 
 
-def weight_by_silhouette(pairs: DataFrame, k: int, weights=None) -> DataFrame:
-    """(weight, statistic, best): for two sources, |n R2(own) - sum R2(sources)| of the weighted combination; the smallest wins."""
-    import numpy as np
+def weight_by_silhouette(pairs: DataFrame, k: int | dict[int, int], weights=None, boots: int = 10) -> DataFrame:
+    """(weight, statistic, p, best): |n R2(own) - sum R2(sources)| of each weighted combination; the smallest wins.
 
-    weights = [round(x * 0.01, 2) for x in range(101)] if weights is None else list(weights)
-    tasks = pairs.select("*", F.explode(F.array(*[F.lit(float(w)) for w in weights])).alias("weight"))
+    weight is the first source's share, the others divide the rest.  Sources are cut at k (a number or
+    one for each), combinations at the mean of them, rounded up.  p: the share of `boots` permutations
+    of the first source (and the data themselves) whose statistic is not larger.
+    """
+    weights = [round(x * 0.01, 2) for x in range(101)] if weights is None else [float(w) for w in weights]
+    tasks, groups = _in_tasks(pairs, weights)
 
     def run(key, pdf):
-        w = float(key[0])
-        srcs = sorted(set(pdf["src"]))
-        per = [dense(pdf[pdf["src"] == s])[0] for s in srcs]
-        share = [w, *([(1 - w) / (len(srcs) - 1)] * (len(srcs) - 1))]
-        d = sum(a * m for a, m in zip(share, per, strict=True))
-        y = K.pam(d, k)
-        own = [K.pam(m, k) for m in per]
-        width = K.silhouette(d, y)
-
-        def r2(a, b):
-            return float(np.corrcoef(a, b)[0, 1] ** 2) if a.std() > 0 and b.std() > 0 else 0.0
-
-        return pd.DataFrame([(w, abs(len(srcs) * r2(width, y) - sum(r2(width, c) for c in own)))], columns=["weight", "statistic"])
-
-    got = tasks.groupBy("weight").applyInPandas(run, "weight double, statistic double")
+        per = {int(s): dense(g)[0] for s, g in pdf.groupby("src")}
+        srcs, stats = sorted(per), {w: [] for w in groups[int(key[0])]}
+        together = math.ceil(sum(_k_of(k, s) for s in srcs) / len(srcs))
+        for boot in range(boots + 1):
+            now = _shuffled(per, boot)
+            own = [K.pam(now[s], _k_of(k, s)) for s in srcs]
+            for w in stats:
+                share = [w, *([(1 - w) / max(len(srcs) - 1, 1)] * (len(srcs) - 1))]
+                d = sum(a * now[s] for a, s in zip(share, srcs, strict=True))
+                y = K.pam(d, together)
+                width = K.silhouette(d, y)
+                stats[w].append(abs(len(srcs) * _r2(width, y) - sum(_r2(width, c) for c in own)))
+        return pd.DataFrame([(w, v[0], (1 + sum(x <= v[0] for x in v[1:])) / (boots + 1)) for w, v in stats.items()], columns=["weight", "statistic", "p"])
+
+    got = tasks.groupBy("task").applyInPandas(run, "weight double, statistic double, p double")
     best = got.agg(F.min_by("weight", F.struct("statistic", "weight")).alias("wb"))
-    return got.crossJoin(F.broadcast(best)).select("weight", "statistic", (F.col("weight") == F.col("wb")).alias("best"))
+    return got.crossJoin(F.broadcast(best)).select("weight", "statistic", "p", (F.col("weight") == F.col("wb")).alias("best"))
 
 
 def pair_jaccard(parts: DataFrame, reference: DataFrame, by: str) -> DataFrame:
@@ -190,27 +209,26 @@ def gap_statistic(cells: DataFrame, most: int = 15, boots: int = 20, linkage: st
 
     best is the first k whose gap is within one standard error of the first local maximum.
     """
-    import numpy as np
-
     from .distance import kernel
 
-    tasks = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(boots))).alias("boot"))
+    tasks, groups = _in_tasks(cells, list(range(boots + 1)))
 
     def run(key, pdf):
-        m = pdf.pivot(index="obj", columns="feat", values="val").sort_index().to_numpy(float)
-        if key[1]:
-            rng = np.random.default_rng(seed * 1000 + int(key[1]))
-            m = m.min(0) + rng.random(m.shape) * (m.max(0) - m.min(0))
-        d = kernel(m, m, measure)
-        tree, _ = K.linkage(d, linkage)
+        own = pdf.pivot(index="obj", columns="feat", values="val").sort_index().to_numpy(float)
         out = []
-        for k in range(1, min(most, len(m)) + 1):
-            y = K.cut(tree, len(m), k)
-            w = sum(d[np.ix_(y == c, y == c)].sum() / (2 * (y == c).sum()) for c in np.unique(y))
-            out.append((int(key[0]), int(key[1]), k, float(np.log(max(w, 1e-300)))))
+        for boot in groups[int(key[1])]:
+            m = own
+            if boot:
+                m = own.min(0) + np.random.default_rng(seed * 1000 + boot).random(own.shape) * (own.max(0) - own.min(0))
+            d = kernel(m, m, measure)
+            tree, _ = K.linkage(d, linkage)
+            for k in range(1, min(most, len(m)) + 1):
+                y = K.cut(tree, len(m), k)
+                w = sum(d[np.ix_(y == c, y == c)].sum() / (2 * (y == c).sum()) for c in np.unique(y))
+                out.append((int(key[0]), boot, k, float(np.log(max(w, 1e-300)))))
         return pd.DataFrame(out, columns=["src", "boot", "k", "w"])
 
-    w = tasks.groupBy("src", "boot").applyInPandas(run, "src int, boot int, k int, w double")
+    w = tasks.groupBy("src", "task").applyInPandas(run, "src int, boot int, k int, w double")
     own = w.where("boot = 0").select("src", "k", F.col("w").alias("w0"))
     ref = w.where("boot > 0").groupBy("src", "k").agg(F.avg("w").alias("m"), (F.stddev_pop("w") * math.sqrt(1 + 1 / boots)).alias("se"))
     g = own.join(ref, ["src", "k"]).select("src", "k", (F.col("m") - F.col("w0")).alias("gap"), "se")

@@ -11,7 +11,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import uniform
@@ -20,7 +20,7 @@ from . import coassociation as C
 from . import kernels as K
 from .distance import distance, weighted_combination
 from .normalize import range_guard
-from .trees import LABELS, agglomerate, cophenetic, dense, labels, long, merge_members
+from .trees import LABELS, agglomerate, components, cophenetic, dense, labels, long, merge_members
 
 KINDS = ("data", "dist", "clust")
 
@@ -60,28 +60,64 @@ def adc(cells: DataFrame, measure: str = "tanimoto", normalize=None, linkage: st
     return pairs, agglomerate(pairs, linkage, alpha)
 
 
-def sampled_cuts(cells: DataFrame, ks, t: int = 10, r: int | None = None, measure: str = "tanimoto", linkage: str = "flexible", alpha: float = 0.625, seed: int = 1) -> DataFrame:
-    """(src, iter, k, obj, cluster): t times r features by hash order, one tree each, cut at every k. r None: once, all features."""
+def _by_source(value, src: Column) -> Column:
+    """A setting as a column: one value, or one for each source in a dict."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in value.items() for x in kv]), src) if isinstance(value, dict) else F.lit(value)
+
+
+def sampled_cuts(cells: DataFrame, ks, t: int = 10, r: int | dict[int, int] | None = None, measure: str | dict[int, str] = "tanimoto", linkage: str | dict[int, str] = "flexible", alpha: float = 0.625, seed: int = 1, tries: int = 20) -> DataFrame:
+    """(src, iter, k, obj, cluster): t times r features by hash order, one tree each, cut at every k. r None: once, all features.
+
+    ks, r, measure and linkage may be dicts with one value for each source.  A sample in which some
+    object's values sum to zero is drawn anew, `tries` times at most: the first sample without such an
+    object counts, or else the last.
+    """
+    lists = ks if isinstance(ks, dict) else {s.src: list(ks) for s in cells.select("src").distinct().collect()}  # one row for each source
     if r is None:
         t = 1
-        if len(list(ks)) < 2:
+        if any(len(v) < 2 for v in lists.values()):
             raise ValueError("one clustering of all features needs several numbers of classes")
     it = cells.select("src", "feat").distinct().select("src", "feat", F.explode(F.sequence(F.lit(1), F.lit(t))).alias("iter"))
     if r is not None:
         from pyspark.sql import Window
 
-        w = Window.partitionBy("src", "iter").orderBy(uniform(seed, F.col("src"), F.col("iter"), F.col("feat")), "feat")
-        it = it.withColumn("n", F.row_number().over(w)).where(F.col("n") <= r).drop("n")
+        def draw(rows: DataFrame, attempts: list[int]) -> DataFrame:
+            x = rows.withColumn("attempt", F.explode(F.array(*[F.lit(a) for a in attempts])))
+            parts = (seed, F.col("src"), F.col("iter"), F.col("feat"))
+            u = F.when(F.col("attempt") == 0, uniform(*parts)).otherwise(uniform(*parts, F.col("attempt")))
+            w = Window.partitionBy("src", "iter", "attempt").orderBy(u, "feat")
+            return cut_lineage(x.withColumn("n", F.row_number().over(w)).where(F.col("n") <= _by_source(r, F.col("src"))).drop("n"))
+
+        def empty(got: DataFrame) -> DataFrame:
+            return cut_lineage(cells.join(got, ["src", "feat"]).groupBy("src", "iter", "attempt", "obj").agg(F.sum("val").alias("s")).where("s = 0").select("src", "iter", "attempt").distinct())
+
+        got = draw(it, [0])
+        bad = empty(got)
+        if bad.head(1):
+            again = draw(it.join(bad, ["src", "iter"], "left_semi"), list(range(1, tries)))
+            every = again.select("src", "iter", "attempt").distinct()
+            pick = every.join(empty(again), ["src", "iter", "attempt"], "left_anti").groupBy("src", "iter").agg(F.min("attempt").alias("attempt"))
+            pick = bad.select("src", "iter").join(pick, ["src", "iter"], "left").fillna(tries - 1, ["attempt"])
+            got = got.join(bad, ["src", "iter"], "left_anti").unionByName(again.join(pick, ["src", "iter", "attempt"], "left_semi"))
+        it = got.select("src", "iter", "feat")
     x = cells.join(it, ["src", "feat"]).withColumn("key", F.col("src") * 100_000 + F.col("iter"))
-    pairs = distance(x.select(F.col("key").alias("src"), "obj", "feat", "val"), measure)
-    tree = agglomerate(pairs, linkage, alpha)
     out = None
-    for k in ks:
-        one = labels(tree, int(k)).select((F.col("src") / 100_000).cast("int").alias("src"), (F.col("src") % 100_000).alias("iter"), F.lit(int(k)).alias("k"), "obj", "cluster")
-        out = one if out is None else out.union(one)
+    for way in sorted({(_of(measure, s), _of(linkage, s)) for s in lists}):
+        srcs = [s for s in lists if (_of(measure, s), _of(linkage, s)) == way]
+        pairs = distance(x.where(F.col("src").isin(srcs)).select(F.col("key").alias("src"), "obj", "feat", "val"), way[0])
+        tree = cut_lineage(agglomerate(pairs, way[1], alpha))
+        for k in sorted({k for s in srcs for k in lists[s]}):
+            own = [s for s in srcs if k in lists[s]]
+            one = labels(tree.where((F.col("src") / 100_000).cast("int").isin(own)), int(k))
+            one = one.select((F.col("src") / 100_000).cast("int").alias("src"), (F.col("src") % 100_000).alias("iter"), F.lit(int(k)).alias("k"), "obj", "cluster")
+            out = one if out is None else out.union(one)
     return out
 
 
+def _of(value, src):
+    return value[src] if isinstance(value, dict) else value
+
+
 def adec(cells: DataFrame, ks, t: int = 10, r: int | None = None, measure: str = "tanimoto", linkage: str = "flexible", alpha: float = 0.625, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Aggregated data ensemble: how often sampled clusterings of all features keep pairs apart, then ward. (pairs, tree)"""
     cuts = sampled_cuts(merged_cells(cells), ks, t, r, measure, linkage, alpha, seed)
@@ -132,22 +168,25 @@ def weighted_clust(thing: DataFrame, kind: str = "data", measure="tanimoto", nor
 
 
 def wonm(thing: DataFrame, kind: str = "data", measure="tanimoto", normalize=None, ks=range(5, 26), linkage: str = "flexible", alpha: float = 0.625) -> tuple[DataFrame, DataFrame]:
-    """Weighting on membership: togetherness over cuts, then over sources; ward. (pairs, tree)"""
-    tree = _trees(thing, kind, measure, normalize, linkage, alpha)
+    """Weighting on membership: togetherness over cuts, then over sources; ward. ks: numbers of classes, or a dict of them by source. (pairs, tree)"""
+    tree = cut_lineage(_trees(thing, kind, measure, normalize, linkage, alpha))
     cuts = None
-    for k in ks:
-        one = labels(tree, int(k)).withColumn("k", F.lit(int(k)))
+    for k in sorted({k for v in ks.values() for k in v}) if isinstance(ks, dict) else ks:
+        own = tree.where(F.col("src").isin([s for s, v in ks.items() if k in v])) if isinstance(ks, dict) else tree
+        one = labels(own, int(k)).withColumn("k", F.lit(int(k)))
         cuts = one if cuts is None else cuts.union(one)
     pairs = C.consensus_over_cuts(cuts)
     return pairs, agglomerate(pairs, "ward")
 
 
-def cec(cells: DataFrame, ks, t: int = 10, r: int | None = None, measure: str = "tanimoto", weights=None, focus=0.5, linkage: str = "flexible", alpha: float = 0.625, seed: int = 1):
-    """Complementary ensemble clustering: incidence for each source, then weighted combinations as weighted_clust."""
+def cec(cells: DataFrame, ks, t: int = 10, r: int | dict[int, int] | None = None, measure="tanimoto", weights=None, focus=0.5, linkage="flexible", alpha: float = 0.625, seed: int = 1):
+    """Complementary ensemble clustering: incidence for each source, then weighted combinations as weighted_clust.
+
+    ks, r, measure and linkage: one for all sources, or a dict with one for each.
+    """
     cuts = sampled_cuts(cells, ks, t, r, measure, linkage, alpha, seed)
-    a = cuts.select("src", "iter", "k", F.col("obj").alias("i"), F.col("cluster").alias("ci"))
-    b = cuts.select("src", "iter", "k", F.col("obj").alias("j"), F.col("cluster").alias("cj"))
-    n = a.join(b, ["src", "iter", "k"]).where("i < j").groupBy("src", "i", "j").agg(F.sum((F.col("ci") != F.col("cj")).cast("double")).alias("d"))
+    n = C.pair_counts(cuts.select("src", F.concat_ws(":", F.col("iter").cast("string"), F.col("k").cast("string")).alias("run"), "obj", "cluster"))
+    n = n.select("src", "i", "j", F.col("apart").cast("double").alias("d"))
     return weighted_clust(n, "dist", weights=weights, focus=focus, linkage="ward", stop_range=True)
 
 
@@ -495,7 +534,7 @@ def _merge_votes(u: DataFrame, k: int) -> DataFrame:
         q = q / np.maximum(q.sum(0, keepdims=True), 1e-300)
         h = lambda v: -np.where(v > 0, v * np.log(np.maximum(v, 1e-300)), 0).sum(0)
         n = q.shape[1]
-        js = np.array([[max(h((q[:, a] + q[:, b]) / 2) - (h(q[:, a]) + h(q[:, b])) / 2, 0) for b in range(n)] for a in range(n)])
+        js = np.array([[max(h((q[:, a] + q[:, b]) / 2) - (h(q[:, a]) + h(q[:, b])) / 2, 0) for b in range(n)] for a in range(n)]).round(9)
         y = K.cut(K.linkage(js, "average")[0], n, k)
         out = pdf.copy()
         out["ref"] = pdf["ref"].map(dict(zip(m.columns, y, strict=True)))
@@ -518,17 +557,20 @@ def consensus_clustering(parts: DataFrame, k: int = 7, method: str = "IVC", star
 
 
 def evidence_accumulation(parts: DataFrame, method: str = "SL", t: float | None = None, k: int = 2) -> DataFrame:
-    """SL: components over co-association above t; SL_agnes: single linkage cut at k; MST: components of the maximum spanning tree's edges of t or more."""
+    """SL: components over co-association above t; SL_agnes: single linkage cut at k; MST: components of the maximum spanning tree's edges of t or more.
+
+    The edges of t or more of a maximum spanning tree join what all pairs of t or more join, so both
+    are components of a distributed edge list.
+    """
     if method in ("SL", "MST") and t is None:
         raise ValueError(f"{method} needs a threshold t")
+    if method in ("SL", "MST"):
+        s = F.round("s", 12)
+        edges = C.coassociation(parts).where(s > t if method == "SL" else s >= t).select("i", "j")
+        return components(edges, parts.select("obj").distinct()).select(F.lit(0).alias("src"), "obj", "cluster")
 
     def f(a, owner):
-        s = _share(a, owner)
-        if method == "SL":
-            return K.connected(len(s), zip(*np.nonzero(np.triu(s > t, 1)), strict=True))
-        if method == "MST":
-            return K.connected(len(s), [(i, j) for i, j, c in K.spanning_tree(-s) if -c >= t])
-        return K.cut(K.linkage(1 - s, "single")[0], len(s), k)
+        return K.cut(K.linkage(1 - _share(a, owner), "single")[0], len(a), k)
 
     return _ensemble(parts, f)
 

@@ -1,27 +1,37 @@
 """Hierarchical clustering of pairs, cuts, and what trees give: one grouped task for each source.
 
 tree(src, objs, left, right, height): one row for each dendrogram; negative entries are objects.
-Dense work is n x n for each source; larger inputs go through nuggets first.
+Dense work is n x n for each source; sources of more than DENSE_MOST objects are refused and go
+through nuggets (`nuggets.nugget_cluster`) first.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import cut_lineage
 from . import kernels as K
 from .distance import distance
 from .normalize import range_guard
 
 TREE = "src int, objs array<string>, left array<int>, right array<int>, height array<double>"
 LABELS = "src int, obj string, cluster int"
+DENSE_MOST = 8000  # objects of a matrix in one task: 512 MB
+TASKS = 8  # copies of a source's pairs, at most, where settings are tried on them
+
+
+def check_dense(n: int) -> None:
+    if n > DENSE_MOST:
+        raise ValueError(f"{n} objects are too many for a matrix in one task (at most {DENSE_MOST}): make nuggets of the source first")
 
 
 def dense(pdf: pd.DataFrame, value: str = "d", diagonal: float = 0.0) -> tuple[np.ndarray, list[str]]:
     """Matrix and sorted object names of one source's pairs."""
     objs = sorted(set(pdf["i"]) | set(pdf["j"]))
+    check_dense(len(objs))
     at = {o: k for k, o in enumerate(objs)}
     m = np.full((len(objs), len(objs)), diagonal)
     i, j = pdf["i"].map(at).to_numpy(), pdf["j"].map(at).to_numpy()
@@ -112,24 +122,50 @@ def merge_members(tree: DataFrame) -> DataFrame:
     return tree.mapInPandas(run, "src int, step int, obj string, height double")
 
 
-def single_link_components(pairs: DataFrame, limit: float) -> DataFrame:
-    """labels: connected components over pairs with d <= limit; singletons are their own."""
+def components(edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """(obj, cluster) of objects(obj) under edges(i, j), numbered by the smallest object; distributed.
+
+    Each round gives every node the least label (a hash) around it and contracts the edges: about
+    log2(n) rounds, whatever the components' shapes.
+    """
+    name = F.xxhash64
+    e = edges.where("i <> j").select(name("i").alias("a"), name("j").alias("b"))
+    e = cut_lineage(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    node = cut_lineage(objects.select("obj", name("obj").alias("root")))
+    while e.head(1):
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hop = cut_lineage(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("m")))
+        node = cut_lineage(node.join(hop, node.root == hop.v, "left").select("obj", F.coalesce("m", "root").alias("root")))
+        e = e.join(hop.select(F.col("v").alias("a"), F.col("m").alias("ma")), "a").join(hop.select(F.col("v").alias("b"), F.col("m").alias("mb")), "b").where("ma <> mb")
+        e = cut_lineage(e.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct())
+    first = node.groupBy("root").agg(F.min("obj").alias("first"))
+    number = first.select("root", F.row_number().over(Window.orderBy("first")).cast("int").alias("cluster"))  # one row for each component
+    return node.join(number, "root").select("obj", "cluster")
 
-    def run(key, pdf):
-        d, objs = dense(pdf, diagonal=np.inf)
-        i, j = np.nonzero(np.triu(d <= limit, 1))
-        return pd.DataFrame({"src": int(key[0]), "obj": objs, "cluster": K.connected(len(objs), zip(i.tolist(), j.tolist(), strict=True)).astype("int32")})
 
-    return pairs.groupBy("src").applyInPandas(run, LABELS)
+def single_link_components(pairs: DataFrame, limit: float) -> DataFrame:
+    """labels: connected components over pairs with d <= limit; singletons are their own."""
+    out = None
+    for src in sorted(r.src for r in pairs.select("src").distinct().collect()):  # one row for each source
+        own = pairs.where(F.col("src") == src)
+        objs = own.select(F.col("i").alias("obj")).union(own.select(F.col("j").alias("obj"))).distinct()
+        one = components(own.where(F.col("d") <= limit).select("i", "j"), objs).select(F.lit(src).cast("int").alias("src"), "obj", "cluster")
+        out = one if out is None else out.union(one)
+    return out
 
 
 def pam(pairs: DataFrame, ks) -> DataFrame:
-    """(src, k, obj, cluster, width): k-medoids and silhouette widths for each k, one task for each source and k."""
-    grid = pairs.select("*", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
+    """(src, k, obj, cluster, width): k-medoids and silhouette widths for each k, in TASKS tasks for each source at most."""
+    ks = sorted({int(k) for k in ks})
+    groups = [ks[n::TASKS] for n in range(min(TASKS, len(ks)))]
+    grid = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))).alias("task"))
 
     def run(key, pdf):
         d, objs = dense(pdf)
-        y = K.pam(d, int(key[1]))
-        return pd.DataFrame({"src": int(key[0]), "k": int(key[1]), "obj": objs, "cluster": y.astype("int32"), "width": K.silhouette(d, y)})
+        out = []
+        for k in groups[int(key[1])]:
+            y = K.pam(d, k)
+            out.append(pd.DataFrame({"src": int(key[0]), "k": k, "obj": objs, "cluster": y.astype("int32"), "width": K.silhouette(d, y)}))
+        return pd.concat(out)
 
-    return grid.groupBy("src", "k").applyInPandas(run, "src int, k int, obj string, cluster int, width double")
+    return grid.groupBy("src", "task").applyInPandas(run, "src int, k int, obj string, cluster int, width double")

@@ -103,7 +103,7 @@ put(
     "q1 as (select parts.*, sc from parts join sc on sc.src = parts.src and pl = 1)", "q2 as (select parts.*, sc from parts join sc on sc.src = parts.src and pl = 2)",
     "u1 as (select u.obj, ref, sc * avg(p) over (partition by q.cluster, ref) as p from u0 u join q1 q on q.obj = u.obj)", "u2 as (select u.obj, ref, (p + sc * avg(p) over (partition by q.cluster, ref)) / 2 as p from u1 u join q2 q on q.obj = u.obj)",
     "qn as (select obj, ref, p / sum(p) over (partition by ref) as p from u2)", "hh as (select ref, -sum(case when p > 0 then p * ln(p) else 0 end) as h from qn group by ref)",
-    "js as (select lpad(cast(a.ref as varchar), 4, '0') as i, lpad(cast(b.ref as varchar), 4, '0') as j, greatest(-sum(case when a.p + b.p > 0 then (a.p + b.p) / 2 * ln((a.p + b.p) / 2) else 0 end) - (any_value(x.h) + any_value(y.h)) / 2, 0) as d from qn a join qn b on a.obj = b.obj and a.ref < b.ref join hh x on x.ref = a.ref join hh y on y.ref = b.ref group by a.ref, b.ref)",
+    "js as (select lpad(cast(a.ref as varchar), 4, '0') as i, lpad(cast(b.ref as varchar), 4, '0') as j, round(greatest(-sum(case when a.p + b.p > 0 then (a.p + b.p) / 2 * ln((a.p + b.p) / 2) else 0 end) - (any_value(x.h) + any_value(y.h)) / 2, 0), 9) as d from qn a join qn b on a.obj = b.obj and a.ref < b.ref join hh x on x.ref = a.ref join hh y on y.ref = b.ref group by a.ref, b.ref)",
     T.agglomeration("average", "js"), T.cut("3"), "mg as (select u2.obj, l.cluster as ref, sum(p) as p from u2 join l on cast(l.obj as int) = u2.ref group by u2.obj, l.cluster)", _WIN.format("mg"),
 )
 _START = f"c0 as (select obj, cast(floor({uniform_duck(chr(39) + '1|' + chr(39) + ' || obj')} * 4) as int) + 1 as c from (select distinct obj from parts) z)"
@@ -161,9 +161,13 @@ put("link_based_labels_srs", rec(f"with {Q.PARTS}"), *_SRS, _linked("srs"), T.ag
 
 # Sampled cuts.
 
-def _sampled(cells: str, iters: int, r: int) -> str:
-    u = uniform_duck("'1|' || cast(f.src as varchar) || '|' || cast(t.it as varchar) || '|' || f.feat")
-    return f"""cells as ({cells}), fs as (select src, it, feat from (select f.src, t.it, f.feat, row_number() over (partition by f.src, t.it order by {u}, f.feat) as pl from (select distinct src, feat from cells) f cross join (select range as it from range(1, {iters + 1})) t) z where pl <= {r}), cs as (select fs.it, cells.* from cells join fs on fs.src = cells.src and fs.feat = cells.feat)"""
+def _sampled(cells: str, iters: int, r: int, tries: int = 20) -> str:
+    """CTE cs(it, src, obj, feat, val): r features by hash order in each iteration; of `tries` draws the first in which no object's values sum to zero, or the last."""
+    key = "'1|' || cast(f.src as varchar) || '|' || cast(t.it as varchar) || '|' || f.feat || case when w.a = 0 then '' else '|' || cast(w.a as varchar) end"
+    return f"""cells as ({cells}), dr as (select src, it, a, feat from (select f.src, t.it, w.a, f.feat, row_number() over (partition by f.src, t.it, w.a order by {uniform_duck(key)}, f.feat) as pl from (select distinct src, feat from cells) f cross join (select range as it from range(1, {iters + 1})) t cross join (select range as a from range(0, {tries})) w) z where pl <= {r}),
+em as (select distinct src, it, a from (select dr.src, it, a, obj, sum(val) as s from dr join cells on cells.src = dr.src and cells.feat = dr.feat group by dr.src, it, a, obj) z where s = 0),
+pk as (select src, it, coalesce(min(a) filter (where not exists (select 1 from em where em.src = q.src and em.it = q.it and em.a = q.a)), {tries - 1}) as a from (select distinct src, it, a from dr) q group by src, it),
+cs as (select dr.it, cells.* from dr join pk on pk.src = dr.src and pk.it = dr.it and pk.a = dr.a join cells on cells.src = dr.src and cells.feat = dr.feat)"""
 
 
 _CUTS35 = """ks as (select unnest([3, 5]) as nk), mk as (select ks.nk, m.* from m cross join ks where m.step <= (select count(distinct obj) from o) - ks.nk),
@@ -205,3 +209,67 @@ _PLOT = f"""with {Q.ALIGNED}, n as (select method, label, count(*) as n from ali
 cp as (select a.method, a.obj, cast(o.pos as int) as pos, cast(case when n.n = 1 then 5000 else a.label end as int) as label, case when d.d = 1 then '#BEBEBE' when n.n = 1 then '#FFFFFF' when a.label = 1 then '#1F77B4' when a.label = 2 then '#FF7F0E' else '#2CA02C' end as color from aligned a join n on n.method = a.method and n.label = a.label join d on d.method = a.method join o on o.obj = a.obj)"""
 ORACLES["compare_plot"] = f"{_PLOT} select method, obj, pos, label, color from cp"
 ORACLES["cyclogram"] = f"{_PLOT} select method, obj, pos, label, color, {rd('2 * 3.141592653589793 * (pos - 1) / count(*) over (partition by method)')} as angle, method as ring from cp"
+
+
+# Bags: sampled features by rank weights, drawn objects, and what is made of them.
+def _bagged(iters: int) -> list[str]:
+    """CTE cs(src, it, obj, feat, val) of both sources' bags."""
+    n1, n2 = Q.bisect_weight_c(10), Q.bisect_weight_c(60)
+    u = uniform_duck("'1|' || cast(w.src as varchar) || '|' || cast(t.it as varchar) || '|' || w.feat")
+    b = uniform_duck("'1|boot|' || cast(o.src as varchar) || '|' || cast(t.it as varchar) || '|' || cast(o.place as varchar)")
+    return [
+        f"with recursive cells as ({X.SQL_EVENTS} union all {X.SQL_PRESENCE})",
+        f"rk as (select src, feat, row_number() over (partition by src order by round(v, 12) desc, feat) as rk, count(*) over (partition by src) as g from (select src, feat, coalesce(var_samp(val), 0.0) as v from cells group by src, feat) z), rw as (select src, feat, g, 1 / (rk + case when g = 10 then {n1!r} else {n2!r} end) as raw from rk), w as (select src, feat, g, raw / sum(raw) over (partition by src) as p from rw)",
+        f"fs as (select src, it, feat from (select w.src, t.it, w.feat, g, row_number() over (partition by w.src, t.it order by -ln(greatest({u}, 1e-12)) / p, w.feat) as pl from w cross join (select range as it from range(1, {iters + 1})) t) z where pl <= greatest(2, floor(sqrt(g))))",
+        "ob as (select src, obj, row_number() over (partition by src order by obj) as place, count(*) over (partition by src) as n from (select distinct src, obj from cells) z)",
+        f"dr as (select distinct o.src, t.it, cast(floor({b} * n) as bigint) + 1 as place from ob o cross join (select range as it from range(1, {iters + 1})) t)",
+        "cs as (select fs.it, c.* from cells c join fs on fs.src = c.src and fs.feat = c.feat join ob on ob.src = c.src and ob.obj = c.obj join dr on dr.src = c.src and dr.it = fs.it and dr.place = ob.place)",
+        "rg as (select src, it, feat, max(val) - min(val) as rg from cs group by src, it, feat)",
+        "bd as (select a.src, a.it, a.obj as i, b.obj as j, sum(case when rg > 0 then abs(a.val - b.val) / rg end) / count(case when rg > 0 then 1 end) as g, sqrt(sum(power(a.val - b.val, 2))) as l2 from cs a join cs b on a.src = b.src and a.it = b.it and a.feat = b.feat and a.obj < b.obj join rg on rg.src = a.src and rg.it = a.it and rg.feat = a.feat group by a.src, a.it, a.obj, b.obj)",
+    ]
+
+
+put("abc_labels", *_bagged(3), "sp as (select src * 100 + it as g, i, j, round(coalesce(g, l2), 12) as d from bd)", T.agglomeration("ward.D2", "sp", by="g"), T.cut("4", by="g"), "select cast(g // 100 as int) as src, cast(g % 100 as int) as iter, obj, cluster from l")
+_DIST = "mn as (select src, i, j, avg(coalesce(g, l2)) as d from bd group by src, i, j), tp as (select src, max(d) as m from mn group by src), fd as (select a.src, a.obj as i, b.obj as j, coalesce(mn.d, m) / case when m > 0 then m else 1.0 end as d from ob a join ob b on a.src = b.src and a.obj < b.obj join tp on tp.src = a.src left join mn on mn.src = a.src and mn.i = a.obj and mn.j = b.obj)"
+put("m_abcdist_pairs", *_bagged(6), _DIST, f"select cast(src as int) as src, i, j, {rd('d')} as d from fd")
+put("m_abcdist", *_bagged(10), _DIST, "hf as (select i, j, sum(0.5::double * d) as d from fd group by i, j)", T.agglomeration("ward", "hf"), T.cut("4"), LABELS.format(0, ""))
+ORACLES["cluster_plot"] = ORACLES["cluster_cols"]
+put("m_abcdist_wc", *_bagged(6), _DIST, "hf as (select i, j, sum(0.5::double * d) as d from fd group by i, j)", T.agglomeration("ward", "hf"), T.cut("4"), LABELS.format(5, ""))
+
+# Weighted ward: costs by Lance and Williams from the first costs, with weights as sizes; heights are running means of the sorted costs.
+put(
+    "weighted_hclust", rec(f"with {Q.CELLS}"), "wt as (select distinct obj, cast(cast(obj as int) % 4 + 1 as double) as w from cells)",
+    "p as (select a.obj as i, b.obj as j, sum(power(a.val - b.val, 2)) * any_value(x.w) * any_value(y.w) / (any_value(x.w) + any_value(y.w)) as d from cells a join cells b on a.feat = b.feat and a.obj < b.obj join wt x on x.obj = a.obj join wt y on y.obj = b.obj group by a.obj, b.obj)",
+    T.agglomeration("ward.D", weights="wt"), "hh as (select row_number() over (order by h) as step, sum(h) over (order by h rows unbounded preceding) / row_number() over (order by h) as h from m)",
+    f"select cast(0 as int) as src, cast(m.step as int) as step, cast(li as int) as \"left\", cast(lj as int) as \"right\", {rd('hh.h')} as height from m join hh on hh.step = m.step",
+)
+
+# Similarity network fusion of two sources: local kernels, then diffusion of each through the other.
+_SNF = [
+    TWO, "names as (select distinct i as obj from pp union select distinct j from pp)",
+    "bp as materialized (select src, i, j, d from pp union all select src, j, i, d from pp union all select s.src, obj, obj, 0.0 from names cross join (select distinct src from pp) s)",
+    "nr as (select src, i, avg(d) + 2.220446e-16 as m from (select *, row_number() over (partition by src, i order by d, i <> j, j) as r from bp) z where r between 2 and 21 group by src, i)",
+    "sg as (select bp.src, bp.i, bp.j, d, greatest((x.m + y.m + d) / 3, 2.220446e-16) * 0.5 as s from bp join nr x on x.src = bp.src and x.i = bp.i join nr y on y.src = bp.src and y.i = bp.j)",
+    "af as materialized (select src, i, j, exp(-power(d / s, 2) / 2) / (s * sqrt(2 * pi())) as v from sg)",
+    "lc as materialized (select src, i, j, v / sum(v) over (partition by src, i) as v from (select *, row_number() over (partition by src, i order by v desc, j) as r from af) z where r <= 20)",
+]
+
+
+def _full(table: str, name: str) -> list[str]:
+    return [
+        f"{name}x as materialized (select src, i, j, case when i = j then 0.5 else v / (2 * case when rest = 0 then 1 else rest end) end as v from (select *, sum(case when i = j then 0 else v end) over (partition by src, i) as rest from {table}) z)",
+        f"{name} as materialized (select a.src, a.i, a.j, (a.v + b.v) / 2 as v from {name}x a join {name}x b on b.src = a.src and b.i = a.j and b.j = a.i)",
+    ]
+
+
+_SNF += _full("af", "f0")
+for _r in range(20):
+    _SNF += [
+        f"h{_r} as materialized (select a.src, a.i, p.j, sum(a.v * p.v) as v from lc a join f{_r} p on p.src <> a.src and p.i = a.j group by a.src, a.i, p.j)",
+        f"g{_r} as materialized (select a.src, h.i, a.i as j, sum(h.v * a.v) as v from h{_r} h join lc a on a.src = h.src and a.j = h.j group by a.src, h.i, a.i)",
+        *_full(f"g{_r}", f"f{_r + 1}"),
+    ]
+put(
+    "snf", *_SNF, "ww as (select i, j, avg(v) as v from f20 group by i, j)", "wn as (select i, j, v / sum(v) over (partition by i) as v from ww)",
+    "fu as (select a.i, a.j, 1 - (a.v + b.v) / 2 as d from wn a join wn b on b.i = a.j and b.j = a.i where a.i < a.j)", T.agglomeration("ward", "fu", "w"), T.cut("4", "w", tree="w"), LABELS.format(0, "w"),
+)

@@ -24,16 +24,17 @@ FORMULA = {
 SQUARED = ("ward", "ward.D2", "centroid", "median")
 
 
-def agglomeration(method: str, pairs: str = "p", tag: str = "", alpha: float = 0.625, by: str | None = None) -> str:
-    """CTEs o{tag}(obj, k), s{tag}, m{tag}(step, mi, mj, h, li, lj): objects by number, states, and merges. by: a column of pairs that tells trees apart."""
+def agglomeration(method: str, pairs: str = "p", tag: str = "", alpha: float = 0.625, by: str | None = None, weights: str | None = None) -> str:
+    """CTEs o{tag}(obj, k), s{tag}, m{tag}(step, mi, mj, h, li, lj): objects by number, states, and merges. by: a column of pairs that tells trees apart; weights: a table (obj, w) of sizes instead of 1."""
     g = f"{by}, " if by else ""
     on = f" and a.{by} = {pairs}.{by} and b.{by} = {pairs}.{by}" if by else ""
     base = "cast(d as double) * cast(d as double)" if method in SQUARED else "cast(d as double)"
     height = "sqrt(greatest(d, 0.0::double))" if method in SQUARED else "d"
     part = f"partition by {by} " if by else ""
     new = FORMULA[method].format(alpha=alpha)
+    size = lambda x: f"(select w from {weights} where {weights}.obj = {x}.obj)" if weights else "1.0::double"
     return f"""o{tag} as (select {g}obj, row_number() over ({part}order by obj) as k from (select {g}i as obj from {pairs} union select {g}j from {pairs}) z{tag}),
-s{tag} as (select {"a." + by + " as " + by + ", " if by else ""}0 as step, a.k as i, b.k as j, {base} as d, 1.0::double as ni, 1.0::double as nj, -a.k as li, -b.k as lj from {pairs} join o{tag} a on a.obj = {pairs}.i join o{tag} b on b.obj = {pairs}.j{on}
+s{tag} as (select {"a." + by + " as " + by + ", " if by else ""}0 as step, a.k as i, b.k as j, {base} as d, {size("a")} as ni, {size("b")} as nj, -a.k as li, -b.k as lj from {pairs} join o{tag} a on a.obj = {pairs}.i join o{tag} b on b.obj = {pairs}.j{on}
 union all
 select {g}step + 1, x, y, case when not touched then d else {new} end, case when x = mi then si + sj else sx end, case when y = mi then si + sj else sy end, case when x = mi then step + 1 else lx end, case when y = mi then step + 1 else ly end from (
 select {g}step, mi, mj, any_value(h) as h, any_value(si) as si, any_value(sj) as sj, x, y, bool_or(i in (mi, mj) or j in (mi, mj)) as touched, max(d) as d,
