@@ -41,13 +41,16 @@ def free_name(df: DataFrame, name: str) -> str:
 _scopes: list[list[tuple[SparkSession, str]]] = []
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Tasks are cut by the bytes of files, so a codec that makes files small makes tasks large: zstd is for texts.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -428,7 +428,7 @@ def _extract(text_support: float, least: int, region: float):
 def extract(pages: DataFrame, support: float = SUPPORT, text_support: float = TEXT_SUPPORT, least: int = LEAST_CONTENTS, region: float = REGION) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars, n_slots, by_template."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    parsed = stage(pages.mapInArrow(_parse, PARSED), "parsed")
+    parsed = stage(pages.mapInArrow(_parse, PARSED), "parsed", "zstd")
     candidates = stage(deduce(parsed, support), "candidates")
     total = parsed.count()
     hot = stage(parsed.groupBy("host").agg(F.count("*").alias("rows")).where(F.col("rows") * HOT_HOSTS >= total).select("host", F.lit(True).alias("hot")), "hot")
