@@ -290,6 +290,41 @@ def test_language_profiles_and_distance(spark, documents, texts):
     assert clash.columns == ["doc_id", "lang_pred", "score", "lang_pred_", "score_"] and clash.first().lang_pred == "mine" and clash.where("false").count() == 0
 
 
+def told(text, learned, size=400):
+    """Language and score by the out-of-place distance, in plain Python; learned: {language: its n-grams, most frequent first}."""
+    own = profile(text, size)
+    if not own or not learned:
+        return "und", 0.0
+    best = {}
+    for name, grams in learned.items():
+        rank = {g: i for i, g in enumerate(grams)}
+        best[name] = sum(abs(rank[g] - i) if g in rank else size for i, g in enumerate(own))
+    name = min(sorted(best), key=lambda k: best[k])
+    return name, 1 - min(best[name], size * len(own)) / (size * len(own))
+
+
+def learned_profiles(rows, size=400):
+    """Profiles of (lang, text) rows, counted in plain Python."""
+    n = collections.defaultdict(collections.Counter)
+    for lang, text in rows:
+        if lang is not None and text is not None:
+            code, _ = langid.grams(*X.utf8(pa.array([text], pa.string())))
+            n[lang].update(code.view(np.int64).tolist())
+    return {k: [g % 2**64 for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size]] for k, c in n.items()}
+
+
+def test_language_brute_force(spark, documents):
+    rows = [r for r in documents.select("doc_id", "lang", "text").collect()]
+    learned = learned_profiles([(r.lang, r.text) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2])
+    got = {k: v.tolist() for k, v in langid.learn(documents, langid.fold(F.col("doc_id"), 4) != 2).items()}
+    assert got == learned
+    extra = docs_of(spark, HARD, 10**6).select("doc_id", "text")
+    for r in langid.identify(documents.select("doc_id", "text").union(extra), langid.learn(documents, langid.fold(F.col("doc_id"), 4) != 2)).collect():
+        text = HARD[r.doc_id - 10**6] if r.doc_id >= 10**6 else next(x.text for x in rows if x.doc_id == r.doc_id)
+        name, score = told(text, learned)
+        assert (r.lang_pred, round(r.score, 9)) == (name, round(score, 9)), r.doc_id
+
+
 # 5. Toxicity.
 
 

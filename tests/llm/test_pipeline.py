@@ -63,6 +63,41 @@ def test_rows_without_or_with_shared_ids(spark, sf):
     assert key(C.benchmark(spark, df, sf)) == sorted(((i is None, i, t or "") for k, (i, t) in enumerate(rows) if k not in (0, 7)), key=str)
 
 
+def test_whole_pipeline_brute_force(spark, sf):
+    """All five stages in plain Python, without any operator's code but the cutting of n-grams, on a small table."""
+    import zlib
+
+    import numpy as np
+    import test_llm_operators as T
+    import test_pii as P
+    from brindle.llm import packing
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    learned = T.learned_profiles([(r.lang, r.text) for r in rows.values() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2])
+    texts = {k: r.text for k, r in rows.items()}
+    texts = {k: t for k, t in texts.items() for name, score in [T.told(t, learned)] if name != "und" and score > 0}
+    texts = {k: texts[k] for k, (n, root) in T.classes(texts).items() if k == root}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    bad = {d for d, _ in T.passages(texts, items)}
+    old, P.KEY = P.KEY, pii.key_of(spark)
+    texts = {k: P.ANY.sub(lambda m: P.second(m[0]), t) for k, t in texts.items() if k not in bad}
+    P.KEY = old
+    tok = packing.encoder(packing.default_tokenizer()).tok
+    want, total = set(), 0
+    for k, t in texts.items():
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        total += len(ids)
+        at, piece = 0, 0
+        while at < len(ids):
+            end = at + ((len(ids) - at) % 2048 or 2048)
+            want.add((k, piece, at, end - at, zlib.crc32(ids[at:end].tobytes())))
+            at, piece = end, piece + 1
+    got = C.run(spark, sf).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    assert len({r.sequence_id for r in got}) == -(-total // 2048)  # the size bound
+
+
 def test_run(spark, sf):
     from brindle.llm import _store
 
