@@ -80,17 +80,18 @@ def plain_fusion(mats, nn, rounds, mu=0.5):
             left = [[sum(s[a][i][k] * others[k][j] for k in range(n)) for j in range(n)] for i in range(n)]
             new.append(even(full([[sum(left[i][k] * s[a][j][k] for k in range(n)) for j in range(n)] for i in range(n)])))
         p = new
-    return [[sum(x[i][j] for x in p) / len(p) for j in range(n)] for i in range(n)]
+    w = [[sum(x[i][j] for x in p) / len(p) for j in range(n)] for i in range(n)]
+    w = [[v / sum(row) for v in row] for row in w]
+    return [[(w[i][j] + w[j][i] + (i == j)) / 2 for j in range(n)] for i in range(n)]
 
 
 def test_fusion(spark):
     mats = [points(12, s) for s in (1, 2)]
     want = plain_fusion([m.tolist() for m in mats], 5, 4)
     got = K.fuse([K.affinity(m, 5) for m in mats], 5, 4)
-    off = ~np.eye(12, dtype=bool)
-    assert np.allclose(got[off] / got[off].max(), np.array(want)[off] / np.array(want)[off].max(), rtol=1e-6)
-    fused = IN.snf(pairs_of(spark, *mats), "dist", nn=5, rounds=4)[0].collect()
-    assert len(fused) == 66
+    assert np.allclose(got, want, rtol=1e-9)
+    fused = {(r.i, r.j): r.d for r in IN.snf(pairs_of(spark, *mats), "dist", nn=5, rounds=4)[0].collect()}
+    assert len(fused) == 66 and all(math.isclose(v, 1 - want[int(i[1:])][int(j[1:])], rel_tol=1e-9) for (i, j), v in fused.items())
 
 
 @pytest.mark.parametrize("seed", range(4))
