@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import cut_lineage
 from . import kernels as K
-from .distance import mirrored, weighted_combination
+from .distance import mirrored
 from .trees import TASKS, agglomerate, dense, labels, pam
 
 
@@ -184,13 +185,21 @@ def pair_jaccard(parts: DataFrame, reference: DataFrame, by: str) -> DataFrame:
 def weight_by_similarity(pairs: DataFrame, k: int, weights=None, linkage: str = "ward") -> DataFrame:
     """(weight, distance, best): Jaccard of the weighted tree's cut with each source's; the weight whose ratios are nearest to 1 wins."""
     weights = [round(x * 0.01, 2) for x in range(101)] if weights is None else list(weights)
+    pairs = cut_lineage(pairs)
     srcs = sorted(r.src for r in pairs.select("src").distinct().collect())  # one row for each source
     own = labels(agglomerate(pairs, linkage), k)
-    grid = None
-    for n, w in enumerate(weights):
-        one = weighted_combination(pairs, {s: w if s == srcs[0] else (1 - w) / (len(srcs) - 1) for s in srcs}).withColumn("src", F.lit(n))
-        grid = one if grid is None else grid.union(one)
-    cut = labels(agglomerate(grid, linkage), k).withColumnRenamed("src", "n")
+    tasks, groups = _in_tasks(pairs, list(enumerate(weights)))
+
+    def run(key, pdf):
+        per = {int(s): dense(g) for s, g in pdf.groupby("src")}
+        objs, out = per[srcs[0]][1], []
+        for n, w in groups[int(key[0])]:
+            d = sum((w if s == srcs[0] else (1 - w) / (len(srcs) - 1)) * per[s][0] for s in srcs)
+            y = K.cut(K.linkage(d, linkage)[0], len(objs), k)
+            out.append(pd.DataFrame({"n": n, "obj": objs, "cluster": y.astype("int32")}))
+        return pd.concat(out)
+
+    cut = tasks.groupBy("task").applyInPandas(run, "n int, obj string, cluster int")
     names = F.create_map(*[F.lit(x) for n, w in enumerate(weights) for x in (n, float(w))])
     j = pair_jaccard(cut, own, "n").withColumn("weight", F.element_at(names, F.col("n")))
     x = j.groupBy("weight").pivot("src", srcs).agg(F.first("jaccard"))
