@@ -105,20 +105,35 @@ def _complete(cells: DataFrame) -> DataFrame:
     return objs.join(feats, "src").join(cells, ["src", "obj", "feat"], "left").select("src", "obj", "feat", "val")
 
 
+def _scores_by_source(cells: DataFrame, weighting, nugget_type, nuggets) -> tuple[DataFrame, list[int]]:
+    """(scores of all sources, the sources whose features weigh alike)."""
+    srcs = sorted(r.src for r in cells.select("src").distinct().collect())  # one row for each source
+    ways = {s: (_of(weighting, s), _of(nugget_type, s), _of(nuggets, s)) for s in srcs}
+    out = None
+    for way in sorted(set(ways.values()), key=str):
+        one = feature_scores(cells.where(F.col("src").isin([s for s in srcs if ways[s] == way])), *way)
+        out = one if out is None else out.unionByName(one)
+    return out, [s for s in srcs if ways[s][0] == "equal"]
+
+
+def _drawn(objs: DataFrame, srcs, iters, bag, seed: int) -> DataFrame:
+    """(src, iter, obj): the objects of each source's iterations, bootstrapped where `bag` says so."""
+    most = max(_of(iters, s) for s in srcs)
+    own = F.element_at(F.create_map(*[F.lit(v) for s in srcs for v in (s, int(_of(iters, s)))]), F.col("src"))
+    bagged = [s for s in srcs if _of(bag, s)]
+    drawn = bootstrap(objs.where(F.col("src").isin(bagged)), most, seed) if bagged else None
+    if len(bagged) < len(srcs):
+        every = objs.where(~F.col("src").isin(bagged)).select("src", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("iter"), "obj")
+        drawn = every if drawn is None else drawn.unionByName(every)
+    return drawn.where(F.col("iter") <= own)
+
+
 def _samples(cells, weighting, iters, nfeat, bag, seed, nugget_type, nuggets, scores=None) -> DataFrame:
     """(src, iter, obj, x): drawn objects with their values of the sampled features, in order of the features' names.
 
     Objects travel packed and the sampled values are picked from the array, so that no row is made for a cell.
     """
-    if scores is None:
-        srcs = sorted(r.src for r in cells.select("src").distinct().collect())  # one row for each source
-        ways = {s: (_of(weighting, s), _of(nugget_type, s), _of(nuggets, s)) for s in srcs}
-        for way in sorted(set(ways.values()), key=str):
-            one = feature_scores(cells.where(F.col("src").isin([s for s in srcs if ways[s] == way])), *way)
-            scores = one if scores is None else scores.unionByName(one)
-        equal = [s for s in srcs if ways[s][0] == "equal"]
-    else:
-        equal = []
+    scores, equal = _scores_by_source(cells, weighting, nugget_type, nuggets) if scores is None else (scores, [])
     scores = cut_lineage(scores)
     w = feature_weights_by_rank(scores.where(~F.col("src").isin(equal)) if equal else scores)
     if equal:
@@ -129,13 +144,7 @@ def _samples(cells, weighting, iters, nfeat, bag, seed, nugget_type, nuggets, sc
     own = F.element_at(F.create_map(*[F.lit(v) for s in found for v in (s, int(_of(iters, s)))]), F.col("src"))
     place = scores.select("src", "feat", (F.row_number().over(Window.partitionBy("src").orderBy("feat")) - 1).alias("at"))
     picked = sampled_features(w, most, sizes, seed).where(F.col("iter") <= own).join(place, ["src", "feat"]).groupBy("src", "iter").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    objs = cells.select("src", "obj").distinct()
-    bagged = [s for s in found if _of(bag, s)]
-    drawn = bootstrap(objs.where(F.col("src").isin(bagged)), most, seed) if bagged else None
-    if len(bagged) < len(found):
-        all_ = objs.where(~F.col("src").isin(bagged)).select("src", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("iter"), "obj")
-        drawn = all_ if drawn is None else drawn.unionByName(all_)
-    drawn = drawn.where(F.col("iter") <= own)
+    drawn = _drawn(cells.select("src", "obj").distinct(), found, iters, bag, seed)
     full = cells.groupBy("src").agg((F.count("*") == F.countDistinct("obj") * F.countDistinct("feat")).alias("ok")).where("not ok").head(1)
     packed = cut_lineage(pack(_complete(cells) if full else cells))
     rows = drawn.join(packed, ["src", "obj"]).join(picked, ["src", "iter"])
@@ -264,39 +273,43 @@ def m_abc_distance_grid(cells: DataFrame, weights=10, focus=0.5, k: int | None =
     return pairs, trees, grid, pick, labels(trees.where(F.col("src") == pick), k) if k else None
 
 
-def abc_deep_labels(cells: DataFrame, weighting: str = "var", iters: int = 500, classes: int | None = None, top_share: float = 0.2, latent: int | None = None, hidden: int = 32, epochs: int = 80, rate: float = 1e-3, method: str = "ward", linkage: str = "ward.D2", bag: bool = True, seed: int = 1, nugget_type: str = "between", nuggets: int | None = None) -> DataFrame:
-    """Deep variant: for each source an autoencoder on its top features, once; bags are clustered in its latent space."""
+def abc_deep_labels(cells: DataFrame, weighting="var", iters=500, classes: int | dict[int, int] | None = None, top_share=0.2, latent=None, hidden=32, epochs=80, rate=1e-3, method="ward", linkage="ward.D2", bag=True, seed: int = 1, nugget_type="between", nuggets=None) -> DataFrame:
+    """Deep variant: for each source an autoencoder on its top features, once; bags are clustered in its latent space.
+
+    Every option but seed may be a dict with one value for each source.
+    """
     from .normalize import column_minmax
 
     n = cells.select("obj").distinct().count()
     k = classes or max(2, math.isqrt(n))
-    scores = feature_scores(cells, weighting, nugget_type, nuggets)
-    sizes = {r.src: max(1, min(r.g, 4000, max(round(top_share * r.g), 20))) for r in scores.groupBy("src").agg(F.count("*").alias("g")).collect()}
+    scores = cut_lineage(_scores_by_source(cells, weighting, nugget_type, nuggets)[0])
+    sizes = {r.src: max(1, min(r.g, 4000, max(round(_of(top_share, r.src) * r.g), 20))) for r in scores.groupBy("src").agg(F.count("*").alias("g")).collect()}
     keep = F.element_at(F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv]), F.col("src"))
     top = feature_weights_by_rank(scores).where(F.col("rank") <= keep).select("src", "feat")
     x = column_minmax(cells.join(top, ["src", "feat"]))
 
     def encode(key, pdf):
+        src = int(key[0])
         m, objs = _matrix(pdf)
-        dim = latent or max(2, min(k + 2, 8, m.shape[1]))
-        z = K.autoencoder(m, dim, hidden, epochs, rate, seed)(m)
-        return pd.DataFrame([(int(key[0]), o, f"z{j:03d}", float(z[i, j])) for i, o in enumerate(objs) for j in range(z.shape[1])], columns=["src", "obj", "feat", "val"])
+        dim = _of(latent, src) or max(2, min(_of(k, src) + 2, 8, m.shape[1]))
+        z = K.autoencoder(m, dim, _of(hidden, src), _of(epochs, src), _of(rate, src), seed)(m)
+        return pd.DataFrame({"src": np.full(len(objs), src, np.int32), "obj": objs, "x": list(z)})
 
-    z = x.groupBy("src").applyInPandas(encode, "src int, obj string, feat string, val double").persist()
-    objs = cells.select("src", "obj").distinct()
-    drawn = bootstrap(objs, iters, seed) if bag else objs.select("src", F.explode(F.sequence(F.lit(1), F.lit(iters))).alias("iter"), "obj")
+    z = cut_lineage(x.groupBy("src").applyInPandas(encode, "src int, obj string, x array<double>"))
 
     def run(key, pdf):
-        m, names = _matrix(pdf)
-        if len(names) < max(4, k):
+        src = int(key[0])
+        m, names = _sampled_matrix(pdf)
+        own = _of(k, src)
+        if len(names) < max(4, own):
             return pd.DataFrame(columns=["src", "iter", "obj", "cluster"])
-        if method == "kmeans":
-            y = K.by_appearance(K.kmeans(m, k, starts=5, seed=int(key[1]))[0])
+        if _of(method, src) == "kmeans":
+            y = K.by_appearance(K.kmeans(m, own, starts=5, seed=int(key[1]))[0])
         else:
-            y = K.cut(K.linkage(kernel(m, m, "l2"), linkage)[0], len(names), k)
-        return pd.DataFrame({"src": int(key[0]), "iter": int(key[1]), "obj": names, "cluster": y.astype("int32")})
+            y = K.cut(K.linkage(kernel(m, m, "l2"), _of(linkage, src))[0], len(names), own)
+        return pd.DataFrame({"src": src, "iter": int(key[1]), "obj": names, "cluster": y.astype("int32")})
 
-    return z.join(drawn, ["src", "obj"]).groupBy("src", "iter").applyInPandas(run, ABC)
+    return z.join(_drawn(cells.select("src", "obj").distinct(), sizes, iters, bag, seed), ["src", "obj"]).groupBy("src", "iter").applyInPandas(run, ABC)
 
 
 def m_abc_deep(cells: DataFrame, k: int | None = None, dissimilarity: str = "mabc", final_linkage: str = "ward", **options):

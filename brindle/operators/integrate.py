@@ -20,7 +20,7 @@ from . import coassociation as C
 from . import kernels as K
 from .distance import distance, weighted_combination
 from .normalize import range_guard
-from .trees import LABELS, agglomerate, components, cophenetic, dense, labels, long, merge_members
+from .trees import LABELS, agglomerate, check_dense, components, cophenetic, dense, labels, long, merge_members
 
 KINDS = ("data", "dist", "clust")
 
@@ -267,6 +267,7 @@ def _ensemble(parts: DataFrame, f, schema: str = LABELS) -> DataFrame:
 
     def run(pdf):
         objs = sorted(set(pdf.obj))
+        check_dense(len(objs))
         cols = sorted({(s, c) for s, c in zip(pdf.src, pdf.cluster, strict=True)})
         at, to = {o: i for i, o in enumerate(objs)}, {c: i for i, c in enumerate(cols)}
         a = np.zeros((len(objs), len(cols)))
@@ -591,6 +592,7 @@ def int_nmf(cells: DataFrame, k: int, starts: int = 10, rounds: int = 200, seed:
 
     def run(pdf):
         mats, objs = [], sorted(set(pdf.obj))
+        check_dense(len(objs))
         for s in sorted(set(pdf.src)):
             g = pdf[pdf.src == s].sort_values("obj")
             mats.append(np.stack([np.asarray(v, float) for v in g.x]))

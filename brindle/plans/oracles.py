@@ -230,6 +230,12 @@ def _bagged(iters: int) -> list[str]:
 
 
 put("abc_labels", *_bagged(3), "sp as (select src * 100 + it as g, i, j, round(coalesce(g, l2), 12) as d from bd)", T.agglomeration("ward.D2", "sp", by="g"), T.cut("4", by="g"), "select cast(g // 100 as int) as src, cast(g % 100 as int) as iter, obj, cluster from l")
+put(
+    "m_abc_whole", *_bagged(3), "sp as (select src * 100 + it as g, i, j, round(coalesce(g, l2), 12) as d from bd)", T.agglomeration("ward.D2", "sp", by="g"), T.cut("5", by="g"),
+    "cc as (select a.obj as i, b.obj as j, count(*) as n, sum(case when a.cluster = b.cluster then 1 else 0 end) as s from l a join l b on a.g = b.g and a.obj < b.obj group by a.obj, b.obj)",
+    "ao as (select distinct obj from l)", "cp as (select a.obj as i, b.obj as j, sqrt(greatest(0.0, 1 - power(coalesce(s / n::double, 0.0), 2))) as d from ao a join ao b on a.obj < b.obj left join cc on cc.i = a.obj and cc.j = b.obj)",
+    T.agglomeration("ward", "cp", "w"), T.cut("4", "w", tree="w"), LABELS.format(0, "w"),
+)
 _DIST = "mn as (select src, i, j, avg(coalesce(g, l2)) as d from bd group by src, i, j), tp as (select src, max(d) as m from mn group by src), fd as (select a.src, a.obj as i, b.obj as j, coalesce(mn.d, m) / case when m > 0 then m else 1.0 end as d from ob a join ob b on a.src = b.src and a.obj < b.obj join tp on tp.src = a.src left join mn on mn.src = a.src and mn.i = a.obj and mn.j = b.obj)"
 put("m_abcdist_pairs", *_bagged(6), _DIST, f"select cast(src as int) as src, i, j, {rd('d')} as d from fd")
 put("m_abcdist", *_bagged(10), _DIST, "hf as (select i, j, sum(0.5::double * d) as d from fd group by i, j)", T.agglomeration("ward", "hf"), T.cut("4"), LABELS.format(0, ""))

@@ -1099,6 +1099,12 @@ def abc_labels(spark, sf):
     return B.abc_labels(X.both(spark, sf), iters=3, classes=4)
 
 
+@query("m_abc_whole")
+def m_abc_whole(spark, sf):
+    """The flagship method from cells to labels, on few bags."""
+    return B.m_abc(X.both(spark, sf), 4, iters=3, classes=5)[2]
+
+
 @query("m_abcdist_pairs")
 def m_abcdist_pairs(spark, sf):
     return r(B.abc_distance(X.both(spark, sf), iters=6), "d")
