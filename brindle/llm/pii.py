@@ -51,7 +51,8 @@ PATTERNS = (
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])"),
 )
-ANY = "|".join(p for _, p in PATTERNS)
+#: All kinds; all but the first start with a digit, a plus or a bracket, so that at a letter only one of them is tried.
+ANY = PATTERNS[0][1] + "|(?=[0-9+(])(?:" + "|".join(p for _, p in PATTERNS[1:]) + ")"
 KINDS = [k for k, _ in PATTERNS]
 #: The key of the registered queries, whose tables are synthetic; any other use passes its own.
 DEMO_KEY = "synthetic tables only"
@@ -289,7 +290,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "fo
     """
     found = free_name(docs, found)
     t, f = F.col(f"`{text}`"), F.col(f"`{found}`")
-    hits = docs.withColumn(found, F.coalesce(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), F.array().cast("array<string>")))
+    some = t.rlike("[0-9]") | (F.instr(t, "@") > 0)  # every kind has a digit or an @
+    hits = docs.withColumn(found, F.when(some, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     hits = hits.withColumn(found, F.transform(f, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value"), pseudonym(m, key).alias("pseudonym"))))
     parts = F.split(t, ANY, -1)
     joined = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(f, i)["pseudonym"], F.lit("")))), "")
