@@ -27,8 +27,8 @@ shingle by shingle.
 
 Defined results: null or empty text, or one without words, is linked with nothing and is its own
 class; texts with equal shingle sets are linked (one of them stands for all); rows that share a doc_id
-are documents of their own with one row each, whose links all count for that doc_id's rows; rows
-without doc_id have no name to be reported under and are left out.  Extra columns are ignored.
+are documents of their own, each with its own row, links and class; rows without doc_id have no name
+to be reported under and are left out.  Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -463,6 +463,15 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 2), (2, 2)]
 
 
+def test_near_duplicates_shared_ids(spark):
+    """Two texts under one doc_id are verified each by its own text; repeated rows are copies; null ids are left out."""
+    w = lambda a, n: " ".join(f"w{a}x{j}" for j in range(n))
+    rows = [(5, w(1, 60)), (5, w(2, 60)), (6, w(1, 60) + " end"), (7, w(2, 60) + " end"), (8, w(3, 60)), (8, w(3, 60)), (None, w(1, 60)), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("g", F.lit("clash")).withColumn("n", F.lit(1))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.near_duplicates(df).collect())
+    assert got == [(5, 56, 5, 1), (5, 56, 5, 1), (6, 57, 5, 1), (7, 57, 5, 1), (8, 56, 8, 0), (8, 56, 8, 0), (9, 0, 9, 0), (9, 0, 9, 0)]
+
+
 def test_parity_bitmaps_bound_the_difference():
     rng = np.random.default_rng(8)
     for n, m in ((3, 4), (60, 70), (64, 65), (300, 420), (1000, 1300)):
