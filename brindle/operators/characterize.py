@@ -33,8 +33,8 @@ def t_p(t: Column, df: Column) -> Column:
 
 
 def bh(tests: DataFrame, *by: str, p: str = "p", out: str = "adj_p") -> DataFrame:
-    """Benjamini-Hochberg: running minimum of p * m / rank from the largest p down, 1 at most."""
-    up = Window.partitionBy(*by).orderBy(F.col(p).asc(), *[c for c in tests.columns if c not in (*by, p)])
+    """Benjamini-Hochberg: running minimum of p * m / rank from the largest p down, 1 at most; p ties to twelve places."""
+    up = Window.partitionBy(*by).orderBy(F.round(p, 12).asc(), *[c for c in tests.columns if c not in (*by, p)])
     x = tests.withColumn("_r", F.row_number().over(up)).withColumn("_m", F.count(p).over(Window.partitionBy(*by)))
     down = Window.partitionBy(*by).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return x.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down))).drop("_r", "_m")
@@ -80,7 +80,7 @@ def characteristic_features(groups: DataFrame, binary: DataFrame | None = None,
     adj = bh(x, "grp", "kind")
     if top is None:
         return adj.where(F.col("adj_p") < sign)
-    w = Window.partitionBy("grp", "kind").orderBy("p", "feat")
+    w = Window.partitionBy("grp", "kind").orderBy(F.round("p", 12), "feat")
     return adj.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top).drop("n")
 
 
@@ -138,11 +138,10 @@ def _prior(pdf: pd.DataFrame) -> tuple[float, float]:
     """Empirical-Bayes prior degrees of freedom and variance from the spread of log variances."""
     import numpy as np
 
-    s2 = pdf["s2"].to_numpy(float)
-    s2 = s2[s2 > 0]
+    s2, d = pdf["s2"].to_numpy(float), pdf["df"].to_numpy(float) / 2
+    s2, d = s2[s2 > 0], d[s2 > 0]
     if len(s2) < 2:
         return 0.0, float(s2.mean()) if len(s2) else 1.0
-    d = float(pdf["df"].iloc[0]) / 2
 
     def digamma(x):
         out = 0.0
@@ -160,8 +159,8 @@ def _prior(pdf: pd.DataFrame) -> tuple[float, float]:
         f = 1 / (x * x)
         return out + 1 / x + f / 2 + f / x * (1 / 6 - f * (1 / 30 - f / 42))
 
-    e = np.log(s2) - digamma(d) + np.log(d)
-    spread = e.var(ddof=1) - trigamma(d)
+    e = np.log(s2) - np.array([digamma(x) for x in d]) + np.log(d)
+    spread = e.var(ddof=1) - float(np.mean([trigamma(x) for x in d]))
     if spread <= 0:
         return float("inf"), float(np.exp(e.mean()))
     lo, hi = 1e-6, 1e6
@@ -186,7 +185,7 @@ def diff_genes(expr: DataFrame, groups: DataFrame, top: int | None = None, sign:
     got = bh(x.groupBy("grp").applyInPandas(run, "grp int, gene string, diff double, t double, p double"), "grp")
     if top is None:
         return got.where(F.col("adj_p") <= sign)
-    w = Window.partitionBy("grp").orderBy("p", "gene")
+    w = Window.partitionBy("grp").orderBy(F.round("p", 12), "gene")
     return got.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top).drop("n")
 
 

@@ -279,3 +279,70 @@ put(
     "snf", *_SNF, "ww as (select i, j, avg(v) as v from f20 group by i, j)", "wn as (select i, j, v / sum(v) over (partition by i) as v from ww)",
     "fu as (select a.i, a.j, 1 - (a.v + b.v) / 2 as d from wn a join wn b on b.i = a.j and b.j = a.i where a.i < a.j)", T.agglomeration("ward", "fu", "w"), T.cut("4", "w", tree="w"), LABELS.format(0, "w"),
 )
+
+
+# Student's t: the incomplete beta function by its continued fraction, a step a row.
+_BETA = """bt as (select grp, feat, df / 2 as a0, df / (df + t * t) as x0, df / (df + t * t) > (df / 2 + 1) / (df / 2 + 2.5) as turned from tt), bu as (select grp, feat, turned, case when turned then 0.5 else a0 end as a, case when turned then a0 else 0.5 end as b, case when turned then 1 - x0 else x0 end as x from bt),
+cf as (select *, 1 as m, 1.0::double as c, 1 / (1 - (a + b) * x / (a + 1)) as d, 1 / (1 - (a + b) * x / (a + 1)) as h from bu union all
+select grp, feat, turned, a, b, x, m + 1, 1 + n2 / c1, 1 / (1 + n2 * d1), h1 * (1 / (1 + n2 * d1)) * (1 + n2 / c1) from (select *, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)) as n2, h * d1 * c1 as h1 from (
+select *, 1 / (1 + n1 * d) as d1, 1 + n1 / c as c1 from (select *, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) as n1 from cf where m < 120) q1) q2) q3),
+be as (select grp, feat, turned, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) * h / a as i from cf where m = 120), tp as (select grp, feat, case when turned then 1 - i else i end as p from be)"""
+put(
+    "characteristic_features", rec(Q._FISH), f"ce as ({X.SQL_EVENTS})", "xs as (select g.grp, c.feat, c.val, case when m.grp = g.grp then 1 else 0 end as ins from ce c join grp m on m.obj = c.obj cross join (select distinct grp from grp) g)",
+    "su as (select grp, feat, count(*) filter (where ins = 1) as n1, count(*) filter (where ins = 0) as n2, avg(val) filter (where ins = 1) as m1, avg(val) filter (where ins = 0) as m2, var_samp(val) filter (where ins = 1) as v1, var_samp(val) filter (where ins = 0) as v2 from xs group by grp, feat)",
+    "tt as (select grp, feat, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) as t, power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)) as df from su where n1 > 1 and n2 > 1 and v1 / n1 + v2 / n2 > 1e-12)", _BETA,
+    "al as (select grp, 'binary' as kind, feat, p from fp union all select grp, 'continuous' as kind, feat, p from tp)", "ra as (select *, row_number() over (partition by grp, kind order by round(p, 12), feat) as rk, count(*) over (partition by grp, kind) as m from al)",
+    "ad as (select *, least(1.0, min(p * m / rk) over (partition by grp, kind order by rk desc rows between unbounded preceding and current row)) as adj_p from ra)", f"select grp, kind, feat, {rd('p')} as p, {rd('adj_p')} as adj_p from ad where rk <= 10",
+)
+
+
+def _digamma(x: str) -> str:
+    y = f"({x} + 6)"
+    return f"(ln({y}) - 0.5 / {y} - 1 / ({y} * {y}) * (1 / 12.0 - 1 / ({y} * {y}) * (1 / 120.0 - 1 / ({y} * {y}) / 252.0)) - {' - '.join(f'1 / ({x} + {k})' for k in range(6))})"
+
+
+def _trigamma(x: str) -> str:
+    y = f"({x} + 6)"
+    return f"(1 / {y} + 0.5 / ({y} * {y}) + 1 / ({y} * {y} * {y}) * (1 / 6.0 - 1 / ({y} * {y}) * (1 / 30.0 - 1 / ({y} * {y}) / 42.0)) + {' + '.join(f'1 / (({x} + {k}) * ({x} + {k}))' for k in range(6))})"
+
+
+def _moderated(groups: str) -> list[str]:
+    """CTEs tt(grp, feat, diff, t, df) and tp(grp, feat, p) of the moderated tests of groups(grp, obj)."""
+    return [
+        f"with recursive ex as ({X.SQL_EXPR.replace('as string', 'as varchar')}), gr as ({groups})",
+        "xs as (select g.grp, e.gene, e.val, case when gr.grp = g.grp then 1 else 0 end as ins from ex e left join gr on gr.obj = e.obj cross join (select distinct grp from gr) g)",
+        "su as (select grp, gene, count(*) filter (where ins = 1)::double as n1, count(*) filter (where ins = 0)::double as n2, avg(val) filter (where ins = 1) as m1, avg(val) filter (where ins = 0) as m2, sum(val * val) as q from xs group by grp, gene)",
+        "tg as (select grp, gene as feat, m1 - m2 as diff, greatest(q - n1 * m1 * m1 - n2 * m2 * m2, 0.0) / (n1 + n2 - 2) as s2, n1 + n2 - 2 as df, 1 / n1 + 1 / n2 as u from su where n1 > 0 and n2 > 0 and n1 + n2 > 2)",
+        f"ee as (select grp, ln(s2) - {_digamma('(df / 2)')} + ln(df / 2) as e, {_trigamma('(df / 2)')} as tri from tg where s2 > 0)", "sp as (select grp, var_samp(e) - avg(tri) as spread, avg(e) as mean from ee group by grp)",
+        f"bi as (select grp, spread, mean, 0 as n, 1e-6::double as lo, 1e6::double as hi from sp union all select grp, spread, mean, n + 1, case when {_trigamma('mid')} > spread then mid else lo end, case when {_trigamma('mid')} > spread then hi else mid end from (select *, sqrt(lo * hi) as mid from bi where n < 200) z)",
+        f"pr as (select grp, case when spread <= 0 then null else 2 * lo end as d0, case when spread <= 0 then exp(mean) else exp(mean + {_digamma('lo')} - ln(lo)) end as s0 from bi where n = 200)",
+        "tt as (select tg.grp, feat, diff, diff / sqrt(case when d0 is null then s0 else (d0 * s0 + df * s2) / (d0 + df) end * u) as t, df + coalesce(d0, 1e9) as df from tg join pr on pr.grp = tg.grp)", _BETA,
+    ]
+
+
+put(
+    "diff_genes", *_moderated("select distinct cast(obj as int) % 2 + 1 as grp, obj from ex"),
+    "ra as (select tt.grp, tt.feat, diff, t, p, row_number() over (partition by tt.grp order by round(p, 12), tt.feat) as rk, count(*) over (partition by tt.grp) as m from tt join tp on tp.grp = tt.grp and tp.feat = tt.feat)",
+    "ad as (select *, least(1.0, min(p * m / rk) over (partition by grp order by rk desc rows between unbounded preceding and current row)) as adj_p from ra)", f"select cast(grp as int) as grp, feat as gene, {rd('diff')} as diff, {rd('t')} as t, {rd('p')} as p, {rd('adj_p')} as adj_p from ad where rk <= 10",
+)
+put(
+    "pathway_analysis", *_moderated("select distinct 1 as grp, obj from ex where cast(obj as int) <= 25"), "v as (select feat as gene, -log10(greatest(p, 1e-300)) as v from tp)",
+    "kk as (select greatest(1, count(distinct gene) // 10) as k from ex)", "us as (select distinct 's' || cast(cast(substr(gene, 2) as int) % k as varchar) as st, gene from ex cross join kk where gene in (select gene from v))",
+    "zs as (select st, count(*) as size from us group by st having count(*) between 5 and 100)", "ob as (select us.st, size, avg(v) as stat from us join zs on zs.st = us.st join v on v.gene = us.gene group by us.st, size)", "ow as (select gene, row_number() over (order by gene) as n from v)",
+    f"pl as (select run, v, row_number() over (partition by run order by {uniform_duck(chr(39) + '1|1|' + chr(39) + ' || cast(run as varchar) || ' + chr(39) + '|' + chr(39) + ' || gene')}, gene) as n from v cross join range(1, 41) t(run))",
+    "nu as (select us.st, run, avg(pl.v) as nul from us join zs on zs.st = us.st join ow on ow.gene = us.gene join pl on pl.n = ow.n group by us.st, run)",
+    "fi as (select nu.st, (run - 1) // 20 as it, any_value(size) as size, any_value(stat) as stat, (sum(case when round(nul, 9) >= round(stat, 9) then 1 else 0 end) + 1) / 21.0::double as p from nu join ob on ob.st = nu.st group by nu.st, (run - 1) // 20)",
+    f"select cast(1 as int) as grp, st as \"set\", any_value(size) as size, {rd('avg(stat)')} as stat, {rd('avg(p)')} as p from fi group by st having count(*) = 2",
+)
+
+# Neighbourhood fusion of both sources, standardised, to its tree.
+put(
+    "nemo_tree", f"with recursive cells as ({X.SQL_EVENTS} union all {X.SQL_PRESENCE})", "sd as (select src, obj, feat, coalesce((val - avg(val) over (partition by src, feat)) / nullif(stddev_samp(val) over (partition by src, feat), 0), 0.0) as val from cells)",
+    "dd as materialized (select a.src, a.obj as i, b.obj as j, sqrt(sum(power(a.val - b.val, 2))) as d from sd a join sd b on a.src = b.src and a.feat = b.feat and a.obj <> b.obj group by a.src, a.obj, b.obj)",
+    "sg as (select src, i, avg(d) as sg from (select *, row_number() over (partition by src, i order by d, j) as n from dd) z where n <= 20 group by src, i)",
+    "aa as (select dd.src, dd.i, dd.j, exp(-d * d / greatest(x.sg * y.sg, 1e-300)) as a from dd join sg x on x.src = dd.src and x.i = dd.i join sg y on y.src = dd.src and y.i = dd.j)",
+    "kp as (select src, i, j, a from (select *, rank() over (partition by src, i order by round(a, 12) desc) as n from aa) z where n <= 20)", "sy as (select src, i, j, max(a) as a from (select src, i, j, a from kp union all select src, j, i, a from kp) z group by src, i, j)",
+    "tt as (select src, i, j, a / sum(a) over (partition by src, i) as s from sy)", "ff as (select src, i, j, sum(s) / 2 as s from (select src, i, j, s from tt union all select src, j, i, s from tt) z group by src, i, j)",
+    "fu as (select dd.i, dd.j, avg(coalesce(ff.s, 0.0)) as s from dd left join ff on ff.src = dd.src and ff.i = dd.i and ff.j = dd.j where dd.i < dd.j group by dd.i, dd.j)", "p as (select i, j, 1 - s / (select greatest(max(s), 1e-300) from fu) as d from fu)",
+    T.agglomeration("ward"), T.cut("4"), LABELS.format(0, ""),
+)
