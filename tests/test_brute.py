@@ -567,3 +567,20 @@ def test_bags_beyond_a_matrix(monkeypatch):
     tied = np.stack(np.meshgrid(range(9), range(9), range(2)), -1).reshape(-1, 3).astype(float)
     with pytest.raises(ValueError, match="too many"):
         TR.link_rows(tied, lambda x: B._distance(x, "euclidean"), squares=B._squares(tied, "euclidean"))
+
+
+def test_large_blocks_meet_less(spark, monkeypatch):
+    """Objects of a large source travel to few blocks, whose kernels get parts of them, with the same distances."""
+    from brindle.operators import distance as D
+
+    rng = np.random.default_rng(5)
+    one = ST.from_matrix(spark, rng.random((90, 3)), [f"o{i:02d}" for i in range(90)], ["a", "b", "c"])
+    two = ST.from_matrix(spark, (rng.random((90, 4)) < 0.5).astype(float), [f"o{i:02d}" for i in range(90)], ["p", "q", "r", "s"], src=2)
+    sources, weights = [(one, "gower"), (two, "tanimoto")], (0.3, 0.7)
+    want = {(r.i, r.j): r.d for r in D.combined_distances(sources, weights).collect()}
+    monkeypatch.setattr(D, "BLOCK", 2)
+    monkeypatch.setattr(D, "WIDE", 16)
+    monkeypatch.setattr(D, "ROWS", 256)
+    assert D.met_blocks(D._several(sources)[0], large=True).count() == 6  # 3 blocks of 32, where 12 of 8 meet 78 times
+    got = {(r.i, r.j): r.d for r in D.combined_distances(sources, weights).collect()}
+    assert len(want) == 90 * 89 // 2 and got == pytest.approx(want, abs=1e-12)
