@@ -584,3 +584,41 @@ def test_large_blocks_meet_less(spark, monkeypatch):
     assert D.met_blocks(D._several(sources)[0], large=True).count() == 6  # 3 blocks of 32, where 12 of 8 meet 78 times
     got = {(r.i, r.j): r.d for r in D.combined_distances(sources, weights).collect()}
     assert len(want) == 90 * 89 // 2 and got == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("linkage", ["average", "single", "complete", "ward", "weighted", "flexible", "ward.D", "mcquitty"])
+@pytest.mark.parametrize("places", [9, None])
+def test_trees_beyond_the_matrix(spark, monkeypatch, linkage, places):
+    """More different objects than a matrix may hold give the tree that the matrix gives, in blocks that tasks share."""
+    from brindle.operators import rounds as R
+
+    x = np.random.default_rng(8).random((90, 3)) ** 2
+    x[:, 2] = x[:, 2] > 0.3
+    x[60:70] = x[3:13]
+    cells = ST.from_matrix(spark, x, [f"o{i:02d}" for i in range(90)], ["a", "b", "c"])
+    d = kernel(x, x, "gower", np.ptp(x, 0))
+    m, h = K.linkage(d if places is None else np.round(d, places), linkage)
+    monkeypatch.setattr(TR, "DENSE_MOST", 60)
+    monkeypatch.setattr(R, "BLOCK", 40)
+    monkeypatch.setattr(R, "TILE", 16)
+    got = TR.cluster_cells(cells, "gower", linkage=linkage, places=places).collect()
+    assert len(got) == 1 and got[0].objs == [f"o{i:02d}" for i in range(90)]
+    assert list(zip(got[0].left, got[0].right, strict=True)) == [tuple(r) for r in m.tolist()]
+    assert got[0].height == pytest.approx(h.tolist(), abs=1e-9)
+
+
+def test_sampled_trees_beyond_the_matrix(spark, monkeypatch):
+    """adec and adc with more different objects than a matrix may hold."""
+    x = (np.random.default_rng(2).random((70, 9)) < 0.5).astype(float)
+    x[:, 0] = np.random.default_rng(3).random(70)
+    cells = ST.from_matrix(spark, x, [f"o{i:02d}" for i in range(70)], [f"f{i}" for i in range(9)])
+
+    def labels():
+        return [sorted(map(tuple, TR.labels(t, 4).collect())) for t in (IN.adc(cells, "gower")[1],)]
+
+    def cuts():
+        return sorted(map(tuple, IN.sampled_cuts(cells, [3, 5], 2, 6, "gower").collect()))
+
+    want = labels(), cuts()
+    monkeypatch.setattr(TR, "DENSE_MOST", 40)
+    assert (labels(), cuts()) == want
